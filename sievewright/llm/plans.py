@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm.encoding import garbled_fields, prose_model
+from sievewright.llm.percentiles import digest, merge_digests, quantiles, valid_calls
 from sievewright.llm.records import collapse_records, record_counts
+from sievewright.llm.residue import residue_fields
 from sievewright.llm.visual import disguised_fields, normalized
-from sievewright.runtime import table
+from sievewright.runtime import materialize, table
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -42,5 +44,34 @@ def p6_normalized(spark: SparkSession, root: str) -> DataFrame:
     return normalized(table(spark, root, "search_results").select("result_id", "title", "snippet"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_normalized": p6_normalized}
-SQL: dict[str, str] = {}
+def p2_fields(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "search_results").select("result_id", "title", "snippet")
+    return residue_fields(rows, table(spark, root, "documents"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_fields(spark, root).select("result_id", "field")
+
+
+def p5_latency_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles per engine and day, and per engine by merging its days."""
+    calls = valid_calls(table(spark, root, "engine_perf"))
+    days = materialize(digest(calls, "latency_ms", ["engine", "day"]), "latency-digests")
+    by_day = quantiles(days, ["engine", "day"]).withColumn("scope", F.lit("engine_day"))
+    whole = quantiles(merge_digests(days, ["engine"]), ["engine"]).withColumns({"day": F.lit(None).cast("date"), "scope": F.lit("engine")})
+    return by_day.unionByName(whole)
+
+
+def p5_calls(spark: SparkSession, root: str) -> DataFrame:
+    """What the percentiles rest on: calls counted once, by engine and day."""
+    calls = valid_calls(table(spark, root, "engine_perf"))
+    return calls.groupBy("engine", "day").agg(F.count("*").alias("n_calls"), F.min("latency_ms").alias("least_ms"), F.max("latency_ms").alias("most_ms"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_fields": p2_fields, "p3_found": p3_found, "p3_restored": p3_restored, "p5_latency_percentiles": p5_latency_percentiles, "p5_calls": p5_calls, "p6_found": p6_found, "p6_normalized": p6_normalized}
+SQL: dict[str, str] = {
+    "p5_calls": """
+        WITH calls AS (SELECT DISTINCT ON (call_id) call_id, engine, latency_ms, CAST(DATE '1970-01-01' + CAST(floor(created_at / 86400) AS INTEGER) AS DATE) AS day
+                       FROM engine_perf WHERE latency_ms BETWEEN 0 AND 3600000)
+        SELECT engine, day, count(*) AS n_calls, min(latency_ms) AS least_ms, max(latency_ms) AS most_ms FROM calls GROUP BY engine, day""",
+}

@@ -1,0 +1,441 @@
+"""Template residue, filler and error notices in place of content.
+
+Character n-gram models are fitted for three kinds of text: residue (filler
+and notices, from the example phrases below), subject (prose about such
+things, likewise), and natural prose (all documents). Each n-gram has a log
+likelihood ratio; windows of positive mean ratio localise residue, and a
+field whose letters are mostly inside such windows is residue. Unfilled
+placeholders are found by their syntax and kept as content where the subject
+model explains what stands around them.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievewright.llm.ngrams import fold_codes
+from sievewright.llm.visual import normalize
+
+CELLS = 1 << 20
+# Examples of filler and unset defaults.
+FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
+excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+curabitur pretium tincidunt lacus nulla gravida orci a odio nullam varius turpis et commodo pharetra
+vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae
+lorem ipsum sit amet dictum felis consectetur metus dolor sagittis lacus magna ornare porta augue quisque tellus vel vitae nulla
+quisque sagittis magna ornare metus dictum lacus vel augue porta tellus felis amet nulla vitae lorem consectetur
+ornare dictum felis consectetur metus sit dictum dolor lorem sagittis sit lacus magna amet dictum ornare
+metus porta quisque augue lacus consectetur tellus augue vel lorem vitae felis ornare lacus
+sit ipsum sit metus vel nulla felis quisque vitae amet porta dolor tellus sagittis metus magna
+sample sample sample sample
+sample text goes here
+sample page title
+test test test
+test page please ignore
+title goes here
+your title here
+description goes here
+your text here
+insert text here
+placeholder text
+placeholder
+untitled document
+untitled page
+untitled
+new page
+no title
+no description available
+add a description for here
+enter a description here
+todo write the teaser for
+todo write the summary
+tbd content coming soon
+coming soon
+this is placeholder text please replace it
+asdf asdf asdf
+foo bar baz
+xxx xxx xxx
+这里是占位文字，请替换。
+此处填写标题
+示例文字
+ダミーテキストです。
+ここにタイトルを入力
+サンプルテキスト
+여기에 제목을 입력하세요
+샘플 텍스트입니다
+texto de ejemplo
+texto de relleno
+texto de exemplo
+testo segnaposto
+testo di esempio
+texte de remplissage
+texte d’exemple
+blindtext
+platzhaltertext
+hier steht später der text
+voorbeeldtekst
+текст-заполнитель
+здесь будет текст
+null null
+nan items from undefined
+undefined undefined
+object object"""
+# Examples of error, block, maintenance and script notices.
+NOTICES = """please enable javascript to continue
+please turn on javascript to continue
+please activate javascript to view this page
+please allow javascript in your settings
+please switch on javascript and try again
+please enable javascript for the best experience
+you need to enable javascript to run this app
+you need to switch on javascript to run this app
+you need to activate javascript to run this app
+you need to allow javascript to run this app
+this site requires javascript enable it and reload
+this site works only with javascript enable it to continue
+works only with javascript turn it on in your settings
+javascript is disabled in your browser enable it for the best experience
+javascript is not enabled in your browser activate it to use the site
+javascript is turned off in your browser allow it to view this page
+javascript is blocked in your browser switch it on and try again
+it looks like javascript is turned off cannot show without it
+it looks like javascript is disabled cannot be displayed without it
+we noticed that scripts are turned off activate them and try again
+we noticed that scripts are blocked allow them for the best experience
+loading if nothing appears enable scripts and try again
+loading if nothing appears switch on scripts in your settings
+scripts must be allowed and try again your browser blocks them
+scripts must be allowed for the best experience your browser blocks them
+noscript this view cannot be shown without js
+bitte aktivieren sie javascript um diese seite anzuzeigen
+diese seite benötigt javascript
+diese anwendung benötigt javascript
+ohne javascript kann nicht angezeigt werden
+veuillez activer javascript pour continuer
+activez javascript pour afficher cette page
+active javascript en su navegador para ver el contenido
+habilite javascript para continuar
+ative o javascript para continuar a navegar
+precisa de javascript para funcionar
+abilita javascript per visualizzare la pagina
+attivare javascript per continuare
+schakel javascript in om deze pagina te bekijken
+zet javascript aan om verder te gaan
+javascript is nodig om deze pagina te tonen
+включите javascript чтобы продолжить
+для работы нужен javascript
+请启用 javascript 后刷新页面。
+请开启 javascript 以继续浏览。
+需要 javascript 才能显示此页面
+このページを表示するには javascript を有効にしてください。
+javascript を有効にして再読み込みしてください
+이 페이지를 보려면 자바스크립트를 켜 주세요.
+자바스크립트를 활성화해 주세요
+404 not found
+error 404 not found
+error 403 forbidden
+error 410 gone
+error 429 too many requests
+error 500 internal server error
+error 502 bad gateway
+error 503 service unavailable
+error 504 gateway timeout
+http 404 not found
+http 403 forbidden
+http 502 bad gateway
+http 503 service unavailable
+http 504 gateway timeout
+http 429 too many requests
+http 410 gone
+not found 404
+forbidden 403
+bad gateway 502
+service unavailable 503
+gateway timeout 504
+too many requests 429
+internal server error 500
+gone 410
+not found
+page not found
+the page you requested could not be found
+we are sorry in cannot be reached right now service unavailable
+we are sorry cannot be reached right now bad gateway
+the server answered with status 404
+internal server error reference
+an unexpected error occurred reference
+the link to has expired go back to the home page
+oops we could not find what you were looking for
+your request was blocked by the security gateway event id
+your browser has scripting turned off so the content cannot be displayed
+アクセスが集中しています。しばらくしてからお試しください。
+something went wrong please try again later
+upstream connect error reset reason timeout
+request timed out after ms
+connection refused
+connection timed out
+database connection failed in on line
+warning undefined index in on line
+fatal error uncaught exception in on line
+exception in thread main parse failure at offset
+notice undefined variable in template on line
+warning undefined index desc in template inc on line
+is temporarily unavailable code
+this site is down for maintenance please try again in minutes
+we are currently performing scheduled maintenance
+too many requests slow down and retry after seconds
+session expired please reload the page
+your session has expired please log in again
+access denied
+access denied you don't have permission to access this resource
+access to this resource is forbidden for your address
+verify that you are human this may take seconds
+checking your browser before accessing
+please complete the captcha to continue
+unusual traffic from your network
+attention required
+die seite wurde nicht gefunden
+seite nicht gefunden
+fehler 404 die seite wurde nicht gefunden
+fehler die angeforderte seite wurde nicht gefunden
+die verbindung zu wurde unterbrochen code
+wegen wartungsarbeiten nicht erreichbar
+page introuvable
+erreur 404 page introuvable
+erreur page introuvable
+le service est momentanément indisponible
+site en maintenance revenez plus tard
+accès refusé
+página no encontrada 404
+error 404 página no encontrada
+el servicio no está disponible por mantenimiento
+acceso denegado
+página não encontrada erro 404
+erro 404 página não encontrada
+o serviço está temporariamente indisponível
+acesso negado
+pagina non trovata
+errore 404 pagina non trovata
+il servizio non è al momento disponibile
+sito in manutenzione
+pagina niet gevonden
+fout 404 pagina niet gevonden
+de server is tijdelijk niet bereikbaar
+site in onderhoud
+страница не найдена
+ошибка 404 страница не найдена
+ошибка 500 попробуйте позже
+ошибка 503 попробуйте позже
+сервер временно недоступен
+доступ запрещён
+页面不存在
+404 错误：您访问的页面已被删除
+系统维护中，请稍后访问。
+访问被拒绝
+服务器错误，请稍后再试
+お探しのページは見つかりませんでした
+はメンテナンス中です。
+エラーが発生しました。しばらくしてからお試しください
+アクセスが拒否されました
+페이지를 찾을 수 없습니다
+서버 점검 중입니다.
+오류가 발생했습니다 잠시 후 다시 시도해 주세요
+접근이 거부되었습니다"""
+# Prose that has such things as its subject.
+SUBJECT = """how to design a friendly 404 page with
+fixing 502 bad gateway in
+fixing 503 service unavailable in
+why some sites ask you to enable javascript
+access denied tips for administrators
+null and undefined explained for beginners
+a short history of lorem ipsum in
+designers in have used lorem ipsum for decades but now suggests real text instead
+untitled a night of new music in
+about of visitors to keep javascript disabled so renders its pages on the server
+a 503 service unavailable reply usually means that the is overloaded wait seconds and look at the
+the guide explains why the may answer 404 not found and how logs it
+in templates name is replaced by the value of a field and filters are built in
+version lets you write user name in messages which fills in at run time
+what name means in templates
+escaping var in shell scripts
+the article shows how to write an error page that helps readers
+what the placeholder in the template stands for and how the engine fills it
+why the server returns an error and what administrators can do about it
+maintenance windows explained what happens when a site is down
+captcha tests and why people dislike them
+how browsers run scripts and what happens when javascript is turned off"""
+
+# Complete entries that are lists of facts, not sentences.
+ENTRIES = """stars forks licence permissive
+issn volume
+m above sea level
+humidity
+tags
+author team pages language english
+hours mon fri entry crowns
+version kb updated last spring
+platz
+prix couronnes
+价格 元 地点
+price rating in stock
+opening hours address phone"""
+
+_PLACEHOLDER = re.compile(
+    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\[\[[^\]\n]{1,60}\]\]|\[%[^%\n]{1,60}%\]|%[A-Za-z][\w.]{1,40}%"
+    r"|__[A-Z][A-Z0-9_]{1,40}__|@@\w{2,40}@@|\$[A-Z][A-Z0-9_]{1,40}\$|\{[A-Za-z_][\w.]{0,40}\}|\{\d{1,2}\}"
+    r"|\[(?:INSERT|YOUR|ADD|ENTER)\b[^\]\n]{0,60}\]|<(?!/?(?:b|i|p|a|br|em|strong|span|div|u|s|sup|sub|li|ul|h[1-6])\b)[a-z]+(?:[_.][a-z]+)*>|(?<![\w%])%[sd](?!\w)|\[object Object\]"
+)
+_TRACE = re.compile(r"(?<![\w.])(?:undefined|null|NaN|None|nil|\(null\))(?![\w.]\w)")
+_PART = re.compile(r"\s*(?:[|｜·»:–—]|\s-\s|::)\s*")
+
+
+_MARKS = re.compile(r"[^\w\n]+|_+")
+_DIGITS = re.compile(r"\d+")
+
+
+def gram_cells(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of the n-gram at each position, and the line each stands in: five
+    code points in scripts with letters, two in Chinese, Japanese and Korean
+    writing; digits are folded and runs of space or marks count as one space."""
+    clean = _MARKS.sub(" ", _DIGITS.sub("0", text)).replace("\n", " \n ")
+    codes = fold_codes(np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    raw = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lines = np.cumsum(raw == 10)
+    codes = codes.astype(np.uint64)
+    n = len(codes)
+    padded = np.concatenate([codes, np.full(4, 32, np.uint64)])
+    wide = codes >= 0x2E80
+    key = padded[:n] * np.uint64(0x9E3779B97F4A7C15) + padded[1 : n + 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    rest = padded[2 : n + 2] * np.uint64(0x165667B19E3779F9) + padded[3 : n + 3] * np.uint64(0x27D4EB2F165667C5) + padded[4 : n + 4] * np.uint64(0xD6E8FEB86659FD93)
+    key += np.where(wide, np.uint64(0), rest)
+    key ^= key >> np.uint64(31)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    keep = raw != 10
+    keep[1:] &= ~((codes[1:] == 32) & (codes[:-1] == 32))
+    keep[-1:] = False
+    return (key >> np.uint64(44)).astype(np.int64)[keep], lines[keep]
+
+
+def _seed_shares(lines: str) -> np.ndarray:
+    total = np.zeros(CELLS)
+    for line in lines.split("\n"):
+        total += np.bincount(gram_cells(line)[0], minlength=CELLS)
+    return total / total.sum()
+
+
+def gram_shares(texts: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
+    """Shares of all n-grams of text columns, by cell; a table of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            values = [v for column in batch.columns for v in column.drop_null().to_pylist()]
+            for i in range(0, len(values), 512):
+                total += np.bincount(gram_cells("\n".join(values[i : i + 512]))[0], minlength=CELLS)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["cell", "n"])
+
+    counted = texts.select(*columns).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS)
+    out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    return out / max(out.sum(), 1.0)
+
+
+class ResidueModel:
+    """Log likelihood ratios of n-grams: residue and subject against prose."""
+
+    def __init__(self, prose: np.ndarray, floor: float = 2e-6):
+        filler, notices, subject, entries = map(_seed_shares, (FILLER, NOTICES, SUBJECT, ENTRIES))
+        natural = np.maximum(np.maximum(prose, subject / 8), entries / 8)
+        self.residue = np.log((np.maximum(filler, notices) + floor) / (natural + floor)).astype(np.float32)
+        self.subject = np.log((subject + floor) / (np.maximum(prose, np.maximum(filler, notices)) + floor)).astype(np.float32)
+
+    def suspects(self, texts: list[str]) -> np.ndarray:
+        """Whether each text's mean ratio is positive; one pass over a batch."""
+        cells, lines = gram_cells("\n".join(t.replace("\n", " ") for t in texts))
+        n = np.bincount(lines, minlength=len(texts))
+        return np.bincount(lines, weights=self.residue[cells], minlength=len(texts)) > 0.3 * n
+
+    def coverage(self, text: str, window: int = 12) -> float:
+        """Share of a text's n-grams inside windows of positive mean ratio."""
+        ratios = self.residue[gram_cells(text.replace("\n", " "))[0]]
+        if len(ratios) < 3 or ratios.mean() < 0.5:
+            return 0.0
+        w = min(window, len(ratios))
+        sums = np.convolve(ratios, np.ones(w), "valid")
+        inside = np.zeros(len(ratios) + 1, dtype=np.int64)
+        hot = np.flatnonzero(sums > 0.8 * w)
+        np.add.at(inside, hot, 1)
+        np.add.at(inside, hot + w, -1)
+        return float((np.cumsum(inside)[:-1] > 0).mean())
+
+    def is_talk(self, text: str, least: float = 0.5) -> bool:
+        """Whether the subject model explains a text better than the others."""
+        ratios = self.subject[gram_cells(text.replace("\n", " "))[0]]
+        known = ratios[np.abs(ratios) > 0.05]
+        return len(known) >= 6 and float(known.mean()) > least
+
+
+_HINT = re.compile(r"[{}%\[\]<>$@#]|__|undefined|null|NaN|None|nil")
+_END = re.compile(r"[.!?](?:\s|$)|[。？！]")
+_STATUS = re.compile(r"^\W*(?:HTTP\s|Error\s|ERROR\s)?[45]\d\d\W+[^\W\d]+(?:\s[^\W\d]+)?\W*$")
+
+
+def _sentence(text: str, start: int, end: int) -> str:
+    """What stands around a span within its sentence."""
+    before = [m.end() for m in _END.finditer(text, 0, start)]
+    after = _END.search(text, end)
+    return text[before[-1] if before else 0 : start] + " " + text[end : after.start() if after else len(text)]
+
+
+def kind_of(text: str, model: ResidueModel, suspect: bool = True, least_coverage: float = 0.6) -> str | None:
+    """``placeholder``, ``trace`` or ``notice``; None for content."""
+    text = normalize(text)
+    if _HINT.search(text):
+        for m in _PLACEHOLDER.finditer(text):
+            if not model.is_talk(_PLACEHOLDER.sub(" ", _sentence(text, m.start(), m.end()))):
+                return "placeholder"
+        if _TRACE.search(text):
+            parts = [p.strip(" .\"'()") for p in _PART.split(text)]
+            tail = re.search(r"(?:^|\s)(?:by|from|of|for|in|at|on|:) (?:undefined|null|NaN|None)\s*[.!]?\s*$", text)
+            head = re.match(r"^(?:NaN|undefined|null|None)\b(?! and\b)", text) and len(text) < 60
+            if any(_TRACE.fullmatch(p) for p in parts) or (tail or head) and not model.is_talk(text):
+                return "trace"
+    if _STATUS.match(text):
+        return "notice"
+    return "notice" if suspect and model.coverage(text) >= least_coverage else None
+
+
+def residue_fields(
+    rows: DataFrame, documents: DataFrame, key: str = "result_id", fields: tuple[str, ...] = ("title", "snippet"), prose: tuple[str, ...] = ("text", "title")
+) -> DataFrame:
+    """The fields that hold residue: ``key, field, kind``.
+
+    Null, empty and blank fields are never cases; repeated rows count each;
+    an empty table gives no rows. Without documents, prose is unknown and
+    only the example models decide.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(ResidueModel(gram_shares(documents, prose)))
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for frame in frames:
+            for field in fields:
+                values = frame[field]
+                texts = list(dict.fromkeys(values.dropna()))
+                if not texts:
+                    continue
+                kinds = {v: kind_of(v, model, s) for v, s in zip(texts, model.suspects(texts))}
+                found = values.map(kinds, na_action="ignore")
+                hit = found.notna()
+                yield pd.DataFrame({key: frame.loc[hit, key], "field": field, "kind": found[hit]})
+
+    return rows.select(key, *fields).mapInPandas(scan, f"{key} {rows.schema[key].dataType.simpleString()}, field string, kind string")
