@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm.encoding import garbled_fields, prose_model
+from sievewright.llm.mixing import draw_mixture, mixture_report
+from sievewright.llm.packing import pack_documents, packing_report
 from sievewright.llm.percentiles import digest, merge_digests, quantiles, valid_calls
 from sievewright.llm.records import collapse_records, record_counts
 from sievewright.llm.residue import residue_fields
+from sievewright.llm.tokens import with_tokens
+from sievewright.llm.truncation import cut_rates, cut_texts
 from sievewright.llm.visual import disguised_fields, normalized
 from sievewright.runtime import materialize, table
 
@@ -68,7 +72,43 @@ def p5_calls(spark: SparkSession, root: str) -> DataFrame:
     return calls.groupBy("engine", "day").agg(F.count("*").alias("n_calls"), F.min("latency_ms").alias("least_ms"), F.max("latency_ms").alias("most_ms"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_fields": p2_fields, "p3_found": p3_found, "p3_restored": p3_restored, "p5_latency_percentiles": p5_latency_percentiles, "p5_calls": p5_calls, "p6_found": p6_found, "p6_normalized": p6_normalized}
+def _cut(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "search_results").select("result_id", "engine", "source", "snippet")
+    documents = table(spark, root, "documents")
+    garbled = garbled_fields(rows, prose_model(documents), fields=("snippet",))
+    residue = residue_fields(rows, documents, fields=("snippet",))
+    return cut_texts(rows, garbled, residue)
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _cut(spark, root).filter("cut").select("result_id")
+
+
+def p7_rates(spark: SparkSession, root: str) -> DataFrame:
+    return cut_rates(_cut(spark, root))
+
+
+def _sized(spark: SparkSession, root: str) -> DataFrame:
+    return with_tokens(table(spark, root, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+def p8_placement(spark: SparkSession, root: str) -> DataFrame:
+    return pack_documents(_sized(spark, root), table(spark, root, "pack_capacities"))
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    return packing_report(p8_placement(spark, root), table(spark, root, "pack_capacities"))
+
+
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return draw_mixture(_sized(spark, root), table(spark, root, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixture_report(p9_mixture(spark, root), table(spark, root, "mix_targets"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_fields": p2_fields, "p3_found": p3_found, "p3_restored": p3_restored, "p5_latency_percentiles": p5_latency_percentiles, "p5_calls": p5_calls, "p6_found": p6_found, "p6_normalized": p6_normalized, "p7_found": p7_found, "p7_rates": p7_rates, "p8_placement": p8_placement, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 SQL: dict[str, str] = {
     "p5_calls": """
         WITH calls AS (SELECT DISTINCT ON (call_id) call_id, engine, latency_ms, CAST(DATE '1970-01-01' + CAST(floor(created_at / 86400) AS INTEGER) AS DATE) AS day
