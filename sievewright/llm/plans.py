@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm.encoding import garbled_fields, prose_model
+from sievewright.llm.languages import document_languages, fit_languages, segments
 from sievewright.llm.mixing import draw_mixture, mixture_report
 from sievewright.llm.packing import pack_documents, packing_report
 from sievewright.llm.percentiles import digest, merge_digests, quantiles, valid_calls
@@ -108,7 +109,20 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixture_report(p9_mixture(spark, root), table(spark, root, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_fields": p2_fields, "p3_found": p3_found, "p3_restored": p3_restored, "p5_latency_percentiles": p5_latency_percentiles, "p5_calls": p5_calls, "p6_found": p6_found, "p6_normalized": p6_normalized, "p7_found": p7_found, "p7_rates": p7_rates, "p8_placement": p8_placement, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_segments(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents").select("doc_id", "text", "lang")
+    return segments(documents, fit_languages(documents))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return p10_segments(spark, root).filter("n_segments > 1 or not label_ok").select("doc_id", "seg_no", "lang")
+
+
+def p10_documents(spark: SparkSession, root: str) -> DataFrame:
+    return document_languages(p10_segments(spark, root))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_fields": p2_fields, "p3_found": p3_found, "p3_restored": p3_restored, "p5_latency_percentiles": p5_latency_percentiles, "p5_calls": p5_calls, "p6_found": p6_found, "p6_normalized": p6_normalized, "p7_found": p7_found, "p7_rates": p7_rates, "p8_placement": p8_placement, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 SQL: dict[str, str] = {
     "p5_calls": """
         WITH calls AS (SELECT DISTINCT ON (call_id) call_id, engine, latency_ms, CAST(DATE '1970-01-01' + CAST(floor(created_at / 86400) AS INTEGER) AS DATE) AS day
