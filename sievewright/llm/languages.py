@@ -87,6 +87,8 @@ def sentences(text: str) -> list[str]:
 def presence(texts: list[str]) -> np.ndarray:
     """Presence vectors of n-grams of length one to three, hashed, one row a
     text, scaled to unit length."""
+    if not texts:
+        return np.zeros((0, DIMENSIONS), dtype=np.float32)
     joined = " \n ".join(re.sub(r"[\W_]+", " ", t.lower()) for t in texts)
     codes = np.frombuffer(f"  {joined}  ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     row = np.cumsum(codes == 10)

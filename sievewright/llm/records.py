@@ -170,6 +170,8 @@ def url_hashes(urls: pd.Series, seed: int = 2) -> np.ndarray:
     segment = (rows.astype(np.int64) << 34) + (section.astype(np.int64) << 32) + step
     kept, segment = _expand(folded[keep], segment[keep], small[keep], several)
     ids, values = _segment_hashes(kept, segment, seed)
+    if not len(ids):
+        return np.zeros(n, dtype=np.int64)
     owner, kind = ids >> 34, (ids >> 32) & 3
     values = _mix(values, 11) * (kind.astype(np.uint64) * np.uint64(2) + np.uint64(1))
     order = np.lexsort((values, owner))
