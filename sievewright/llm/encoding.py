@@ -44,7 +44,9 @@ _SEEN = [
     (re.compile("[Ă-őŔ-ŷŹ-ž΄-ώ]"), _CENTRAL),
 ]
 KEYS = ["+".join(k) for k in dict.fromkeys(_LATIN + _CYRILLIC + _BOXES + _EAST + _CENTRAL)]
-KEYS = ["identity", "lost", *KEYS, *[k + "+twice" for k in KEYS if k.endswith("+utf-8")]]
+# Pages in which UTF-8 read wrongly can be read wrongly once more.
+_AGAIN = {"cp1252", "cp1251", "cp437", "cp850", "cp866", "mac_roman"}
+KEYS = ["identity", "lost", *KEYS, *[k + "+twice" for k in KEYS if k.endswith("+utf-8") and k.split("+")[0] in _AGAIN]]
 _INDEX = {k: i for i, k in enumerate(KEYS)}
 
 _HIGH = re.compile("[^\x00-\x7f]")
@@ -54,6 +56,9 @@ _SUBJECT = re.compile(f"(?<={_ALONE})([^\x00-\x7f\\s“„«‹「]{{1,4}})(?={_
 _ENGLISH = re.compile(r"\b(?:the|of|and|with|from|how|what|why|shows|sign)\b", re.IGNORECASE)
 
 
+_STRANGE = re.compile("[\u0080-¿Ā-ɏÂÃâ€™�ˆ˜╨├Γ√РС]")
+
+
 def _handlers(read: str) -> tuple[str, str]:
     """Error handlers: undefined bytes of cp1252 pass through, and bytes the
     key doesn't explain stay as they were read."""
@@ -85,7 +90,11 @@ def decipher(text: str, read: str, written: str) -> str:
     another; what the key doesn't explain stays as it is."""
     up, down = _handlers(read)
     out, at = [], 0
+    # A text with letters outside the page all over was not read with it.
+    most = 40 if read in _NARROW else 6
     while at < len(text):
+        if len(out) > 2 * most:
+            return text
         try:
             out.append(text[at:].encode(read, up).decode(written, down))
             break
@@ -113,16 +122,13 @@ def readings(text: str) -> list[tuple[int, str]]:
                 continue
             if found != text:
                 out[i] = found
-                if written == "utf-8" and _HIGH.search(found):
+                if written == "utf-8" and read in _AGAIN and _STRANGE.search(found):
                     again = decipher(found, read, written)
                     if again != found:
                         out[_INDEX[f"{read}+{written}+twice"]] = again
     return list(out.items())
 
 
-_STRANGE = re.compile("[\u0080-¿Ā-ɏÂÃâ€™�ˆ˜]")
-
-
 def is_subject(text: str) -> bool:
     """Whether the only strange sequences of a text are spoken about: each
     stands alone between quotes or spaces, in a language that has no words of
@@ -169,9 +175,9 @@ def _fit_source(rows: pd.DataFrame, steps: int) -> pd.DataFrame:
     return pd.DataFrame({"source": rows["source"].iloc[0], "key": list(share), "log_share": [float(np.log(v)) for v in share.values()]})
 
 
-def prose_model(documents: DataFrame, column: str = "text") -> PairModel:
+def prose_model(documents: DataFrame, columns: tuple[str, ...] = ("text", "title")) -> PairModel:
     """Pair model of clean prose, from all documents."""
-    return PairModel(pair_counts(documents, column))
+    return PairModel(pair_counts(documents, columns))
 
 
 def garbled_fields(
@@ -204,9 +210,11 @@ def garbled_fields(
                 best: dict[str, tuple] = {}
                 asked = [int(i) for i in np.flatnonzero(rare > 0)]
                 # The rival explanation: characters that merely look alike.
-                rival = lm.score([normalize(texts[i]) for i in asked])[0] if asked else base
+                rival, _, left = lm.score([normalize(texts[i]) for i in asked]) if asked else (base, base, base)
                 plain = dict(zip(asked, rival))
-                trials = [(i, k, found) for i in asked for k, found in readings(texts[i])]
+                # Texts that look-alikes explain wholly need no deciphering.
+                tried = [i for i, u in zip(asked, left) if u > 0]
+                trials = [(i, k, found) for i in tried for k, found in readings(texts[i])]
                 by: dict[int, list] = {}
                 if trials:
                     total, _, odd = lm.score([t[2] for t in trials])

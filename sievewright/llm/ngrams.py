@@ -52,24 +52,29 @@ def cells(codes: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(44)).astype(np.int64)
 
 
-def pair_counts(texts: DataFrame, column: str) -> np.ndarray:
-    """Counts of all pairs in a text column, by cell; nulls count nothing."""
+def pair_counts(texts: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
+    """Counts of all pairs in text columns, by cell; nulls count nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            values = batch.column(0).drop_null().to_pylist()
+            values = [v for column in batch.columns for v in column.drop_null().to_pylist()]
             for i in range(0, len(values), 2048):
                 total += np.bincount(cells(joined_codes(values[i : i + 2048])[0]), minlength=CELLS)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["cell", "n"])
 
-    counted = texts.select(column).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = texts.select(*columns).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, dtype=np.int64)
     out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
+def _mild(codes: np.ndarray) -> np.ndarray:
+    """Dashes, quotes, ellipses, guillemets, middle dots and CJK marks."""
+    return ((codes >= 0x2010) & (codes <= 0x2027)) | ((codes >= 0x3000) & (codes < 0x3040)) | ((codes >= 0xFF00) & (codes < 0xFF20)) | (codes == 0xB7) | (codes == 0xBB) | (codes == 0xAB)
+
+
 class PairModel:
     """Smoothed log probability of pairs.
 
@@ -84,12 +89,17 @@ class PairModel:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: sum of log probabilities, mean over the pairs that hold a
-        code point beyond ASCII (0 where there is none), unseen such pairs."""
+        code point beyond ASCII (0 where there is none), unseen such pairs
+        (without those of an ASCII and a CJK code point, where names meet
+        the text, and of typographic marks, which stand anywhere)."""
         codes, starts = joined_codes(texts)
         values = self.logp[cells(codes)]
         high = (codes[:-1] > 127) | (codes[1:] > 127)
         total = np.add.reduceat(values, starts)
         n = np.add.reduceat(high.astype(np.int64), starts)
         part = np.add.reduceat(np.where(high, values, 0), starts)
-        rare = np.add.reduceat((high & (values <= self.unseen + 0.01)).astype(np.int64), starts)
+        a, b = codes[:-1], codes[1:]
+        seam = ((a < 128) & (b >= 0x2E80) & (b < 0xFFF0)) | ((b < 128) & (a >= 0x2E80) & (a < 0xFFF0))
+        mild = _mild(a) | _mild(b)
+        rare = np.add.reduceat((high & ~seam & ~mild & (values <= self.unseen + 0.01)).astype(np.int64), starts)
         return total, np.where(n, part / np.maximum(n, 1), 0.0), rare
