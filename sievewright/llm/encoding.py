@@ -227,8 +227,9 @@ def garbled_fields(
                         if gain > per_change and o <= (most_unseen / 2 if narrow else most_unseen) * high and o < rare[i] and not is_subject(texts[i]):
                             by.setdefault(i, []).append((int(k), float(gain), found))
                 for i in asked:
-                    options = sorted(by.get(i, []), key=lambda x: -x[1])[:4]
                     lost = lost_letters(texts[i])
+                    # A mark of loss that was itself misread: no key is left.
+                    options = [] if "ï¿½" in texts[i] else sorted(by.get(i, []), key=lambda x: -x[1])[:4]
                     if options or lost:
                         best[texts[i]] = (options, lost)
                 hit = some[some.isin(best)]
