@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.visual import normalize
-from sievewright.runtime import join_small
+from sievewright.runtime import join_small, materialize
 
 # Brackets and quotes that pair.
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "《": "》", "【": "】", "（": "）", "‹": "›"}
@@ -100,7 +100,8 @@ def cut_texts(
         some = some.join(known, key, "left").withColumns({text: F.coalesce("_r", text), "_lost": F.coalesce(F.col("_g") & (F.col("_r").isNull() | F.rtrim("_r").endswith("�")), F.lit(False))})
     else:
         some = some.withColumn("_lost", F.lit(False))
-    examined = _examined(some.withColumn(source, F.coalesce(F.col(source).cast("string"), F.lit(""))), key, source, text)
+    # Written once, as the baseline and the verdict both read it.
+    examined = materialize(_examined(some.withColumn(source, F.coalesce(F.col(source).cast("string"), F.lit(""))), key, source, text), "text-ends")
     # Baseline: how a source ends its texts, and the length it cuts them to.
     baseline = examined.groupBy(source).agg(
         F.avg((~F.col("ended") & ~F.col("strong")).cast("double")).alias("_open"),
