@@ -116,7 +116,7 @@ class LanguageModel:
     def __init__(self, texts: list[str], labels: list[str], landmarks: int = 600, ridge: float = 0.05, temperature: float = 6.0):
         self.codes = list(LANGUAGES)
         self.temperature = temperature
-        x, y = presence(texts), np.array([self.codes.index(c) for c in labels])
+        y = np.array([self.codes.index(c) for c in labels], dtype=np.int64)
         rng = np.random.default_rng(7)
         keep = np.ones(len(y), dtype=bool)
         self.matrix = np.zeros((DIMENSIONS, len(self.codes)), dtype=np.float32)
@@ -127,16 +127,18 @@ class LanguageModel:
             # Landmarks: as many of each language as of any other.
             each = max(1, landmarks // max(1, len(np.unique(y[known]))))
             chosen = np.concatenate([rng.permutation(known[y[known] == c])[:each] for c in np.unique(y[known])])
-            marks = x[chosen]
-            gram = marks @ marks.T
-            k = x[known] @ marks.T
-            target = np.where(y[known, None] == np.arange(len(self.codes)), 1.0, -1.0)
-            balance = 1.0 / np.bincount(y[known], minlength=len(self.codes))[y[known]]
+            marks = presence([texts[i] for i in chosen])
+            # Kernel rows batch by batch: presence vectors are never all held.
+            kernel = np.concatenate([presence(texts[i : i + 256]) @ marks.T for i in range(0, len(texts), 256)])
+            k = kernel[known]
+            target = np.where(y[known, None] == np.arange(len(self.codes)), 1.0, -1.0).astype(np.float32)
+            balance = (1.0 / np.bincount(y[known], minlength=len(self.codes))[y[known]]).astype(np.float32)
             balance *= len(known) / balance.sum()
             weighted = k * balance[:, None]
-            solved = np.linalg.solve(weighted.T @ k + ridge * len(known) / landmarks * (gram + 1e-4 * np.eye(len(chosen))), weighted.T @ target)
+            gram = (marks @ marks.T).astype(np.float64)
+            solved = np.linalg.solve((weighted.T @ k).astype(np.float64) + ridge * len(known) / landmarks * (gram + 1e-4 * np.eye(len(chosen))), (weighted.T @ target).astype(np.float64))
             self.matrix = (marks.T @ solved).astype(np.float32)
-            keep = (x @ self.matrix).argmax(axis=1) == y
+            keep = (kernel @ solved).argmax(axis=1) == y
 
     def scores(self, texts: list[str], batch: int = 512) -> np.ndarray:
         """Log probabilities of the languages, one row a text."""
@@ -146,7 +148,7 @@ class LanguageModel:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def fit_languages(documents: DataFrame, per_language: int = 400, sentences_each: int = 6, key: str = "doc_id", text: str = "text", label: str = "lang") -> LanguageModel:
+def fit_languages(documents: DataFrame, per_language: int = 300, sentences_each: int = 5, key: str = "doc_id", text: str = "text", label: str = "lang") -> LanguageModel:
     """Model fitted on at most ``per_language`` documents of each label, the
     first by a hash of the key, ``sentences_each`` sentences from each."""
     spark = documents.sparkSession
