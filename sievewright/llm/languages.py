@@ -162,15 +162,19 @@ def fit_languages(documents: DataFrame, per_language: int = 300, sentences_each:
     share = F.coalesce(*[F.when(F.col("code") == c, F.lit(min(1.0, 4.0 * per_language / n))) for c, n in counts.items()])
     some = labelled.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
     first = some.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("h", key))).filter(F.col("r") <= per_language)
-    rows = documents.select(key, text).join(F.broadcast(first.select(key, "code")), key).select("code", F.substring(text, 1, 20_000).alias("t")).toArrow().to_pylist()
-    texts, labels = [], []
-    for row in rows:
-        found = sentences(row["t"] or "")
-        step = max(1, len(found) // sentences_each)
-        for s in found[::step][:sentences_each]:
-            texts.append(s)
-            labels.append(row["code"])
-    return LanguageModel(texts, labels)
+
+    def picked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for code_of, value in zip(frame["code"], frame[text]):
+                found = sentences(value) if isinstance(value, str) else []
+                step = max(1, len(found) // sentences_each)
+                out += [(code_of, s) for s in found[::step][:sentences_each]]
+            yield pd.DataFrame(out, columns=["code", "sentence"])
+
+    sample = documents.select(key, text).join(F.broadcast(first.select(key, "code")), key)
+    rows = sample.select("code", text).mapInPandas(picked, "code string, sentence string").orderBy("code", "sentence").toArrow()
+    return LanguageModel(rows["sentence"].to_pylist(), rows["code"].to_pylist())
 
 
 def _path(logs: np.ndarray, cost: float) -> np.ndarray:
