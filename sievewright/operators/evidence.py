@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text, urls
@@ -83,3 +83,34 @@ def corroborated(table: DataFrame) -> DataFrame:
 def value_divergence(table: DataFrame) -> DataFrame:
     """Fact types with at least two values in a query."""
     return table.select("query_id", "fact_type", "fact_value").distinct().groupBy("query_id", "fact_type").agg(F.count("*").alias("n_values")).filter("n_values >= 2")
+
+
+def cross_references(rows: DataFrame, n: int = 3, most: int = 10) -> DataFrame:
+    """Runs of ``n`` words that at least two hosts of a query share, the
+    ``most`` widest spread of each query, ties by the run.
+
+    Distinct (query, run, host) are formed map-side first, so a page that
+    comes back very often counts once before anything is gathered.
+    """
+    words = F.regexp_extract_all(F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit("")))), F.lit("[a-z]+"), F.lit(0))
+    told = rows.select("query_id", urls.host(F.col("url")).alias("domain"), words.alias("w")).filter(F.size("w") >= n)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+    seen = told.select("query_id", "domain", F.explode(F.array_distinct(runs)).alias("ngram")).distinct()
+    shared = seen.groupBy("query_id", "ngram").agg(F.count("*").alias("n_domains")).filter("n_domains >= 2")
+    order = Window.partitionBy("query_id").orderBy(F.desc("n_domains"), "ngram")
+    return shared.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most)
+
+
+def static_dimensions(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Relevance and completeness of each result, in ten-thousandths.
+
+    Relevance is the share of the query's tokens that the title (``.65``) and
+    the snippet (``.35``) hold, one half where the query has none.
+    """
+    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("text"))).alias("q"))
+    held = lambda c: F.size(F.array_intersect("q", text.tokens(F.col(c)))).cast("long")
+    hits = (65 * held("title") + 35 * held("snippet")) * 100
+    relevance = F.when(F.size("q") == 0, F.lit(5000)).otherwise(F.floor(hits / F.greatest(F.size("q"), F.lit(1)) + 1e-9)).cast("long")
+    snippet = F.coalesce("snippet", F.lit(""))
+    complete = 30 * F.least(F.length(snippet), F.lit(200)) + F.when(snippet.rlike("[0-9]"), 2000).otherwise(0) + F.when(F.trim(F.coalesce("title", F.lit(""))) != "", 2000).otherwise(0)
+    return rows.join(asked, "query_id").select("result_id", relevance.alias("relevance_e4"), complete.cast("long").alias("completeness_e4"))

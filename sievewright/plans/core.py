@@ -324,3 +324,23 @@ def outcome_windows(spark: SparkSession, root: str) -> DataFrame:
     from sievewright.streaming.outcomes import outcome_windows as windows
 
     return windows(table(spark, root, "engine_perf")).select("engine", "hour_s", "n_calls", "n_failed")
+
+
+@query(
+    rf"""WITH w AS (SELECT query_id, {sql.host('url')} AS domain, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(snippet, '')), '[a-z]+') AS w FROM search_results),
+    r AS (SELECT DISTINCT query_id, domain, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS ngram FROM w WHERE len(w) >= 3),
+    s AS (SELECT query_id, ngram, count(*) AS n_domains FROM r GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT query_id, ngram, n_domains, row_number() OVER (PARTITION BY query_id ORDER BY n_domains DESC, ngram) AS position FROM s QUALIFY position <= 10"""
+)
+def cross_references(spark: SparkSession, root: str) -> DataFrame:
+    return evidence.cross_references(_results(spark, root))
+
+
+@query(
+    f"""WITH q AS (SELECT query_id, list_distinct({sql.tokens('text')}) AS q FROM queries),
+    h AS (SELECT result_id, title, coalesce(snippet, '') AS s, q, len(list_intersect(q, {sql.tokens('title')})) AS t, len(list_intersect(q, {sql.tokens('snippet')})) AS n FROM search_results JOIN q USING (query_id))
+    SELECT result_id, CAST(CASE WHEN len(q) = 0 THEN 5000 ELSE (65 * t + 35 * n) * 100 // len(q) END AS BIGINT) AS relevance_e4,
+        CAST(30 * least(length(s), 200) + CASE WHEN regexp_matches(s, '[0-9]') THEN 2000 ELSE 0 END + CASE WHEN trim(coalesce(title, ''), ' ') <> '' THEN 2000 ELSE 0 END AS BIGINT) AS completeness_e4 FROM h"""
+)
+def rerank_static_dims(spark: SparkSession, root: str) -> DataFrame:
+    return evidence.static_dimensions(_results(spark, root), table(spark, root, "queries"))
