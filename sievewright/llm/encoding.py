@@ -16,6 +16,7 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,7 @@ _SUBJECT = re.compile(f"(?<={_ALONE})([^\x00-\x7f\\s“„«‹「]{{1,4}})(?={_
 _ENGLISH = re.compile(r"\b(?:the|of|and|with|from|how|what|why|shows|sign)\b", re.IGNORECASE)
 
 
+_UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _STRANGE = re.compile("[\u0080-¿Ā-ɏÂÃâ€™�ˆ˜╨├Γ√РС]")
 
 
@@ -85,30 +87,50 @@ def _handlers(read: str) -> tuple[str, str]:
     return up, down
 
 
+_held: dict[str, dict[str, bool]] = {}
+
+
+def _holds(read: str, c: str) -> bool:
+    """Whether a page has a character."""
+    held = _held.setdefault(read, {})
+    if c not in held:
+        try:
+            c.encode(read, _handlers(read)[0])
+            held[c] = True
+        except UnicodeEncodeError:
+            held[c] = False
+    return held[c]
+
+
+def _runs(text: str, read: str) -> list[str | bytes]:
+    """A text in maximal runs: the bytes of those the page has, as they are
+    those it hasn't and those of ASCII alone."""
+    up = _handlers(read)[0]
+    try:
+        return [text.encode(read, up)]
+    except UnicodeEncodeError:
+        out: list[str | bytes] = []
+        for held, chars in groupby(text, lambda c: _holds(read, c)):
+            run = "".join(chars)
+            out.append(run.encode(read, up) if held and not run.isascii() else run)
+        return out
+
+
+def _written(runs: list[str | bytes], read: str, written: str) -> str:
+    down = _handlers(read)[1]
+    return "".join(r if isinstance(r, str) else r.decode(written, down) for r in runs)
+
+
 def decipher(text: str, read: str, written: str) -> str:
     """``text`` as it was written, if it was written in one page and read in
     another; what the key doesn't explain stays as it is."""
-    up, down = _handlers(read)
-    out, at = [], 0
-    # A text with letters outside the page all over was not read with it.
-    most = 40 if read in _NARROW else 6
-    while at < len(text):
-        if len(out) > 2 * most:
-            return text
-        try:
-            out.append(text[at:].encode(read, up).decode(written, down))
-            break
-        except UnicodeEncodeError as error:
-            if error.start:
-                out.append(text[at : at + error.start].encode(read, up).decode(written, down))
-            out.append(text[at + error.start : at + error.end])
-            at += error.end
-    return "".join(out)
+    return _written(_runs(text, read), read, written)
 
 
 def readings(text: str) -> list[tuple[int, str]]:
     """The decipherings of a text that change it."""
     out: dict[int, str] = {}
+    runs: dict[str, list[str | bytes]] = {}
     for seen, keys in _SEEN:
         if not seen.search(text):
             continue
@@ -116,8 +138,13 @@ def readings(text: str) -> list[tuple[int, str]]:
             i = _INDEX[f"{read}+{written}"]
             if i in out:
                 continue
+            if read not in runs:
+                runs[read] = _runs(text, read)
+            # Without a sequence of UTF-8 there is nothing that it explains.
+            if written == "utf-8" and not any(isinstance(r, bytes) and _UTF8.search(r) for r in runs[read]):
+                continue
             try:
-                found = decipher(text, read, written)
+                found = _written(runs[read], read, written)
             except (UnicodeError, LookupError):
                 continue
             if found != text:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sievewright.llm.encoding import decipher, garbled_fields, is_subject, lost_letters, prose_model
+from sievewright.llm.encoding import KEYS, decipher, garbled_fields, is_subject, lost_letters, prose_model, readings
 from sievewright.llm.languages import document_languages, fit_languages, plain_code, segments, sentences
 from sievewright.llm.residue import residue_fields
 from sievewright.llm.truncation import cut_rates, cut_texts, scan_structure
@@ -31,6 +31,16 @@ def test_round_trip(text, written, read):
     assert decipher(garbled, read, written) == text
 
 
+def test_long_and_broken_texts_are_deciphered():
+    """However many characters the page lacks, each run of the others is read."""
+    text = "この記事では報告書の仕組みと天気予報の探し方を説明します。"
+    garbled = text.encode().decode("shift_jis", "replace")
+    long = garbled * 8
+    assert long.count("�") > 12 and decipher(long, "shift_jis", "utf-8") == decipher(garbled, "shift_jis", "utf-8") * 8
+    assert decipher("Ж" + "ÐŸ Ж" * 200, "cp1252", "utf-8") == "Ж" + "П Ж" * 200
+    assert "shift_jis+utf-8" in [KEYS[k] for k, _ in readings(long)]
+
+
 def test_garbled_fields(spark, documents):
     bad = [PLAIN.encode().decode("cp1252"), RUSSIAN.encode("koi8_r").decode("cp1251"), "Die n�chste Br�cke f�r alle"]
     good = [PLAIN, RUSSIAN, None, "", "The � sign in Klaisai and 434 ways to get rid of it", "Trudainil 8.2 shows â€™ in every title: what to do", "x" * 50_000, "cut off at the en�"]
