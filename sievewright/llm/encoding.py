@@ -14,9 +14,9 @@ their codecs.
 from __future__ import annotations
 
 import codecs
+import functools
 import re
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -75,31 +75,38 @@ def _handlers(read: str) -> tuple[str, str]:
                 return bytes(map(ord, text)), error.end
             raise error
 
-        def back(error: UnicodeDecodeError) -> tuple[str, int]:
-            raw = error.object[error.start : error.end]
+        @functools.lru_cache(1 << 16)
+        def as_read(raw: bytes) -> str:
             try:
-                return raw.decode(read), error.end
+                return raw.decode(read)
             except UnicodeDecodeError:
-                return (raw.decode("latin-1") if read == "cp1252" else "�"), error.end
+                return raw.decode("latin-1") if read == "cp1252" else "�"
+
+        def back(error: UnicodeDecodeError) -> tuple[str, int]:
+            return as_read(error.object[error.start : error.end]), error.end
 
         codecs.register_error(up, through)
         codecs.register_error(down, back)
     return up, down
 
 
-_held: dict[str, dict[str, bool]] = {}
+@functools.cache
+def _held(read: str) -> re.Pattern:
+    """Maximal runs of the characters that a page has."""
+    gone = np.zeros(0x10001, dtype=bool)
+    gone[0x10000] = True
 
+    def note(error: UnicodeEncodeError) -> tuple[bytes, int]:
+        gone[error.start : error.end] = True
+        return b"", error.end
 
-def _holds(read: str, c: str) -> bool:
-    """Whether a page has a character."""
-    held = _held.setdefault(read, {})
-    if c not in held:
-        try:
-            c.encode(read, _handlers(read)[0])
-            held[c] = True
-        except UnicodeEncodeError:
-            held[c] = False
-    return held[c]
+    codecs.register_error(f"sw-n-{read}", note)
+    "".join(map(chr, range(0x10000))).encode(read, f"sw-n-{read}")
+    if read == "cp1252":
+        gone[:256] = False
+    edges = np.flatnonzero(np.diff(gone, prepend=True))
+    spans = [f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2])]
+    return re.compile(f"[{''.join(spans)}{'\\U00010000-\\U0010ffff' if read == 'gb18030' else ''}]+")
 
 
 def _runs(text: str, read: str) -> list[str | bytes]:
@@ -110,14 +117,17 @@ def _runs(text: str, read: str) -> list[str | bytes]:
         return [text.encode(read, up)]
     except UnicodeEncodeError:
         out: list[str | bytes] = []
-        for held, chars in groupby(text, lambda c: _holds(read, c)):
-            run = "".join(chars)
-            out.append(run.encode(read, up) if held and not run.isascii() else run)
-        return out
+        at = 0
+        for m in _held(read).finditer(text):
+            run = m.group()
+            if not run.isascii():
+                out += [text[at : m.start()], run.encode(read, up)]
+                at = m.end()
+        return [*out, text[at:]]
 
 
 def _written(runs: list[str | bytes], read: str, written: str) -> str:
-    down = _handlers(read)[1]
+    down = f"sw-d-{read}"
     return "".join(r if isinstance(r, str) else r.decode(written, down) for r in runs)
 
 
@@ -186,6 +196,41 @@ def _changes_letters(text: str, found: str) -> bool:
     return any(a != b and (a.isalpha() or padded[i].isalpha() and padded[i + 2].isalpha()) for i, (a, b) in enumerate(zip(text, found)))
 
 
+def _breaks_words(text: str, found: str) -> bool:
+    """Whether a reading of equal length puts a mark inside a word in place of
+    a letter; apostrophes and hyphens belong there."""
+    return any(a != b and a.isalpha() and not b.isalnum() and b not in "'’-‐­" and found[i - 1 : i].isalpha() and found[i + 1 : i + 2].isalpha() for i, (a, b) in enumerate(zip(text, found)))
+
+
+def _likelier(lm: PairModel, texts: list[str], most_unseen: float, per_change: float) -> dict[int, list[tuple[int, float, str]]]:
+    """The readings of each text that are likelier than the text, with their
+    gains, by the text's place."""
+    trials = [(i, k, found) for i, text in enumerate(texts) for k, found in readings(text)]
+    if not trials:
+        return {}
+    at = np.array([t[0] for t in trials])
+    total, base = lm.totals([t[2] for t in trials]), lm.totals(texts)
+    good = np.flatnonzero(total - base[at] > per_change)
+    if not len(good):
+        return {}
+    # The rival explanation: characters that merely look alike.
+    asked = [i for i in np.unique(at[good]).tolist() if not is_subject(texts[i])]
+    plain = dict(zip(asked, lm.totals([normalize(texts[i]) for i in asked]))) if asked else {}
+    good = [g for g in good.tolist() if at[g] in plain and total[g] - max(base[at[g]], plain[at[g]]) > per_change]
+    if not good:
+        return {}
+    by: dict[int, list[tuple[int, float, str]]] = {}
+    for g, odd in zip(good, lm.score([trials[g][2] for g in good])[2]):
+        i, k, found = trials[g]
+        high = len(_HIGH.findall(found)) + 1
+        narrow = set(KEYS[k].split("+")[:2]) <= _NARROW
+        if narrow and (not _changes_letters(texts[i], found) or len(found) == len(texts[i]) and _breaks_words(texts[i], found)):
+            continue
+        if odd <= (most_unseen / 2 if narrow else most_unseen) * high:
+            by.setdefault(i, []).append((int(k), float(total[g] - max(base[i], plain[i])), found))
+    return by
+
+
 def _fit_source(rows: pd.DataFrame, steps: int) -> pd.DataFrame:
     """Key shares of one source from its histogram of log-likelihood gains."""
     sets = [(list(k), np.array(g, dtype=float), n) for k, g, n in zip(rows["keys"], rows["gains"], rows["n"])]
@@ -233,32 +278,17 @@ def garbled_fields(
                 texts = list(dict.fromkeys(some))
                 if not texts:
                     continue
-                base, _, rare = lm.score(texts)
                 best: dict[str, tuple] = {}
-                asked = [int(i) for i in np.flatnonzero(rare > 0)]
-                # The rival explanation: characters that merely look alike.
-                rival, _, left = lm.score([normalize(texts[i]) for i in asked]) if asked else (base, base, base)
-                plain = dict(zip(asked, rival))
-                # Texts that look-alikes explain wholly need no deciphering.
-                tried = [i for i, u in zip(asked, left) if u > 0]
-                trials = [(i, k, found) for i in tried for k, found in readings(texts[i])]
-                by: dict[int, list] = {}
-                if trials:
-                    total, _, odd = lm.score([t[2] for t in trials])
-                    for (i, k, found), t, o in zip(trials, total, odd):
-                        gain = t - max(base[i], plain[i])
-                        high = len(_HIGH.findall(found)) + 1
-                        narrow = set(KEYS[k].split("+")[:2]) <= _NARROW
-                        if narrow and not _changes_letters(texts[i], found):
-                            continue
-                        if gain > per_change and o <= (most_unseen / 2 if narrow else most_unseen) * high and o < rare[i] and not is_subject(texts[i]):
-                            by.setdefault(i, []).append((int(k), float(gain), found))
-                for i in asked:
-                    lost = lost_letters(texts[i])
-                    # A mark of loss that was itself misread: no key is left.
-                    options = [] if "ï¿½" in texts[i] else sorted(by.get(i, []), key=lambda x: -x[1])[:4]
-                    if options or lost:
-                        best[texts[i]] = (options, lost)
+                # A few texts at a time, as each has up to some dozens of readings.
+                for at in range(0, len(texts), 256):
+                    part = texts[at : at + 256]
+                    by = _likelier(lm, part, most_unseen, per_change)
+                    for i, text in enumerate(part):
+                        lost = lost_letters(text)
+                        # A mark of loss that was itself misread: no key is left.
+                        options = [] if "ï¿½" in text else sorted(by.get(i, []), key=lambda x: -x[1])[:4]
+                        if options or lost:
+                            best[text] = (options, lost)
                 hit = some[some.isin(best)]
                 if len(hit):
                     yield pd.DataFrame(

@@ -1,9 +1,10 @@
 """Character-pair language model in a table of fixed size.
 
 Pairs are counted over all texts, each partition in one dense array, and
-summed by cell; the table has ``CELLS`` cells whatever the corpus, so that is
-the bound of what is collected and broadcast (4 MB of float32). Letters are
-folded to lower case and digits to ``0``.
+summed by cell, and so are single code points of the basic plane; the tables
+have ``CELLS`` and 2^16 cells whatever the corpus, so that is the bound of what
+is collected and broadcast (below 9 MB of float32). Letters are folded to lower
+case and digits to ``0``.
 """
 
 from __future__ import annotations
@@ -53,19 +54,22 @@ def cells(codes: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(texts: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
-    """Counts of all pairs in text columns, by cell; nulls count nothing."""
+    """Counts of all pairs in text columns, by cell, then of all single code
+    points; nulls count nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros(CELLS + _FOLD_SIZE, dtype=np.int64)
         for batch in batches:
             values = [v for column in batch.columns for v in column.drop_null().to_pylist()]
             for i in range(0, len(values), 2048):
-                total += np.bincount(cells(joined_codes(values[i : i + 2048])[0]), minlength=CELLS)
+                codes = joined_codes(values[i : i + 2048])[0]
+                total[:CELLS] += np.bincount(cells(codes), minlength=CELLS)
+                total[CELLS:] += np.bincount(fold_codes(codes), minlength=_FOLD_SIZE)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["cell", "n"])
 
     counted = texts.select(*columns).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, dtype=np.int64)
+    out = np.zeros(CELLS + _FOLD_SIZE, dtype=np.int64)
     out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     return out
 
@@ -79,14 +83,31 @@ class PairModel:
     """Smoothed log probability of pairs.
 
     ``logp`` is the log of the share of a pair among all pairs, ``unseen``
-    its value for a pair that was never counted.
+    its value for a pair that was never counted. ``totals`` is the likelihood
+    of texts: each code point given the one before, with the share of single
+    code points behind it, so that texts of unlike length compare.
     """
 
-    def __init__(self, counts: np.ndarray, smoothing: float = 0.05):
+    def __init__(self, counts: np.ndarray, smoothing: float = 0.05, back: float = 20.0):
+        single, counts = counts[CELLS:].astype(float), counts[:CELLS]
+        self.pairs, self.single = counts.astype(np.float32), single.astype(np.float32)
+        # Typographic marks stand anywhere, also where no document has them.
+        single = single + np.where(_mild(np.arange(_FOLD_SIZE)), back, 0.0)
+        self.behind = (back * (single + smoothing) / (single.sum() + smoothing * _FOLD_SIZE)).astype(np.float32)
+        self.before = np.log(single + back).astype(np.float32)
         total = counts.sum() + smoothing * CELLS
         self.logp = np.log((counts + smoothing) / total).astype(np.float32)
         self.unseen = float(np.log(smoothing / total))
 
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """Per text: its log likelihood."""
+        codes, starts = joined_codes(texts)
+        c = fold_codes(codes)
+        a, b = c[:-1], c[1:]
+        # A cell may hold other pairs too, but a pair is no more frequent than its code points.
+        seen = np.minimum(self.pairs[cells(codes)], np.minimum(self.single[a], self.single[b]))
+        return np.add.reduceat(np.log(seen + self.behind[b]) - self.before[a], starts, dtype=np.float64)
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: sum of log probabilities, mean over the pairs that hold a
         code point beyond ASCII (0 where there is none), unseen such pairs

@@ -41,6 +41,16 @@ def test_long_and_broken_texts_are_deciphered():
     assert "shift_jis+utf-8" in [KEYS[k] for k, _ in readings(long)]
 
 
+def test_garbled_in_the_documents_too(spark, documents):
+    """Pairs that some documents hold are still scored, U+FFFD is still seen,
+    and entries with a dash are still what they are."""
+    garbled = [PLAIN.encode().decode("cp1252"), "Die n�chste Br�cke f�r alle"]
+    good = ["Hours: Mon–Fri 9–18 | Entry: 106 crowns", "Diese Anwendung benötigt JavaScript."]
+    dirty = documents.select("text", "title").unionByName(spark.createDataFrame([(t, None) for t in garbled], "text string, title string"))
+    got = {r["result_id"]: r for r in garbled_fields(rows_of(spark, garbled + good), prose_model(dirty)).collect()}
+    assert set(got) == {0, 1} and got[0]["restored"] == PLAIN
+
+
 def test_garbled_fields(spark, documents):
     bad = [PLAIN.encode().decode("cp1252"), RUSSIAN.encode("koi8_r").decode("cp1251"), "Die n�chste Br�cke f�r alle"]
     good = [PLAIN, RUSSIAN, None, "", "The � sign in Klaisai and 434 ways to get rid of it", "Trudainil 8.2 shows â€™ in every title: what to do", "x" * 50_000, "cut off at the en�"]
