@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.ngrams import PairModel, pair_counts
@@ -231,18 +231,33 @@ def _likelier(lm: PairModel, texts: list[str], most_unseen: float, per_change: f
     return by
 
 
+def _merged(options: list[tuple[int, float, str]], apart: float = 30.0) -> list[tuple[list[int], float, str]]:
+    """Readings of one text under one option with all their keys, the likeliest
+    first. One that is ``apart`` nats behind the first cannot be the choice of
+    any source of less than 10^11 texts, whatever its shares."""
+    keys: dict[str, list[int]] = {}
+    gains: dict[str, float] = {}
+    for k, gain, found in options:
+        keys.setdefault(found, []).append(k)
+        gains[found] = max(gain, gains.get(found, gain))
+    most = max(gains.values(), default=0.0)
+    return [(sorted(keys[f]), g, f) for f, g in sorted(gains.items(), key=lambda x: (-x[1], x[0])) if g > most - apart]
+
+
 def _fit_source(rows: pd.DataFrame, steps: int) -> pd.DataFrame:
     """Key shares of one source from its histogram of log-likelihood gains."""
-    sets = [(list(k), np.array(g, dtype=float), n) for k, g, n in zip(rows["keys"], rows["gains"], rows["n"])]
+    sets = [([k.tolist() for k in keys], np.array(g, dtype=float), n) for keys, g, n in zip(rows["keys"], rows["gains"], rows["n"])]
     total = float(rows["total"].iloc[0])
-    share = dict.fromkeys({k for s, _, _ in sets for k in s}, 1e-3)
+    share = dict.fromkeys(sorted({k for s, _, _ in sets for same in s for k in same}), 1e-3)
     for _ in range(steps):
         counts = dict.fromkeys(share, 0.05)
-        for keys, gains, n in sets:
-            odds = np.exp(np.clip(gains, -50, 50)) * np.array([share[k] for k in keys])
-            post = odds / (1.0 + odds.sum())
-            for k, p in zip(keys, post):
-                counts[k] += n * p
+        for options, gains, n in sets:
+            each = np.exp(np.clip(gains, -50, 50))
+            of = [sum(share[k] for k in same) for same in options]
+            whole = 1.0 + float(each @ np.array(of))
+            for same, odds in zip(options, each):
+                for k in same:
+                    counts[k] += n * odds * share[k] / whole
         share = {k: min(0.5, c / (total + 1.0)) for k, c in counts.items()}
     return pd.DataFrame({"source": rows["source"].iloc[0], "key": list(share), "log_share": [float(np.log(v)) for v in share.values()]})
 
@@ -286,7 +301,7 @@ def garbled_fields(
                     for i, text in enumerate(part):
                         lost = lost_letters(text)
                         # A mark of loss that was itself misread: no key is left.
-                        options = [] if "ï¿½" in text else sorted(by.get(i, []), key=lambda x: -x[1])[:4]
+                        options = [] if "ï¿½" in text else _merged(by.get(i, []))
                         if options or lost:
                             best[text] = (options, lost)
                 hit = some[some.isin(best)]
@@ -305,13 +320,22 @@ def garbled_fields(
 
     kind = rows.schema[key].dataType.simpleString()
     wanted = rows.select(key, F.coalesce(F.col(source).cast("string"), F.lit("")).alias(source), *fields)
-    options = materialize(wanted.mapInPandas(scan, f"id {kind}, source string, field string, keys array<int>, gains array<double>, found array<string>, lost boolean"), "garbled-options")
+    options = materialize(wanted.mapInPandas(scan, f"id {kind}, source string, field string, keys array<array<int>>, gains array<double>, found array<string>, lost boolean"), "garbled-options")
     totals = wanted.groupBy(F.col(source).alias("source")).agg((F.count("*") * len(fields)).alias("total"))
-    bins = options.filter(F.size("keys") > 0).groupBy("source", "keys", F.transform("gains", lambda g: F.least(F.round(g), F.lit(40.0))).alias("gains")).agg(F.count("*").alias("n"))
+    bins = options.filter(F.size("keys") > 0).groupBy("source", "keys", F.transform("gains", lambda g: F.round(g - F.greatest(F.array_max("gains") - 40.0, F.lit(0.0)))).alias("gains")).agg(F.count("*").alias("n"))
     shares = bins.join(totals, "source").groupBy("source").applyInPandas(lambda g: _fit_source(g, steps), "source string, key int, log_share double")
     shares = shares.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("key", "log_share"))).alias("shares"))
     scored = join_small(options, shares, ["source"])
-    ranked = F.transform(F.arrays_zip("keys", "gains", "found"), lambda o: F.struct((o["gains"] + F.coalesce(F.try_element_at("shares", o["keys"]), F.lit(-7.0))).alias("odds"), o["keys"].alias("k"), o["found"].alias("text")))
+    def share(k: Column) -> Column:
+        return F.coalesce(F.try_element_at("shares", k), F.lit(-7.0))
+
+    def weighed(o: Column) -> Column:
+        # The keys of one text count together; the most usual names it.
+        log_share = F.log(F.aggregate(o["keys"], F.lit(0.0), lambda x, k: x + F.exp(share(k))))
+        usual = F.array_max(F.transform(o["keys"], lambda k: F.struct(share(k).alias("s"), (-k).alias("k"))))
+        return F.struct((o["gains"] + log_share).alias("odds"), (-usual["k"]).alias("k"), o["found"].alias("text"))
+
+    ranked = F.transform(F.arrays_zip("keys", "gains", "found"), weighed)
     scored = scored.withColumn("best", F.array_max(ranked)).withColumn("won", F.coalesce(F.col("best.odds") > 0, F.lit(False)))
     names = F.array(*[F.lit(k) for k in KEYS])
     text = F.when(F.col("won"), F.col("best.text"))

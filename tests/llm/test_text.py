@@ -2,7 +2,7 @@
 
 import pytest
 
-from sievewright.llm.encoding import KEYS, decipher, garbled_fields, is_subject, lost_letters, prose_model, readings
+from sievewright.llm.encoding import KEYS, _merged, decipher, garbled_fields, is_subject, lost_letters, prose_model, readings
 from sievewright.llm.languages import document_languages, fit_languages, plain_code, segments, sentences
 from sievewright.llm.residue import residue_fields
 from sievewright.llm.truncation import cut_rates, cut_texts, scan_structure
@@ -51,6 +51,13 @@ def test_garbled_in_the_documents_too(spark, documents):
     assert set(got) == {0, 1} and got[0]["restored"] == PLAIN
 
 
+def test_all_readings_reach_the_source_shares():
+    """A fifth reading stays, and keys that give one text are one option."""
+    options = [(k, 20.0 - k, f"text {k}") for k in range(6)] + [(9, 20.0, "text 0")]
+    got = _merged(options)
+    assert [o[2] for o in got] == [f"text {k}" for k in range(6)] and got[0][0] == [0, 9]
+
+
 def test_garbled_fields(spark, documents):
     bad = [PLAIN.encode().decode("cp1252"), RUSSIAN.encode("koi8_r").decode("cp1251"), "Die n�chste Br�cke f�r alle"]
     good = [PLAIN, RUSSIAN, None, "", "The � sign in Klaisai and 434 ways to get rid of it", "Trudainil 8.2 shows â€™ in every title: what to do", "x" * 50_000, "cut off at the en�"]
