@@ -4,8 +4,9 @@ A stack automaton reads a text once: brackets and quotes open and close,
 markup and entities must end, and what remains open at the end was cut, as
 was a text that ends in an ellipsis, in a broken byte sequence or escape, or
 without a terminator. A missing terminator alone is weighed against the
-source: where texts without one are the rule, or the text is a complete entry
-(a list of facts) away from the source's length limit, it says nothing.
+source: where texts without one are the rule it says nothing, nor where the
+text is a complete entry (a list of facts), unless the text's length is at a
+limit of the source: a peak of the lengths beyond which there is little.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.llm.visual import normalize
@@ -57,7 +58,8 @@ def scan_structure(text: str) -> tuple[bool, bool, bool, bool]:
 
 
 def _examined(rows: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """Structure of each text: ``key, source, size, strong, ended, entry``."""
+    """Structure of each text: ``key, source, size,
+    strong, ended, entry``, and a hash of the text."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -75,21 +77,44 @@ def _examined(rows: DataFrame, key: str, source: str, text: str) -> DataFrame:
                         seen[value, lost] = (marked or unclosed and not final, final, entry)
                 out.append(seen[value, lost])
             done = pd.DataFrame(out, columns=["strong", "ended", "entry"], index=frame.index)
-            yield pd.concat([frame[[key, source]], frame[text].str.rstrip().str.len().rename("size"), done], axis=1)
+            yield pd.concat([frame[[key, source]], frame[text].str.rstrip().str.len().rename("size"), done, frame["_text"]], axis=1)
 
-    kinds = f"{key} {rows.schema[key].dataType.simpleString()}, {source} string, size int, strong boolean, ended boolean, entry boolean"
-    return rows.select(key, source, text, "_lost").mapInPandas(scan, kinds)
+    kinds = f"{key} {rows.schema[key].dataType.simpleString()}, {source} string, size int, strong boolean, ended boolean, entry boolean, _text long"
+    return rows.select(key, source, text, "_lost", F.xxhash64(text).alias("_text")).mapInPandas(scan, kinds)
+
+
+def _limits(examined: DataFrame, source: str, edge: int, least: int = 3) -> DataFrame:
+    """Lengths at which a source cuts: ``source, _limits``.
+
+    A limit has at least ``least`` different open texts up to ``edge`` shorter,
+    one of them of its very length, more of them (by four deviations of a
+    count and two) than the lengths below let expect, and no more texts beyond
+    it than a tenth of those at it.
+    """
+    sizes = examined.groupBy(source, "size").agg(
+        F.count_distinct(F.when(~F.col("ended") & ~F.col("strong") & ~F.col("entry"), F.col("_text"))).alias("n"), F.count_distinct("_text").alias("all")
+    )
+    line = Window.partitionBy(source).orderBy("size")
+    at = F.sum("n").over(line.rangeBetween(1 - edge, 0))
+    below = F.coalesce(F.sum("n").over(line.rangeBetween(-5 * edge, -edge)), F.lit(0)) / 4
+    beyond = F.coalesce(F.sum("all").over(line.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
+    found = sizes.select(source, "size", "n", at.alias("at"), below.alias("below"), beyond.alias("beyond"))
+    peak = (F.col("n") > 0) & (F.col("at") >= least) & (F.col("at") > F.col("below") + 4 * F.sqrt("below") + 2) & (F.col("beyond") <= F.col("at") / 10)
+    return found.filter(peak).groupBy(source).agg(F.collect_set("size").alias("_limits"))
 
 
 def cut_texts(
     rows: DataFrame, garbled: DataFrame | None = None, residue: DataFrame | None = None, key: str = "result_id", source: str = "source", text: str = "snippet",
-    rule_share: float = 0.9, near_limit: float = 0.9,
+    rule_share: float = 0.9, edge: int = 12,
 ) -> DataFrame:
     """One row per text that is no residue: ``key, source, cut``.
 
     ``garbled`` (``key, restored``) gives the original of texts of wrong
     decoding, or null where letters are lost; ``residue`` (``key``) lists
-    texts to leave out. Null, empty and blank texts are left out. A null
+    texts to leave out. Texts without a terminator are a source's rule if they
+    are ``rule_share`` of its texts, to which two texts of each kind are added,
+    as a few texts show no rule. A text is at a limit if it is less than ``edge``
+    characters (a word) shorter. Null, empty and blank texts are left out. A null
     source is a source of its own. Repeated rows count each.
     """
     some = rows.select(key, source, text).filter(F.col(text).rlike(r"(?U)\S"))
@@ -102,15 +127,15 @@ def cut_texts(
         some = some.withColumn("_lost", F.lit(False))
     # Written once, as the baseline and the verdict both read it.
     examined = materialize(_examined(some.withColumn(source, F.coalesce(F.col(source).cast("string"), F.lit(""))), key, source, text), "text-ends")
-    # Baseline: how a source ends its texts, and the length it cuts them to.
-    baseline = examined.groupBy(source).agg(
-        F.avg((~F.col("ended") & ~F.col("strong")).cast("double")).alias("_open"),
-        F.count("*").alias("_n"),
-        F.max(F.when(~F.col("ended") & ~F.col("entry") & ~F.col("strong"), F.col("size"))).alias("_limit"),
-    )
+    # Baseline: how a source ends its texts, and the lengths it cuts them to.
+    opened = (~F.col("ended") & ~F.col("strong")).cast("double")
+    baseline = examined.groupBy(source).agg(((F.sum(opened) + 2) / (F.count("*") + 4)).alias("_open"))
+    baseline = baseline.join(_limits(examined, source, edge), source, "left")
     told = join_small(examined, baseline, [source])
-    rule = (F.col("_open") >= rule_share) & (F.col("_n") >= 20)
-    missing = ~F.col("ended") & ~rule & (~F.col("entry") | (F.col("size") >= near_limit * F.col("_limit")) & (F.col("size") > 90))
+    rule = F.col("_open") >= rule_share
+    at_limit = F.coalesce(F.exists("_limits", lambda x: (F.col("size") <= x) & (F.col("size") > x - edge)), F.lit(False))
+    exact = F.coalesce(F.array_contains("_limits", F.col("size")), F.lit(False))
+    missing = ~F.col("ended") & F.when(F.col("entry"), exact & ~rule).otherwise(~rule | at_limit)
     return told.select(key, F.when(F.col(source) != "", F.col(source)).alias(source), (F.col("strong") | missing).alias("cut"))
 
 

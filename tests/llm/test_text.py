@@ -123,6 +123,17 @@ def test_cut_uses_originals_and_rates(spark):
     assert scan_structure("")[0] is False
 
 
+def test_limit_of_a_source(spark):
+    """Cuts at a hard limit are found however many, and a habit is kept."""
+    words = "the survey of the index grew by some percent since last spring and most of the comments praise it " * 4
+    cut = [words[i : i + 160] for i in range(1, 41)]
+    habit = [words[i : i + 40 + 5 * i] for i in range(1, 41)]
+    for n in (19, 40):
+        rows = spark.createDataFrame([(i, "cuts", "x" + t[1:-1] + "x") for i, t in enumerate(cut[:n])] + [(100 + i, "habit", t.strip() + "x") for i, t in enumerate(habit)], "result_id long, source string, snippet string")
+        got = {r["source"]: r["n_cut"] for r in cut_rates(cut_texts(rows)).collect()}
+        assert got["cuts"] == n and got["habit"] <= 4
+
+
 def test_languages(spark, documents):
     model = fit_languages(documents)
     texts = [
