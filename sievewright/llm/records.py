@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -28,17 +29,22 @@ DASHES = "-–—―"
 # Delimiters and closing punctuation of URLs.
 URL_DELIMITERS = "/?#&;.,:!'\"()<>[]»*|"
 
-_TABLE = 0x30000
+_TABLE = 0x110000
+# Planes that hold assigned characters; all others are unassigned or private.
+_ASSIGNED = [range(0x40000), range(0xE0000, 0xE1000)]
 
 
 @lru_cache(maxsize=1)
 def fold_table() -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, ...]]]:
-    """(folded code or 0 to skip, separator flag, folds into several codes)."""
-    fold = np.zeros(_TABLE, dtype=np.uint32)
+    """(folded code or 0 to skip, separator flag, folds into several codes),
+    of every code point; those of private or later use stand for themselves."""
+    fold = np.arange(_TABLE, dtype=np.uint32)
     several: dict[int, tuple[int, ...]] = {}
-    for code in range(_TABLE):
+    for code in (c for plane in _ASSIGNED for c in plane):
         char = chr(code)
-        if 0xD800 <= code < 0xE000 or unicodedata.category(char)[0] not in "LNM":
+        kind = unicodedata.category(char)
+        if kind[0] not in "LNM":
+            fold[code] = code if kind in ("Cn", "Co") else 0
             continue
         folded = char.casefold()
         fold[code] = ord(folded[0])
@@ -91,8 +97,7 @@ def title_hashes(titles: pd.Series, seed: int = 1) -> np.ndarray:
     n = len(titles)
     if not len(codes):
         return np.zeros(n, dtype=np.int64)
-    small = np.minimum(codes, _TABLE - 1)
-    cut = part[small]
+    cut = part[codes]
     same = np.r_[False, rows[1:] == rows[:-1]]
     space = _spaces(codes)
     dash = np.isin(codes, [ord(c) for c in DASHES])
@@ -102,11 +107,11 @@ def title_hashes(titles: pd.Series, seed: int = 1) -> np.ndarray:
     colon = codes == 0x3A
     double = colon & np.r_[False, colon[:-1]] & same
     cut |= double
-    kept = fold[small]
+    kept = fold[codes]
     segment = (rows.astype(np.int64) << 34) + np.cumsum(cut)
     keep = kept > 0
     kept, segment = kept[keep], segment[keep]
-    kept, segment = _expand(kept, segment, small[keep], several)
+    kept, segment = _expand(kept, segment, codes[keep], several)
     ids, hashes = _segment_hashes(kept, segment, seed)
     return _row_sums(ids >> 34, hashes, n).view(np.int64)
 
@@ -141,8 +146,7 @@ def url_hashes(urls: pd.Series, seed: int = 2) -> np.ndarray:
     if not len(codes):
         return np.zeros(n, dtype=np.int64)
     fold, _, several = fold_table()
-    small = np.minimum(codes, _TABLE - 1)
-    folded = np.where(fold[small] > 0, fold[small], codes)
+    folded = np.where(fold[codes] > 0, fold[codes], codes)
     first = np.r_[True, rows[1:] != rows[:-1]]
     # Section of each code point: 0 up to "?", 1 up to "#", 2 beyond.
     start = np.flatnonzero(first)
@@ -168,7 +172,7 @@ def url_hashes(urls: pd.Series, seed: int = 2) -> np.ndarray:
     keep = ~(trailing | repeated | head)
     step = np.cumsum(head | np.r_[True, block[1:] != block[:-1]])
     segment = (rows.astype(np.int64) << 34) + (section.astype(np.int64) << 32) + step
-    kept, segment = _expand(folded[keep], segment[keep], small[keep], several)
+    kept, segment = _expand(folded[keep], segment[keep], codes[keep], several)
     ids, values = _segment_hashes(kept, segment, seed)
     if not len(ids):
         return np.zeros(n, dtype=np.int64)
@@ -207,8 +211,7 @@ class _Folds(dict):
     def __missing__(self, char: str) -> tuple[int, ...]:
         fold, _, several = fold_table()
         code = ord(char)
-        kept = code < _TABLE and fold[code]
-        self[char] = several.get(code, (int(fold[code]),)) if kept else ()
+        self[char] = several.get(code, (int(fold[code]),)) if fold[code] else ()
         return self[char]
 
 
@@ -247,32 +250,70 @@ def same_title(a: str, b: str) -> bool:
     return True
 
 
-def _url_pieces(url: str) -> tuple[str, frozenset[str], str]:
-    """Folded path, parameters and fragment; only for URLs that differ."""
-    text = "".join(c for c in url if not _is_space(c)).casefold()
-    text, _, fragment = text.partition("#")
-    path, _, query = text.partition("?")
+def _url_runs(url: str) -> list[tuple[int, int, int]]:
+    """(section, begin, end) of the runs of a URL: all up to the query, each
+    parameter, each part of the fragment."""
+    out, section, begin = [], 0, 0
+    for i, c in enumerate(url):
+        if c == "#" or section == 0 and c == "?" or section == 1 and c in "&?;":
+            out.append((section, begin, i))
+            section, begin = 2 if c == "#" else max(section, 1), i + 1
+    out.append((section, begin, len(url)))
+    return out
+
+
+def _url_codes(url: str, section: int, begin: int, end: int):
+    """Folded code points of a run without space, without delimiters at its
+    end, and without those that repeat."""
+    while end > begin and (url[end - 1] in URL_DELIMITERS or _is_space(url[end - 1])):
+        end -= 1
+    last = ""
+    for i in range(begin, end):
+        c = url[i]
+        if _is_space(c):
+            continue
+        if c != last or c not in URL_DELIMITERS:
+            yield from _FOLDS[c] or (ord(c),)
+        last = c
 
-    def tidy(piece: str) -> str:
-        piece = piece.rstrip(URL_DELIMITERS)
-        return "".join(c for i, c in enumerate(piece) if not (i and c == piece[i - 1] and c in URL_DELIMITERS))
 
-    parameters = query.replace("?", "&").replace(";", "&").split("&")
-    return tidy(path), frozenset(filter(None, map(tidy, parameters))), tidy(fragment.replace("#", ""))
+def _run_hash(url: str, run: tuple[int, int, int]) -> int | None:
+    """Rolling hash of a run, None where nothing of it counts."""
+    value, some = run[0], False
+    for code in _url_codes(url, *run):
+        value, some = (value * 0x9E3779B1 + code + 1) & 0xFFFFFFFFFFFFFFFF, True
+    return value if some else None
+
+
+def _same_codes(a: str, x: tuple[int, int, int], b: str, y: tuple[int, int, int]) -> bool:
+    return x[0] == y[0] and all(p == q for p, q in zip_longest(_url_codes(a, *x), _url_codes(b, *y)))
 
 
 def same_url(a: str, b: str) -> bool:
-    return a == b or _url_pieces(a) == _url_pieces(b)
+    """Two-cursor comparison of URLs: the parameters in any order, each once.
+    Runs are matched by rolling hash, and runs of equal hash by cursors."""
+    if a == b:
+        return True
+    left: dict[int, list] = {}
+    right: dict[int, list] = {}
+    for url, runs in ((a, left), (b, right)):
+        for run in _url_runs(url):
+            value = _run_hash(url, run)
+            if value is not None:
+                runs.setdefault(value, []).append(run)
+    return left.keys() == right.keys() and all(
+        all(any(_same_codes(a, x, b, y) for y in right[h]) for x in left[h]) and all(any(_same_codes(a, x, b, y) for x in left[h]) for y in right[h]) for h in left
+    )
 
 
 def canonical_key(title: str, url: str) -> str:
-    """Exact folded form, for the rows whose hashes collide wrongly."""
+    """Exact folded form, only for the rows whose hashes collide wrongly."""
     parts = sorted("".join(map(chr, _folded(title, *x))) for x in _title_parts(title))
-    path, parameters, fragment = _url_pieces(url)
-    return "\x1f".join([*filter(None, parts), "\x1e", path, *sorted(parameters), "\x1e", fragment])
+    runs = sorted({(run[0], "".join(map(chr, _url_codes(url, *run)))) for run in _url_runs(url)})
+    return "\x1f".join([*filter(None, parts), "\x1e", *(f"{k}{v}" for k, v in runs if v)])
 
 
-def collapse_records(rows: DataFrame, key: str = "result_id", title: str = "title", url: str = "url", salts: int = 64) -> DataFrame:
+def collapse_records(rows: DataFrame, key: str = "result_id", title: str = "title", url: str = "url", salts: int = 128) -> DataFrame:
     """Membership of every row with a title and a URL: ``first_id``, ``copy_id``.
 
     ``first_id`` is the smallest key of the record, also for the first row
@@ -280,8 +321,10 @@ def collapse_records(rows: DataFrame, key: str = "result_id", title: str = "titl
     URL belong to no record and are left out. The key must be unique; columns
     besides the three are ignored. An empty table gives no rows.
 
-    A record with a third of all rows is pre-aggregated map-side and joined
-    on a salted key, so it is never gathered in one task.
+    A record with a third of all rows is pre-aggregated map-side, and its rows
+    meet its head on a salted key, so it is never gathered in one task: heads
+    are first spread over the salts that their record has, at most ``salts``.
+    The hashes and the members are written once each while this is built.
     """
 
     @F.pandas_udf("struct<t:bigint,u:bigint>")
@@ -299,15 +342,11 @@ def collapse_records(rows: DataFrame, key: str = "result_id", title: str = "titl
     filled = rows.select(F.col(key).alias("id"), F.col(title).alias("t"), F.col(url).alias("u")).filter(F.col("t").rlike(r"(?U)\S") & F.col("u").rlike(r"(?U)\S"))
     hashes = filled.withColumn("h", hashed("t", "u")).select("id", "t", "u", F.col("h.t").alias("ht"), F.col("h.u").alias("hu"))
     hashes = materialize(hashes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")), "record-hashes")
-    ids = hashes.groupBy("ht", "hu").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    heads = ids.filter("n > 1").join(hashes.select(F.col("id").alias("first_id"), F.col("t").alias("rt"), F.col("u").alias("ru")), "first_id")
-    # Records of many copies are repeated once a salt, the others once.
-    many = F.col("n") > salts * 16
-    heads = heads.withColumn("salt", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))))
-    heads = heads.select("ht", "hu", "salt", "first_id", "rt", "ru")
-    large = ids.filter(many).select("ht", "hu", F.lit(True).alias("many"))
-    copies = hashes.join(large, ["ht", "hu"], "left").withColumn("salt", F.when(F.col("many"), F.col("salt")).otherwise(F.lit(-1)))
-    joined = copies.join(heads, ["ht", "hu", "salt"], "left")
+    groups = hashes.groupBy("ht", "hu", "salt").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    ids = groups.groupBy("ht", "hu").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n")).filter("n > 1")
+    heads = ids.join(hashes.select(F.col("id").alias("first_id"), F.col("t").alias("rt"), F.col("u").alias("ru")), "first_id").select("ht", "hu", "first_id", "rt", "ru")
+    spread = groups.select("ht", "hu", "salt").join(heads, ["ht", "hu"])
+    joined = hashes.join(spread, ["ht", "hu", "salt"], "left")
     single = F.col("first_id").isNull() | (F.col("first_id") == F.col("id"))
     checked = joined.withColumn("same", F.when(~single, verified("t", "rt", "u", "ru")).otherwise(F.lit(True)))
     members = materialize(checked.select("id", "same", "ht", "hu", F.coalesce("first_id", "id").alias("first_id"), F.when(~F.col("same"), F.col("t")).alias("t"), F.when(~F.col("same"), F.col("u")).alias("u")), "record-members")

@@ -74,3 +74,12 @@ def test_url_hash_agrees_with_comparison(urls):
     for i, a in enumerate(urls):
         for j, b in enumerate(urls):
             assert (hashes[i] == hashes[j]) == same_url(a, b), (a, b)
+
+
+def test_letters_beyond_the_assigned_planes_count(spark):
+    """Letters of any plane tell titles apart, also those of later use."""
+    pairs = [("\U00030000 x", "\U00030001 x"), ("\U0003134b x", "\U0003134c x"), ("\U000f0001 x", "\U000f0002 x")]
+    for a, b in pairs:
+        assert not same_title(a, b) and title_hashes(pd.Series([a]))[0] != title_hashes(pd.Series([b]))[0]
+    rows = spark.createDataFrame([(2 * i + j, t, "http://h.example/p") for i, p in enumerate(pairs) for j, t in enumerate(p)], "result_id long, title string, url string")
+    assert record_counts(rows).count() == 6
