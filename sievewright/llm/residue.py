@@ -1,18 +1,25 @@
 """Template residue, filler and error notices in place of content.
 
-Character n-gram models are fitted for three kinds of text: residue (filler
-and notices, from the example phrases below), subject (prose about such
-things, likewise), and natural prose (all documents). Each n-gram has a log
-likelihood ratio; windows of positive mean ratio localise residue, and a
-field whose letters are mostly inside such windows is residue. Unfilled
-placeholders are found by their syntax and kept as content where the subject
-model explains what stands around them.
+Character n-gram models are fitted for filler, for notices, for prose about
+such things and for natural prose. The first three start from stock phrases
+of public software and of typesetting (below; none is a text of the tables)
+and learn on: in each round the sentences of all rows that are mostly
+explained by them give their n-grams to them, which is expectation-
+maximisation with hard decisions. Natural prose is counted over all documents.
+
+A text is read as units (sentences, parts of a title). Unfilled placeholders,
+bare traces of missing values and status numbers enter as symbols of their
+own, so they are n-grams like others. Windows of high mean log likelihood
+ratio localise residue inside a unit. A field is residue if a unit is mostly
+covered by such windows, or holds a long run of them, or a placeholder, unless
+the model of prose about such things explains the sentence.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import numpy as np
 import pandas as pd
@@ -24,406 +31,506 @@ from sievewright.llm.ngrams import fold_codes
 from sievewright.llm.visual import normalize
 
 CELLS = 1 << 20
-# Examples of filler and unset defaults.
-FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
-ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
-duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
-excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
-curabitur pretium tincidunt lacus nulla gravida orci a odio nullam varius turpis et commodo pharetra
-vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae
-lorem ipsum sit amet dictum felis consectetur metus dolor sagittis lacus magna ornare porta augue quisque tellus vel vitae nulla
-quisque sagittis magna ornare metus dictum lacus vel augue porta tellus felis amet nulla vitae lorem consectetur
-ornare dictum felis consectetur metus sit dictum dolor lorem sagittis sit lacus magna amet dictum ornare
-metus porta quisque augue lacus consectetur tellus augue vel lorem vitae felis ornare lacus
-sit ipsum sit metus vel nulla felis quisque vitae amet porta dolor tellus sagittis metus magna
-sample sample sample sample
-sample text goes here
-sample page title
-test test test
-test page please ignore
-title goes here
-your title here
-description goes here
-your text here
-insert text here
-placeholder text
-placeholder
-untitled document
+# Symbols: placeholder, bare trace of a value, status number, start and end of a unit.
+SLOT, TRACE, STATUS, BEGIN, END = "", "", "", "", ""
+_TEXT, _UNIT = "\x02", "\n"
+
+# Filler of typesetters and the words of placeholder generators.
+FILLER = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam.
+Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos.
+At vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque corrupti.
+Curabitur pretium tincidunt lacus. Nulla gravida orci a odio. Nullam varius, turpis et commodo pharetra.
+Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae.
+Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.
+Vivamus vitae massa, felis augue, porta metus, quisque tellus, sagittis ornare, dictum lacus, magna vel, nulla amet.
+Aenean lectus. Maecenas mattis ligula. Phasellus ultrices nulla quis nibh. Donec dictum, metus in sagittis porta.
+Quisque volutpat condimentum velit. Integer ornare felis, tellus vitae augue. Praesent mauris, fusce nec tellus sed augue semper porta.
+sample text sample text
+this is sample text only
+test test
+test text test text
+this is a test page
+your title goes in here
+your heading here
+the description goes here
+insert your text here
+replace this text with your own content
+type your text here
+text placeholder
+placeholder text, please replace
 untitled page
-untitled
-new page
-no title
-no description available
-add a description for here
-enter a description here
-todo write the teaser for
-todo write the summary
-tbd content coming soon
+untitled document 1
+no title given
+no description given
+add your description here
+enter your description here
+write something about
+todo: write a teaser
+todo: add text
+tbd
 coming soon
-this is placeholder text please replace it
-asdf asdf asdf
-foo bar baz
-xxx xxx xxx
-这里是占位文字，请替换。
-此处填写标题
-示例文字
-ダミーテキストです。
-ここにタイトルを入力
-サンプルテキスト
-여기에 제목을 입력하세요
-샘플 텍스트입니다
-texto de ejemplo
-texto de relleno
-texto de exemplo
-testo segnaposto
-testo di esempio
-texte de remplissage
-texte d’exemple
-blindtext
-platzhaltertext
-hier steht später der text
-voorbeeldtekst
-текст-заполнитель
-здесь будет текст
-null null
-nan items from undefined
-undefined undefined
-object object"""
-# Examples of error, block, maintenance and script notices.
-NOTICES = """please enable javascript to continue
-please turn on javascript to continue
-please activate javascript to view this page
-please allow javascript in your settings
-please switch on javascript and try again
-please enable javascript for the best experience
-you need to enable javascript to run this app
-you need to switch on javascript to run this app
-you need to activate javascript to run this app
-you need to allow javascript to run this app
-this site requires javascript enable it and reload
-this site works only with javascript enable it to continue
-works only with javascript turn it on in your settings
-javascript is disabled in your browser enable it for the best experience
-javascript is not enabled in your browser activate it to use the site
-javascript is turned off in your browser allow it to view this page
-javascript is blocked in your browser switch it on and try again
-it looks like javascript is turned off cannot show without it
-it looks like javascript is disabled cannot be displayed without it
-we noticed that scripts are turned off activate them and try again
-we noticed that scripts are blocked allow them for the best experience
-loading if nothing appears enable scripts and try again
-loading if nothing appears switch on scripts in your settings
-scripts must be allowed and try again your browser blocks them
-scripts must be allowed for the best experience your browser blocks them
-noscript this view cannot be shown without js
-bitte aktivieren sie javascript um diese seite anzuzeigen
-diese seite benötigt javascript
-diese anwendung benötigt javascript
-ohne javascript kann nicht angezeigt werden
-veuillez activer javascript pour continuer
-activez javascript pour afficher cette page
-active javascript en su navegador para ver el contenido
-habilite javascript para continuar
-ative o javascript para continuar a navegar
-precisa de javascript para funcionar
-abilita javascript per visualizzare la pagina
-attivare javascript per continuare
-schakel javascript in om deze pagina te bekijken
-zet javascript aan om verder te gaan
-javascript is nodig om deze pagina te tonen
-включите javascript чтобы продолжить
-для работы нужен javascript
-请启用 javascript 后刷新页面。
-请开启 javascript 以继续浏览。
-需要 javascript 才能显示此页面
-このページを表示するには javascript を有効にしてください。
-javascript を有効にして再読み込みしてください
-이 페이지를 보려면 자바스크립트를 켜 주세요.
-자바스크립트를 활성화해 주세요
-404 not found
-error 404 not found
-error 403 forbidden
-error 410 gone
-error 429 too many requests
-error 500 internal server error
-error 502 bad gateway
-error 503 service unavailable
-error 504 gateway timeout
-http 404 not found
-http 403 forbidden
-http 502 bad gateway
-http 503 service unavailable
-http 504 gateway timeout
-http 429 too many requests
-http 410 gone
-not found 404
-forbidden 403
-bad gateway 502
-service unavailable 503
-gateway timeout 504
-too many requests 429
-internal server error 500
-gone 410
-not found
-page not found
-the page you requested could not be found
-we are sorry in cannot be reached right now service unavailable
-we are sorry cannot be reached right now bad gateway
-the server answered with status 404
-internal server error reference
-an unexpected error occurred reference
-the link to has expired go back to the home page
-oops we could not find what you were looking for
-your request was blocked by the security gateway event id
-your browser has scripting turned off so the content cannot be displayed
-アクセスが集中しています。しばらくしてからお試しください。
-something went wrong please try again later
-upstream connect error reset reason timeout
-request timed out after ms
-connection refused
-connection timed out
-database connection failed in on line
-warning undefined index in on line
-fatal error uncaught exception in on line
-exception in thread main parse failure at offset
-notice undefined variable in template on line
-warning undefined index desc in template inc on line
-is temporarily unavailable code
-this site is down for maintenance please try again in minutes
-we are currently performing scheduled maintenance
-too many requests slow down and retry after seconds
-session expired please reload the page
-your session has expired please log in again
-access denied
-access denied you don't have permission to access this resource
-access to this resource is forbidden for your address
-verify that you are human this may take seconds
-checking your browser before accessing
-please complete the captcha to continue
-unusual traffic from your network
+content coming soon
+more content to follow
+dummy text
+filler text
+asdf qwerty asdf
+asdf asdf
+foo bar baz qux
+xxx xxxx xxx
+aaa bbb ccc
+text text text
+blah blah blah
+这里是示例文字，请替换为正式内容
+请在此处输入标题
+占位文本
+测试测试测试
+ここに本文を入力してください
+これはダミーテキストです
+仮のテキスト
+여기에 내용을 입력하세요
+임시 텍스트입니다
+este es un texto de ejemplo
+escriba aquí su texto
+aquí va el texto
+este é um texto de exemplo
+insira aqui o seu texto
+questo è un testo di esempio
+inserire qui il testo
+ceci est un texte d’exemple
+insérez votre texte ici
+dies ist ein Blindtext
+hier könnte Ihr Text stehen
+Platzhalter für Text
+Mustertext
+dit is een voorbeeldtekst
+hier komt de tekst
+это пример текста
+введите текст сюда
+здесь будет текст"""
+
+_SWITCH = "enable|turn on|activate|switch on|allow"
+_OFF = "disabled|turned off|switched off|blocked|not enabled|deactivated"
+# Wordings of notices in public software; alternatives stand in
+# braces and are written out by ``_written_out``.
+NOTICES = f"""{{{_SWITCH}}} JavaScript in your browser and reload this page
+please {{{_SWITCH}}} JavaScript and refresh the page
+please {{{_SWITCH}}} JavaScript to use this application
+you must {{{_SWITCH}}} JavaScript to see this content
+JavaScript is {{{_OFF}}} in your web browser, {{enable|allow|activate}} it in your settings
+it seems that JavaScript is {{{_OFF}}} in this browser
+we have detected that scripts are {{{_OFF}}}, {{enable|allow|activate}} scripts to go on
+this {{page|site|app|view}} {{needs|requires}} JavaScript to work
+this {{page|site|app|view}} does not work without JavaScript
+cannot be shown without {{JavaScript|scripts|JS}}
+your browser {{blocks|does not run|does not support}} {{JavaScript|scripts}}
+scripting is {{{_OFF}}} in your browser, some content cannot be displayed
+if nothing loads, {{{_SWITCH}}} scripts
+noscript: this needs JS
+Bitte {{aktivieren|erlauben}} Sie JavaScript im Browser, um die Seite zu nutzen
+ohne JavaScript funktioniert diese Seite nicht und kann nicht dargestellt werden
+diese Anwendung braucht JavaScript
+veuillez {{activer|autoriser}} JavaScript dans votre navigateur pour afficher la page
+cette page a besoin de JavaScript pour fonctionner
+{{active|habilite|permita}} JavaScript en el navegador para ver esta página
+esta página necesita JavaScript para funcionar
+{{ative|habilite}} o JavaScript no navegador para ver esta página e continuar
+esta página precisa do JavaScript para funcionar
+{{abilitare|attivare|abilita}} JavaScript nel browser per vedere la pagina e continuare
+questa pagina richiede JavaScript per funzionare
+{{schakel|zet}} JavaScript in uw browser aan om deze pagina te zien
+deze pagina werkt niet zonder JavaScript, JavaScript is nodig
+{{включите|разрешите}} JavaScript в браузере, чтобы открыть страницу
+для работы страницы нужен JavaScript
+请在浏览器中{{启用|开启|打开}} JavaScript 后{{重试|刷新|继续浏览}}
+本页面需要 JavaScript 才能{{正常使用|运行|显示}}
+JavaScript を{{有効|オン}}にしてからページを再読み込みしてください
+このサイトを利用するには JavaScript が必要です
+자바스크립트를 {{켜고|활성화하고|허용하고}} 다시 시도해 주세요
+이 페이지는 자바스크립트가 필요합니다
+the page you {{requested|are looking for|tried to open}} {{could not be found|does not exist|has been moved or removed|cannot be found}}
+oops! that page can’t be found, nothing was found here
+nothing here, the page has moved or never existed
+the requested URL was not found on this server
+the link you followed {{may be broken|has expired}}, return to the home page
+error {STATUS}: page not found
+the server {{returned|responded with}} {{error|status}} {STATUS}
+we are sorry, the {{service|site|page}} {{cannot be reached|is not available}} right now
+this site can’t be reached
+service is temporarily unavailable, error code {STATUS}
+the server encountered an internal error and was unable to complete your request
+an unexpected error has occurred, reference number 0
+something went wrong on our end, try again in a few minutes
+oops, something went wrong
+an error occurred while processing your request, error id 0
+we could not load this page, reload it
+upstream request timeout
+upstream connect error or disconnect before headers, reset reason: connection timeout
+the connection timed out after 0 ms
+request timed out
+connection refused by the server
+connection reset
+error establishing a database connection
+could not connect to the database in /var/www/index.php on line 0
+Warning: Undefined variable $x in /var/www/index.php on line 0
+Warning: Undefined array key x in /var/www/index.php on line 0
+Notice: Undefined offset in template on line 0
+Fatal error: Uncaught Exception in /var/www/index.php on line 0
+Parse error: syntax error in index.php on line 0
+Exception in thread x: java.lang.NullPointerException at line 0
+Traceback (most recent call last): parse failure at offset 0
+unhandled exception, stack trace follows
+rate limit exceeded, slow down and retry in 0 seconds
+too many requests from your address
+your session has {{expired|timed out}}, sign in again or reload
+access to this {{page|resource|address}} {{is denied|is forbidden|has been blocked}}
+you don't have permission to access this resource
+your request was blocked by a security rule, event 0
+checking that your connection is secure, verify you are human, this may take a few seconds
+please complete the security check, solve the captcha
+we noticed unusual traffic from your network
 attention required
-die seite wurde nicht gefunden
-seite nicht gefunden
-fehler 404 die seite wurde nicht gefunden
-fehler die angeforderte seite wurde nicht gefunden
-die verbindung zu wurde unterbrochen code
-wegen wartungsarbeiten nicht erreichbar
-page introuvable
-erreur 404 page introuvable
-erreur page introuvable
-le service est momentanément indisponible
-site en maintenance revenez plus tard
-accès refusé
-página no encontrada 404
-error 404 página no encontrada
-el servicio no está disponible por mantenimiento
-acceso denegado
-página não encontrada erro 404
-erro 404 página não encontrada
-o serviço está temporariamente indisponível
-acesso negado
-pagina non trovata
-errore 404 pagina non trovata
-il servizio non è al momento disponibile
-sito in manutenzione
-pagina niet gevonden
-fout 404 pagina niet gevonden
-de server is tijdelijk niet bereikbaar
-site in onderhoud
-страница не найдена
-ошибка 404 страница не найдена
-ошибка 500 попробуйте позже
-ошибка 503 попробуйте позже
-сервер временно недоступен
-доступ запрещён
-页面不存在
-404 错误：您访问的页面已被删除
-系统维护中，请稍后访问。
-访问被拒绝
-服务器错误，请稍后再试
-お探しのページは見つかりませんでした
-はメンテナンス中です。
-エラーが発生しました。しばらくしてからお試しください
-アクセスが拒否されました
-페이지를 찾을 수 없습니다
-서버 점검 중입니다.
-오류가 발생했습니다 잠시 후 다시 시도해 주세요
-접근이 거부되었습니다"""
+this {{site|page|service}} is {{down|closed|offline}} for {{scheduled |}}maintenance, please {{check back|try again}} in 0 minutes
+we are performing planned maintenance, back soon
+under maintenance, come back later
+{{Fehler|HTTP}} {STATUS}: die {{Seite|angeforderte Seite}} wurde nicht gefunden
+diese Seite existiert nicht mehr
+der Dienst ist {{vorübergehend|derzeit}} nicht verfügbar
+wegen Wartung {{geschlossen|nicht erreichbar}}, bitte später erneut versuchen
+die Verbindung wurde unterbrochen
+Zugriff verweigert
+erreur {STATUS}, cette page est introuvable
+la page demandée n’existe pas
+le service est temporairement indisponible
+le site est en maintenance, merci de revenir plus tard
+accès interdit
+error {STATUS}, la página no existe o no se ha encontrado
+no se encuentra la página
+el servicio no está disponible por tareas de mantenimiento
+sitio en mantenimiento, vuelva más tarde
+acceso no permitido, acceso denegado
+erro {STATUS}, esta página não existe ou não foi encontrada
+o serviço está indisponível de momento, temporariamente
+site em manutenção, volte mais tarde
+o acesso foi negado
+errore {STATUS}, la pagina non è stata trovata
+la pagina richiesta non esiste
+il servizio non è disponibile al momento
+sito in manutenzione, torna più tardi
+accesso negato
+fout {STATUS}, deze pagina is niet gevonden
+de pagina bestaat niet meer
+de server is tijdelijk onbereikbaar
+de site is in onderhoud, probeer het later opnieuw
+toegang geweigerd
+ошибка {STATUS}, такой страницы не существует, страница не найдена
+запрошенная страница удалена
+сервер временно не отвечает, сервис временно недоступен, попробуйте позже
+сайт на техническом обслуживании
+доступ к странице запрещён
+错误 {STATUS}，找不到该页面
+您访问的页面不存在或已被删除
+系统正在维护，请稍后再试
+服务器暂时无法访问，请稍后重试
+没有访问权限，拒绝访问
+エラー {STATUS}、ページが見つかりません
+指定されたページは存在しません
+ただいまメンテナンス中です。しばらくお待ちください
+アクセスが集中しているため、しばらくしてからアクセスしてください
+アクセス権がありません
+오류 {STATUS}, 요청하신 페이지를 찾을 수 없습니다
+존재하지 않는 페이지입니다
+서비스 점검 중입니다. 잠시 후 다시 이용해 주세요
+접속이 지연되고 있습니다
+접근 권한이 없습니다"""
+
 # Prose that has such things as its subject.
-SUBJECT = """how to design a friendly 404 page with
-fixing 502 bad gateway in
-fixing 503 service unavailable in
-why some sites ask you to enable javascript
-access denied tips for administrators
-null and undefined explained for beginners
-a short history of lorem ipsum in
-designers in have used lorem ipsum for decades but now suggests real text instead
-untitled a night of new music in
-about of visitors to keep javascript disabled so renders its pages on the server
-a 503 service unavailable reply usually means that the is overloaded wait seconds and look at the
-the guide explains why the may answer 404 not found and how logs it
-in templates name is replaced by the value of a field and filters are built in
-version lets you write user name in messages which fills in at run time
-what name means in templates
-escaping var in shell scripts
-the article shows how to write an error page that helps readers
-what the placeholder in the template stands for and how the engine fills it
-why the server returns an error and what administrators can do about it
-maintenance windows explained what happens when a site is down
-captcha tests and why people dislike them
-how browsers run scripts and what happens when javascript is turned off"""
-
-# Complete entries that are lists of facts, not sentences.
-ENTRIES = """stars forks licence permissive
-issn volume
-m above sea level
-humidity
-tags
-author team pages language english
-hours mon fri entry crowns
-version kb updated last spring
-platz
-prix couronnes
-价格 元 地点
-price rating in stock
-opening hours address phone"""
+SUBJECT = """how to design an error page that helps your readers
+what to write on a 404 page
+ways to fix a 502 error in your proxy, step by step
+fixing 500 errors: causes and solutions
+why websites ask their visitors to turn on JavaScript
+why so many pages need scripts enabled
+how browsers run scripts, and what happens without them
+how many visitors keep scripts disabled, so the site renders its pages on the server
+access control explained, tips for administrators
+null, nil, None and undefined: differences explained for beginners
+undefined behaviour explained
+the history of lorem ipsum, and why designers use it for decades
+why designers should use real text instead of lorem ipsum
+untitled: a new album, a night of music, an exhibition
+a reply with status 503 usually means that the server is overloaded; wait some seconds and look at the logs
+the server answers 404 when a page is missing, and the guide explains how it is logged
+what does a placeholder like {{variable}} mean in a template file
+meaning of ${variable} in scripts
+in a template the placeholder is replaced by the value of the field, and filters can be applied
+the variable in the template is filled in at run time
+you can write placeholders in messages, which the program fills in
+how to use variables in templates, the syntax explained
+escaping variables in shell scripts and strings
+the format string takes a value for each placeholder
+the function returns null when the value is missing
+maintenance windows explained: how to plan them
+captchas explained, and why people dislike them"""
+
+
+def _written_out(line: str) -> list[str]:
+    """A line with every choice of its alternatives, one group at a time."""
+    at = re.search(r"\{([^{}]*\|[^{}]*)\}", line)
+    return [x for part in at.group(1).split("|") for x in _written_out(line[: at.start()] + part + line[at.end() :])] if at else [line]
+
+
+def seeds() -> dict[str, list[str]]:
+    """The stock phrases by kind; status lines are those of HTTP's registry."""
+    status = [f"{prefix}{STATUS}{mark}{s.phrase}" for s in HTTPStatus if s >= 400 for prefix, mark in (("", " "), ("Error ", ": "), ("HTTP ", " - "))]
+    status += [s.phrase for s in HTTPStatus if s >= 400] + [f"{s.phrase}. Reference 0" for s in HTTPStatus if s >= 400] + [STATUS, f"Error {STATUS}", f"HTTP {STATUS}"] * 20
+    return {"filler": FILLER.split("\n"), "notices": status + [x for line in NOTICES.split("\n") for x in _written_out(line)], "subject": SUBJECT.split("\n")}
+
 
 _PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%=?[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\[\[[^\]\n]{1,60}\]\]|\[%[^%\n]{1,60}%\]|%[A-Za-z][\w.]{1,40}%"
-    r"|__[A-Z][A-Z0-9_]{1,40}__|@@\w{2,40}@@|\$[A-Z][A-Z0-9_]{1,40}\$|\{[A-Za-z_][\w.]{0,40}\}|\{\d{1,2}\}"
-    r"|\[(?:INSERT|YOUR|ADD|ENTER)\b[^\]\n]{0,60}\]|<(?!/?(?:b|i|p|a|br|em|strong|span|div|u|s|sup|sub|li|ul|h[1-6])\b)[a-z]+(?:[_.][a-z]+)*>|(?<![\w%])%[sd](?!\w)|\[object Object\]"
+    r"\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|<%=?[^%\n]+%>|[$#]\{[^{}\n]+\}|\[\[[^\[\]\n]+\]\]|\[%[^%\n]+%\]|%[A-Za-z][\w.]+%"
+    r"|__[A-Z][A-Z0-9_]*[A-Z0-9]__|@@\w+@@|\$[A-Z][A-Z0-9_]+\$|\{[A-Za-z_][\w.]*\}|\{\d{1,2}\}"
+    r"|\[(?:INSERT|YOUR|ADD|ENTER)\b[^\[\]\n]*\]|<(?!/?(?:b|i|p|a|br|em|strong|span|div|u|s|sup|sub|li|ul|h[1-6])\b)[a-z]+(?:[_.-][a-z]+)*>|(?<![\w%])%[sd](?!\w)"
 )
-_TRACE = re.compile(r"(?<![\w.])(?:undefined|null|NaN|None|nil|\(null\))(?![\w.]\w)")
-_PART = re.compile(r"\s*(?:[|｜·»:–—]|\s-\s|::)\s*")
-
-
-_MARKS = re.compile(r"[^\w\n]+|_+")
+_BARE = re.compile(r"(?<![\w.\"'“‘])(?:undefined|null|NaN|None|nil|\(null\)|\[object Object\])(?![\w.]\w)(?![\"'”’])")
+_HINT = re.compile(r"[{}%\[\]<>$@#]|__|undefined|null|NaN|None|nil")
+# Ends of units: sentence ends, separators of title parts, spaced dashes, lines.
+_BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])|\s*[|｜·•¦»«‖]\s*|\s+[-–—―]+\s+|\n+|::")
+_STATUS_RE = re.compile(r"(?<![\w.,:])[45]\d\d(?![\w]|[.,:]\d|%)")
+_MARKS = re.compile("[^\\w\\n\x02-]+|_+")
 _DIGITS = re.compile(r"\d+")
+_PRIVATE = re.compile("[-\x02]")
 
 
-def gram_cells(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of the n-gram at each position, and the line each stands in: five
-    code points in scripts with letters, two in Chinese, Japanese and Korean
-    writing; digits are folded and runs of space or marks count as one space."""
-    clean = _MARKS.sub(" ", _DIGITS.sub("0", text)).replace("\n", " \n ")
-    codes = fold_codes(np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-    raw = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lines = np.cumsum(raw == 10)
-    codes = codes.astype(np.uint64)
-    n = len(codes)
-    padded = np.concatenate([codes, np.full(4, 32, np.uint64)])
-    wide = codes >= 0x2E80
-    key = padded[:n] * np.uint64(0x9E3779B97F4A7C15) + padded[1 : n + 1] * np.uint64(0xC2B2AE3D27D4EB4F)
-    rest = padded[2 : n + 2] * np.uint64(0x165667B19E3779F9) + padded[3 : n + 3] * np.uint64(0x27D4EB2F165667C5) + padded[4 : n + 4] * np.uint64(0xD6E8FEB86659FD93)
-    key += np.where(wide, np.uint64(0), rest)
-    key ^= key >> np.uint64(31)
-    key *= np.uint64(0xBF58476D1CE4E5B9)
-    keep = raw != 10
-    keep[1:] &= ~((codes[1:] == 32) & (codes[:-1] == 32))
-    keep[-1:] = False
-    return (key >> np.uint64(44)).astype(np.int64)[keep], lines[keep]
-
-
-def _seed_shares(lines: str) -> np.ndarray:
-    total = np.zeros(CELLS)
-    for line in lines.split("\n"):
-        total += np.bincount(gram_cells(line)[0], minlength=CELLS)
-    return total / total.sum()
-
-
-def gram_shares(texts: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
-    """Shares of all n-grams of text columns, by cell; a table of fixed size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
+def with_symbols(text: str) -> str:
+    """A text with placeholders and traces of values as symbols; a trace is
+    one that begins or ends a unit."""
+    text = _PRIVATE.sub(" ", normalize(text))
+    if _HINT.search(text):
+        text = _PLACEHOLDER.sub(f" {SLOT * 12} ", text)
+        if _BARE.search(text):
+            out, at = [], 0
+            for m in [*_BREAK.finditer(text), None]:
+                unit = text[at : m.start() if m else len(text)]
+                out.append(_traced(unit))
+                if m:
+                    out.append(m.group())
+                    at = m.end()
+            text = "".join(out)
+    return text
+
+
+def _traced(unit: str) -> str:
+    found = [m for m in _BARE.finditer(unit) if not unit[: m.start()].strip(" .,:;'\"()") or not unit[m.end() :].strip(" .,:;'\"()!")]
+    if found and len(found) == 1 and found[0].group() in ("None", "nil") and unit.strip(" .'\"()!") != found[0].group() and found[0].start() == len(unit) - len(unit.lstrip()):
+        return unit
+    for m in reversed(found):
+        unit = f"{unit[: m.start()]} {TRACE * 6} {unit[m.end() :]}"
+    return unit
+
+
+class Units:
+    """The n-grams of a batch of texts: their cells and the unit of each, and
+    the text and symbols of each unit. N-grams are of five code points in
+    scripts with letters, of two in Chinese, Japanese and Korean writing;
+    digits are folded, and runs of space or marks count as one space."""
+
+    def __init__(self, texts: list[str]):
+        joined = _BREAK.sub(_UNIT, _TEXT.join(t.replace(_TEXT, " ") for t in texts))
+        joined = _DIGITS.sub("0", _STATUS_RE.sub(STATUS * 3, joined))
+        clean = _MARKS.sub(" ", joined).replace(_UNIT, f" {END}\n{BEGIN} ").replace(_TEXT, f" {END}\x02{BEGIN} ")
+        raw = np.frombuffer(f"{BEGIN} {clean} {END}".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        first = raw == 2
+        border = first | (raw == 10)
+        unit = np.cumsum(border)
+        keep = ~border
+        keep[1:] &= ~((raw[1:] == 32) & (raw[:-1] == 32))
+        kept = raw[keep]
+        codes = fold_codes(kept).astype(np.uint64)
+        n = len(codes)
+        padded = np.concatenate([codes, np.full(4, 32, np.uint64)])
+        key = padded[:n] * np.uint64(0x9E3779B97F4A7C15) + padded[1 : n + 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        rest = padded[2 : n + 2] * np.uint64(0x165667B19E3779F9) + padded[3 : n + 3] * np.uint64(0x27D4EB2F165667C5) + padded[4 : n + 4] * np.uint64(0xD6E8FEB86659FD93)
+        wide = (codes >= 0x2E80) & ~((codes >= 0xE000) & (codes <= 0xE004))
+        key += np.where(wide, np.uint64(0), rest)
+        key ^= key >> np.uint64(31)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        self.cells = (key >> np.uint64(44)).astype(np.int64)
+        self.unit = unit[keep]
+        # N-grams stay within their unit.
+        inside = np.ones(n, dtype=bool)
+        reach = np.where(wide, 1, 4)
+        ahead = np.minimum(np.arange(n) + reach, n - 1)
+        inside &= (self.unit[ahead] == self.unit) & (np.arange(n) + reach < n)
+        marked = np.r_[(codes == 0xE000) | (codes == 0xE001), np.zeros(4, dtype=bool)]
+        touched = marked[:n] | marked[1 : n + 1] | marked[2 : n + 2] | marked[3 : n + 3] | marked[4 : n + 4]
+        self.cells, self.unit, codes = self.cells[inside], self.unit[inside], codes[inside]
+        self.n_units = int(unit[-1]) + 1 if len(unit) else 0
+        self.text = np.cumsum(np.r_[0, first[border]])
+        # A character of wide scripts says as much as some letters.
+        self.weight = np.where((codes >= 0x2E80) & ~((codes >= 0xE000) & (codes <= 0xE004)), 2.5, 1.0)
+        self.symbol = np.where((codes == 0xE000) | (codes == 0xE001), codes, 0)
+        self.status = codes == 0xE002
+        # N-grams that reach into a placeholder or a trace.
+        self.touched = touched[inside]
+        self.size = np.bincount(self.unit, minlength=self.n_units)
+
+
+def _seed_counts(lines: list[str]) -> np.ndarray:
+    return np.bincount(Units([with_symbols(x) for x in lines]).cells, minlength=CELLS).astype(float)
+
+
+def _summed(texts: DataFrame, columns: tuple[str, ...], count, kinds: int) -> np.ndarray:
+    """Sum over all rows of tables of ``kinds`` times ``CELLS`` counts; each
+    task sends its non-zero cells, at most that many."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(kinds * CELLS, dtype=np.int64)
         for batch in batches:
-            values = [v for column in batch.columns for v in column.drop_null().to_pylist()]
+            values = list(dict.fromkeys(v for column in batch.columns for v in column.drop_null().to_pylist()))
             for i in range(0, len(values), 512):
-                total += np.bincount(gram_cells("\n".join(values[i : i + 512]))[0], minlength=CELLS)
+                for kind, cells in enumerate(count(values[i : i + 512])):
+                    total[kind * CELLS : (kind + 1) * CELLS] += np.bincount(cells, minlength=CELLS)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["cell", "n"])
 
-    counted = texts.select(*columns).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS)
-    out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
-    return out / max(out.sum(), 1.0)
-
+    found = texts.select(*columns).mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(kinds * CELLS)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(kinds, CELLS)
 
-class ResidueModel:
-    """Log likelihood ratios of n-grams: residue and subject against prose."""
-
-    def __init__(self, prose: np.ndarray, floor: float = 2e-6):
-        filler, notices, subject, entries = map(_seed_shares, (FILLER, NOTICES, SUBJECT, ENTRIES))
-        natural = np.maximum(np.maximum(prose, subject / 8), entries / 8)
-        self.residue = np.log((np.maximum(filler, notices) + floor) / (natural + floor)).astype(np.float32)
-        self.subject = np.log((subject + floor) / (np.maximum(prose, np.maximum(filler, notices)) + floor)).astype(np.float32)
-
-    def suspects(self, texts: list[str]) -> np.ndarray:
-        """Whether each text's mean ratio is positive; one pass over a batch."""
-        cells, lines = gram_cells("\n".join(t.replace("\n", " ") for t in texts))
-        n = np.bincount(lines, minlength=len(texts))
-        return np.bincount(lines, weights=self.residue[cells], minlength=len(texts)) > 0.3 * n
-
-    def coverage(self, text: str, window: int = 12) -> float:
-        """Share of a text's n-grams inside windows of positive mean ratio."""
-        ratios = self.residue[gram_cells(text.replace("\n", " "))[0]]
-        if len(ratios) < 3 or ratios.mean() < 0.5:
-            return 0.0
-        w = min(window, len(ratios))
-        sums = np.convolve(ratios, np.ones(w), "valid")
-        inside = np.zeros(len(ratios) + 1, dtype=np.int64)
-        hot = np.flatnonzero(sums > 0.8 * w)
-        np.add.at(inside, hot, 1)
-        np.add.at(inside, hot + w, -1)
-        return float((np.cumsum(inside)[:-1] > 0).mean())
-
-    def is_talk(self, text: str, least: float = 0.5) -> bool:
-        """Whether the subject model explains a text better than the others."""
-        ratios = self.subject[gram_cells(text.replace("\n", " "))[0]]
-        known = ratios[np.abs(ratios) > 0.05]
-        return len(known) >= 6 and float(known.mean()) > least
-
-
-_HINT = re.compile(r"[{}%\[\]<>$@#]|__|undefined|null|NaN|None|nil")
-_END = re.compile(r"[.!?](?:\s|$)|[。？！]")
-_STATUS = re.compile(r"^\W*(?:HTTP\s|Error\s|ERROR\s)?[45]\d\d\W+[^\W\d]+(?:\s[^\W\d]+)?\W*$")
 
+def prose_counts(documents: DataFrame, columns: tuple[str, ...] = ("text", "title")) -> np.ndarray:
+    """Counts of the n-grams of all documents, by cell; a table of fixed size."""
+    return _summed(documents, columns, lambda texts: [Units(texts).cells], 1)[0]
 
-def _sentence(text: str, start: int, end: int) -> str:
-    """What stands around a span within its sentence."""
-    before = [m.end() for m in _END.finditer(text, 0, start)]
-    after = _END.search(text, end)
-    return text[before[-1] if before else 0 : start] + " " + text[end : after.start() if after else len(text)]
 
-
-def kind_of(text: str, model: ResidueModel, suspect: bool = True, least_coverage: float = 0.6) -> str | None:
-    """``placeholder``, ``trace`` or ``notice``; None for content."""
-    text = normalize(text)
-    if _HINT.search(text):
-        for m in _PLACEHOLDER.finditer(text):
-            if not model.is_talk(_PLACEHOLDER.sub(" ", _sentence(text, m.start(), m.end()))):
-                return "placeholder"
-        if _TRACE.search(text):
-            parts = [p.strip(" .\"'()") for p in _PART.split(text)]
-            tail = re.search(r"(?:^|\s)(?:by|from|of|for|in|at|on|:) (?:undefined|null|NaN|None)\s*[.!]?\s*$", text)
-            head = re.match(r"^(?:NaN|undefined|null|None)\b(?! and\b)", text) and len(text) < 60
-            if any(_TRACE.fullmatch(p) for p in parts) or (tail or head) and not model.is_talk(text):
-                return "trace"
-    if _STATUS.match(text):
-        return "notice"
-    return "notice" if suspect and model.coverage(text) >= least_coverage else None
+class ResidueModel:
+    """Log likelihood ratios of n-grams by cell: residue and subject against
+    prose. ``learned`` are the counts that rows add to residue and to prose, beside
+    ``few`` n-grams of which nothing is known."""
+
+    def __init__(self, prose: np.ndarray, learned: np.ndarray | None = None, floor: float = 2e-6, window: int = 12, hot: float = 0.8, few: float = 50_000):
+        counts = {kind: _seed_counts(lines) for kind, lines in seeds().items()}
+        filler, notices, subject = (counts[k] / counts[k].sum() for k in ("filler", "notices", "subject"))
+        prose = written = prose / max(prose.sum(), 1.0)
+        residue = np.maximum(filler, notices)
+        if learned is not None:
+            residue, prose = (np.maximum(a, b / (b.sum() + few)) for a, b in zip((residue, prose), learned))
+        self.residue = np.log((residue + floor) / (np.maximum(prose, subject / 8) + floor)).astype(np.float32)
+        self.subject = np.log((subject + floor) / (np.maximum(written, residue) + floor)).astype(np.float32)
+        slots = np.unique(Units([f" {SLOT * 12} {TRACE * 6} "]).cells)
+        self.residue[slots] = np.maximum(np.log((1e-3 + floor) / (prose[slots] + floor)), -1)
+        self.window, self.hot = window, hot
+
+    def judge(self, units: Units) -> dict[str, np.ndarray]:
+        """By unit: share covered by hot windows, longest hot run, sum of the
+        ratios inside, mean subject ratio, and the symbols it holds."""
+        n, total = len(units.cells), units.n_units
+        if not n:
+            zero = np.zeros(total)
+            return {"cover": zero, "run": zero, "sum": zero, "talk": zero, "slot": zero > 0, "trace": zero > 0, "status": zero > 0}
+        ratio = self.residue[units.cells].astype(np.float64)
+        at = np.arange(n)
+        start = np.r_[0, np.flatnonzero(units.unit[1:] != units.unit[:-1]) + 1]
+        sizes = np.diff(np.r_[start, n])
+        end = np.minimum(at + self.window, np.repeat(start + sizes, sizes))
+        whole = (end - at == self.window) | np.isin(at, start)
+        sums = np.r_[0.0, np.cumsum(ratio)]
+        hot = whole & (sums[end] - sums[at] > self.hot * (end - at))
+        edge = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(edge, at[hot], 1)
+        np.add.at(edge, end[hot], -1)
+        inside = np.cumsum(edge)[:-1] > 0
+        # Runs of hot n-grams within a unit.
+        fresh = np.r_[True, (inside[1:] != inside[:-1]) | (units.unit[1:] != units.unit[:-1])]
+        runs = np.flatnonzero(fresh)
+        length = np.where(inside[runs], np.diff(np.r_[runs, n]), 0)
+        run = np.zeros(total)
+        np.maximum.at(run, units.unit[runs], length)
+        size = np.maximum(units.size, 1)
+        talk = self.subject[units.cells].astype(np.float64)
+        known = (np.abs(talk) > 0.05) & ~units.touched
+        of = lambda weights: np.bincount(units.unit, weights=weights, minlength=total)
+        talked = of(known.astype(float))
+        return {
+            "cover": of(inside.astype(float)) / size, "run": run, "sum": of(np.where(inside, ratio * units.weight, 0.0)),
+            "talk": np.where(talked >= 6, of(np.where(known, talk, 0.0)) / np.maximum(talked, 1), 0.0),
+            "status": (units.size <= 3) & (of(units.status.astype(float)) > 0), "slot": of((inside & (units.symbol == 0xE000)).astype(float)) > 0, "trace": of((inside & (units.symbol == 0xE001)).astype(float)) > 0,
+        }
+
+
+def _talked(units: Units, told: dict[str, np.ndarray], least: float) -> np.ndarray:
+    """By unit: whether it or its neighbours in the text talk about such things."""
+    talk = told["talk"] > least
+    same = units.text[1:] == units.text[:-1]
+    out = talk.copy()
+    out[1:] |= talk[:-1] & same
+    out[:-1] |= talk[1:] & same
+    return out
+
+
+def kinds_of(texts: list[str], model: ResidueModel, least_cover: float = 0.55, least_sum: float = 20.0, least_mean: float = 1.0, least_run: int = 48, least_talk: float = 0.0, short: int = 30) -> list[str | None]:
+    """``placeholder``, ``trace`` or ``notice`` for each text; None for content.
+
+    A unit that is only a status number says enough where little else stands
+    in the text, at most ``short`` n-grams."""
+    units = Units([with_symbols(t) for t in texts])
+    told = model.judge(units)
+    about = _talked(units, told, least_talk)
+    notice = (told["sum"] >= least_sum) & (told["sum"] >= least_mean * told["cover"] * units.size) & ((told["cover"] >= least_cover) | (told["run"] >= least_run)) & ~about
+    size = np.bincount(units.text, weights=units.size, minlength=len(texts))
+    notice |= told["status"] & (told["sum"] > 0) & (size[units.text] <= short) & ~about
+    own = told["talk"] > least_talk
+    out: list[str | None] = [None] * len(texts)
+    for name, hit in (("notice", notice), ("trace", told["trace"] & ~own), ("placeholder", told["slot"] & ~own)):
+        for i in units.text[np.flatnonzero(hit)].tolist():
+            out[i] = name
+    return out
+
+
+def learned_counts(rows: DataFrame, fields: tuple[str, ...], model: ResidueModel) -> np.ndarray:
+    """Counts of the n-grams of the units of all rows, in two tables: of those
+    that the model takes for residue, and of texts that it takes for content."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    return _summed(rows, fields, lambda texts: learned_cells(texts, shared.value), 2)
+
+
+def learned_cells(texts: list[str], model: ResidueModel, least_cover: float = 0.5, least_sum: float = 25.0, least_talk: float = 0.0, whole: float = 0.6, none: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of residue and of content. Residue is learned from texts that are
+    ``whole`` or more covered, content from those that are ``none`` or less."""
+    units = Units([with_symbols(t) for t in texts])
+    told = model.judge(units)
+    taken = (told["cover"] >= least_cover) & (told["sum"] >= least_sum) & ~_talked(units, told, least_talk)
+    size = np.bincount(units.text, weights=units.size, minlength=len(texts))
+    cover = np.bincount(units.text, weights=told["cover"] * units.size, minlength=len(texts)) / np.maximum(size, 1)
+    plain = ~np.isin(units.unit, units.unit[units.symbol > 0])
+    return units.cells[(taken & (cover[units.text] >= whole))[units.unit] & plain], units.cells[(cover[units.text] <= none)[units.unit] & plain]
+
+
+def fit_residue(rows: DataFrame, documents: DataFrame, fields: tuple[str, ...] = ("title", "snippet"), prose: tuple[str, ...] = ("text", "title"), rounds: int = 1) -> ResidueModel:
+    """The model from the stock phrases, all documents, and ``rounds`` passes
+    over all rows. Runs a job for the documents and one for each round."""
+    counts = prose_counts(documents, prose)
+    model = ResidueModel(counts)
+    for _ in range(rounds):
+        model = ResidueModel(counts, learned_counts(rows, fields, model))
+    return model
 
 
 def residue_fields(
-    rows: DataFrame, documents: DataFrame, key: str = "result_id", fields: tuple[str, ...] = ("title", "snippet"), prose: tuple[str, ...] = ("text", "title")
-) -> DataFrame:
+    rows: DataFrame, documents: DataFrame, key: str = "result_id", fields: tuple[str, ...] = ("title", "snippet"), prose: tuple[str, ...] = ("text", "title"), rounds: int = 1
+) -> DataFrame:
     """The fields that hold residue: ``key, field, kind``.
 
     Null, empty and blank fields are never cases; repeated rows count each;
     an empty table gives no rows. Without documents, prose is unknown and
-    only the example models decide.
+    only the example models decide. The models are fitted while this is built.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(ResidueModel(gram_shares(documents, prose)))
+    shared = rows.sparkSession.sparkContext.broadcast(fit_residue(rows, documents, fields, prose, rounds))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -431,11 +538,12 @@ def residue_fields(
             for field in fields:
                 values = frame[field]
                 texts = list(dict.fromkeys(values.dropna()))
-                if not texts:
-                    continue
-                kinds = {v: kind_of(v, model, s) for v, s in zip(texts, model.suspects(texts))}
+                kinds = {}
+                for i in range(0, len(texts), 512):
+                    kinds.update(zip(texts[i : i + 512], kinds_of(texts[i : i + 512], model)))
                 found = values.map(kinds, na_action="ignore")
                 hit = found.notna()
-                yield pd.DataFrame({key: frame.loc[hit, key], "field": field, "kind": found[hit]})
+                if hit.any():
+                    yield pd.DataFrame({key: frame.loc[hit, key], "field": field, "kind": found[hit]})
 
     return rows.select(key, *fields).mapInPandas(scan, f"{key} {rows.schema[key].dataType.simpleString()}, field string, kind string")
