@@ -476,13 +476,15 @@ def _talked(units: Units, told: dict[str, np.ndarray], least: float) -> np.ndarr
 def kinds_of(texts: list[str], model: ResidueModel, least_cover: float = 0.55, least_sum: float = 20.0, least_mean: float = 1.0, least_run: int = 48, least_talk: float = 0.0, short: int = 30) -> list[str | None]:
     """``placeholder``, ``trace`` or ``notice`` for each text; None for content.
 
-    A unit that is only a status number says enough where little else stands
-    in the text, at most ``short`` n-grams."""
+    Half of ``least_sum`` is asked of a text that is covered as a whole. A unit
+    that is only a status number says enough where little else stands in the
+    text, at most ``short`` n-grams."""
     units = Units([with_symbols(t) for t in texts])
     told = model.judge(units)
     about = _talked(units, told, least_talk)
-    notice = (told["sum"] >= least_sum) & (told["sum"] >= least_mean * told["cover"] * units.size) & ((told["cover"] >= least_cover) | (told["run"] >= least_run)) & ~about
     size = np.bincount(units.text, weights=units.size, minlength=len(texts))
+    whole = np.bincount(units.text, weights=told["cover"] * units.size, minlength=len(texts)) >= 0.9 * size
+    notice = (told["sum"] >= np.where(whole[units.text], least_sum / 2, least_sum)) & (told["sum"] >= least_mean * told["cover"] * units.size) & ((told["cover"] >= least_cover) | (told["run"] >= least_run)) & ~about
     notice |= told["status"] & (told["sum"] > 0) & (size[units.text] <= short) & ~about
     own = told["talk"] > least_talk
     out: list[str | None] = [None] * len(texts)
