@@ -1,11 +1,12 @@
 """Text that looks the same but differs in its characters, in one form.
 
-One compiled transducer reads a text once, longest match first, over grapheme
-clusters: a base with its marks, a run of conjoining jamo, a half-width kana
-with its voicing mark, or a single character of the mapping. The mapping is
-derived from the Unicode data by rule and checked for conflicts when built:
-no output holds a character that is itself replaced. Look-alike letters are
-replaced word by word, by the script the word is otherwise written in.
+A compiled transducer reads a text once, chunk by chunk between spaces, longest
+match first over grapheme clusters: a base with its marks, a run of conjoining
+jamo, a half-width kana with its voicing mark, or a single character of the
+mapping; the words of the chunk then get one script. The mapping is derived
+from the Unicode data by rule and checked for conflicts when built: no output
+holds a character that is itself replaced. Look-alike letters are replaced
+word by word, by the script the word is otherwise written in.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -44,18 +46,16 @@ _GREEK_OF = {latin: x for latin, others in LOOK_ALIKES.items() for x in others i
 def singles() -> dict[str, str]:
     """The mapping of single characters, by rule."""
     out: dict[str, str] = {}
-    for code in range(0x80, 0x20000):
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4 or 0x3400 <= code < 0x2E80:
-            continue
+    for code in [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE1000)]:
         char = chr(code)
         kind = unicodedata.category(char)
         if kind == "Zs":
             out[char] = " "
-        elif kind == "Cf" and not 0x600 <= code <= 0x605 or 0xFE00 <= code <= 0xFE0F or code in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0):
+        elif kind == "Cf" and not 0x600 <= code <= 0x605 or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or code in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0):
             out[char] = ""
         elif 0xFF01 <= code <= 0xFF5E and char not in _CJK_MARKS:
             out[char] = chr(code - 0xFEE0)
-        elif 0xFF61 <= code <= 0xFFDC or 0x2E80 <= code <= 0x2FD5 or 0xF900 <= code <= 0xFB06 or 0x1D400 <= code <= 0x1D7FF or 0x2160 <= code <= 0x217F or code in (0x132, 0x133, 0x2126, 0x212A, 0x212B) or 0x1C4 <= code <= 0x1CC or 0x1F1 <= code <= 0x1F3 or code in (0x2102, 0x210A, 0x210B, 0x210C, 0x210D, 0x210E, 0x2110, 0x2111, 0x2112, 0x2113, 0x2115, 0x2119, 0x211A, 0x211B, 0x211C, 0x211D, 0x2124, 0x2128, 0x212C, 0x212D, 0x212F, 0x2130, 0x2131, 0x2133, 0x2134):
+        elif 0xFF61 <= code <= 0xFFDC or 0x2E80 <= code <= 0x2FD5 or 0xF900 <= code <= 0xFB06 or 0x2F800 <= code <= 0x2FA1D or 0x1D400 <= code <= 0x1D7FF or 0x2160 <= code <= 0x217F or code in (0x132, 0x133, 0x2126, 0x212A, 0x212B) or 0x1C4 <= code <= 0x1CC or 0x1F1 <= code <= 0x1F3 or code in (0x2102, 0x210A, 0x210B, 0x210C, 0x210D, 0x210E, 0x2110, 0x2111, 0x2112, 0x2113, 0x2115, 0x2119, 0x211A, 0x211B, 0x211C, 0x211D, 0x2124, 0x2128, 0x212C, 0x212D, 0x212F, 0x2130, 0x2131, 0x2133, 0x2134):
             flat = unicodedata.normalize("NFKC", char)
             if flat != char:
                 out[char] = flat
@@ -82,16 +82,31 @@ def _class(chars: list[str]) -> str:
     return "[" + "".join(parts) + "]"
 
 
+_MARK_RANGES = [(0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0x3099, 0x309A), (0xFE20, 0xFE2F)]
+_JAMO_RANGES = [(0x1100, 0x115E), (0x1161, 0x11FF), (0xA960, 0xA97C), (0xD7B0, 0xD7FF)]
+
+
 @lru_cache(maxsize=1)
 def _machine() -> tuple[re.Pattern, regex.Pattern, re.Pattern]:
-    marks = _class([chr(c) for c in [*range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), 0x3099, 0x309A, *range(0xFE20, 0xFE30)]])
-    jamo = "[ᄀ-ᅞᅡ-ᇿꥠ-ꥼힰ-ퟻ]+"
+    """The clusters, the words, and what of a text the transducer takes in at
+    once: what stands between spaces and holds a character beyond ASCII."""
+    marks = _class([chr(c) for a, b in _MARK_RANGES for c in range(a, b + 1)])
+    jamo = _class([chr(c) for a, b in _JAMO_RANGES for c in range(a, b + 1)]) + "+"
     kana = "[ｦ-ﾝ][ﾞﾟ]?"
-    single = _class(list(singles()))
-    cluster = re.compile(f"{jamo}|{kana}|[^\\s{marks[1:-1]}]{marks}+|{single}")
-    foreign = _class(list(_LATIN_OF))
-    word = regex.compile(r"[\p{L}\p{M}]+")
-    return cluster, word, re.compile(foreign)
+    cluster = re.compile(f"{jamo}|{kana}|[^\\s{marks[1:-1]}]{marks}+|{_class(list(singles()))}")
+    return cluster, regex.compile(r"[\p{L}\p{M}]+"), re.compile("[\x21-\x7e]*[^\x00-\x7f][^\x00-\x20]*")
+
+
+@lru_cache(maxsize=1)
+def _open() -> np.ndarray:
+    """Of every code point, whether the transducer may change it or its
+    neighbour: 1 for clusters and single characters, 2 for look-alike letters."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for a, b in [*_MARK_RANGES, *_JAMO_RANGES, (0xFF66, 0xFF9F)]:
+        out[a : b + 1] = 1
+    out[[ord(c) for c in singles()]] = 1
+    out[[ord(c) for c in _LATIN_OF]] |= 2
+    return out
 
 
 def _script(char: str) -> str:
@@ -135,19 +150,45 @@ def _word_form(word: str, latin_context: bool) -> str:
     return word
 
 
+@lru_cache(maxsize=200_000)
+def _chunk_form(chunk: str, latin_context: bool) -> str:
+    """The form of what stands between spaces: longest clusters first, then
+    its words."""
+    cluster, word, _ = _machine()
+    flat = cluster.sub(lambda m: _cluster_form(m.group()), chunk)
+    return flat if flat.isascii() else word.sub(lambda m: _word_form(m.group(), latin_context), flat)
+
+
+def _rewritten(text: str, alike: bool) -> str:
+    chunk = _machine()[2]
+    latin = False
+    if alike:
+        # Words in scripts of their own vouch for the words beside them.
+        own = any(_own(c) for c in text if c > "\x7f")
+        latin = not own and sum(c.isascii() and c.isalpha() for c in text) > len(text) // 3
+    return chunk.sub(lambda m: _chunk_form(m.group(), latin), text)
+
+
+@lru_cache(maxsize=20_000)
+def _own(char: str) -> bool:
+    """Whether a letter is Cyrillic or Greek and like no Latin letter."""
+    return char not in _LATIN_OF and _script(char) in ("C", "G")
+
+
 def normalize(text: str) -> str:
     """The one form of a text; a text in that form comes back unchanged."""
-    if text.isascii():
-        return text
-    cluster, word, foreign = _machine()
-    flat = cluster.sub(lambda m: _cluster_form(m.group()), text)
-    if foreign.search(flat):
-        # Words in scripts of their own vouch for the words beside them.
-        words = word.findall(flat)
-        own = any(_script(c) in "CG" and c not in _LATIN_OF for w in words for c in w if not c.isascii())
-        latin = sum(c.isascii() and c.isalpha() for c in flat) > len(flat) // 3
-        flat = word.sub(lambda m: _word_form(m.group(), latin and not own), flat)
-    return flat
+    return text if text.isascii() else normalize_all([text])[0]
+
+
+def normalize_all(texts: list[str]) -> list[str]:
+    """The one form of each text. A table of all code points tells which texts
+    hold nothing that could change; only the others are read."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(codes):
+        return list(texts)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    found = np.bitwise_or.reduceat(_open()[codes], np.cumsum(lengths) - lengths)
+    return [_rewritten(t, bool(f & 2)) if f else t for t, f in zip(texts, found.tolist())]
 
 
 def is_disguised(text: str) -> bool:
@@ -160,7 +201,7 @@ def normalized(rows: DataFrame, fields: tuple[str, ...] = ("title", "snippet"))
 
     @F.pandas_udf("string")
     def one_form(values: pd.Series) -> pd.Series:
-        return values.map(normalize, na_action="ignore")
+        return pd.Series(normalize_all(values.fillna("").tolist()), dtype=object)
 
     return rows.withColumns({f: F.when(F.col(f).rlike(r"[^\x00-\x7f]"), one_form(F.col(f))).otherwise(F.col(f)) for f in fields})
 
@@ -177,8 +218,10 @@ def disguised_fields(rows: DataFrame, garbled: DataFrame | None = None, key: str
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for field in fields:
-                values = frame[field]
-                hit = [isinstance(v, str) and is_disguised(v) for v in values]
+                values = frame[field].dropna()
+                unique = list(dict.fromkeys(values))
+                changed = {v for v, w in zip(unique, normalize_all(unique)) if v != w}
+                hit = values[values.isin(changed)].index
                 yield pd.DataFrame({key: frame.loc[hit, key], "field": field})
 
     some = rows.select(key, *[F.when(F.col(f).rlike(r"[^\x00-\x7f]"), F.col(f)).alias(f) for f in fields]).filter(" or ".join(f"{f} is not null" for f in fields))
