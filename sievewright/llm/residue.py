@@ -18,7 +18,9 @@ the model of prose about such things explains the sentence.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from http import HTTPStatus
 
 import numpy as np
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.ngrams import fold_codes
-from sievewright.llm.visual import normalize
+from sievewright.llm.visual import normalize_all
 
 CELLS = 1 << 20
 # Symbols: placeholder, bare trace of a value, status number, start and end of a unit.
 SLOT, TRACE, STATUS, BEGIN, END = "", "", "", "", ""
-_TEXT, _UNIT = "\x02", "\n"
+_TEXT = "\x02"
 
 # Filler of typesetters and the words of placeholder generators.
 FILLER = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
@@ -299,16 +301,17 @@ _BARE = re.compile(r"(?<![\w.\"'“‘])(?:undefined|null|NaN|None|nil|\(null\)|
 _HINT = re.compile(r"[{}%\[\]<>$@#]|__|undefined|null|NaN|None|nil")
 # Ends of units: sentence ends, separators of title parts, spaced dashes, lines.
 _BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])|\s*[|｜·•¦»«‖]\s*|\s+[-–—―]+\s+|\n+|::")
-_STATUS_RE = re.compile(r"(?<![\w.,:])[45]\d\d(?![\w]|[.,:]\d|%)")
-_MARKS = re.compile("[^\\w\\n\x02-]+|_+")
-_DIGITS = re.compile(r"\d+")
 _PRIVATE = re.compile("[-\x02]")
 
 
-def with_symbols(text: str) -> str:
-    """A text with placeholders and traces of values as symbols; a trace is
+def with_symbols(texts: list[str]) -> list[str]:
+    """Texts with placeholders and traces of values as symbols; a trace is
     one that begins or ends a unit."""
-    text = _PRIVATE.sub(" ", normalize(text))
+    return [_marked(t) for t in normalize_all(texts)]
+
+
+def _marked(text: str) -> str:
+    text = _PRIVATE.sub(" ", text)
     if _HINT.search(text):
         text = _PLACEHOLDER.sub(f" {SLOT * 12} ", text)
         if _BARE.search(text):
@@ -332,6 +335,60 @@ def _traced(unit: str) -> str:
     return unit
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of each code point of the basic plane: 0 mark, 1 letter, 2 digit,
+    3 space, 4 end of a sentence, 5 mark that may follow it, 6 dash, 7 break."""
+    out = np.zeros(0x10000, dtype=np.uint8)
+    for c in range(0x10000):
+        char = chr(c)
+        out[c] = 2 if char.isdecimal() else 1 if char.isalnum() or 0xE000 <= c <= 0xE004 or unicodedata.combining(char) else 3 if char.isspace() else 0
+    for chars, kind in ((".!?", 4), ("\"'”’»)]", 5), ("-–—―", 6), ("。！？|｜·•¦«‖\n\x02", 7)):
+        out[[ord(c) for c in chars]] = kind
+    return out
+
+
+def _in_units(raw: np.ndarray) -> np.ndarray:
+    """Code points with runs of digits as one 0, status numbers as symbols,
+    marks as spaces, and units between their begin and end symbols."""
+    n = len(raw)
+    kind = np.where(raw < 0x10000, _classes()[np.minimum(raw, 0xFFFF)], 1)
+    ahead = np.r_[kind[1:], 3, 3]
+    behind = np.r_[3, kind[:-1]]
+    space = (ahead[:n] == 3) | (ahead[:n] == 7)
+    ends = (kind == 4) & (space | (ahead[:n] == 5) & ((ahead[1:] == 3) | (ahead[1:] == 7)))
+    dash = (kind == 6) & space & (behind == 3)
+    colons = (raw == 0x3A) & (np.r_[raw[1:], 0] == 0x3A)
+    border = (kind == 7) | ends | dash | colons | (raw == 0xBB)
+    # Status numbers: three digits from 400 to 599 that are no part of another number or word.
+    digit = kind == 2
+    opens = digit & (behind != 2)
+    at = np.flatnonzero(opens & ((raw == 0x34) | (raw == 0x35)))
+    if len(at):
+        padded, code = np.r_[3, 3, kind, 3, 3, 3, 3, 3], np.r_[32, 32, raw, 32, 32, 32, 32, 32]
+        joint = lambda i: np.isin(code[i + 2], (0x2E, 0x2C, 0x3A))
+        good = (padded[at + 3] == 2) & (padded[at + 4] == 2) & (padded[at + 5] != 2) & (padded[at + 5] != 1) & (padded[at + 1] != 1) & ~joint(at - 1)
+        good &= (code[at + 5] != 0x25) & ~(joint(at + 3) & (padded[at + 6] == 2)) & (code[at + 1] != 0x5F) & (code[at + 5] != 0x5F)
+        at = at[good]
+    out = np.where(digit, 0x30, np.where(kind == 1, raw, 32)).astype(np.uint32)
+    keep = ~digit | opens
+    for k in range(3):
+        out[at + k], keep[at + k] = 0xE002, True
+    keep &= ~((out == 32) & np.r_[False, out[:-1] == 32] & ~border & ~np.r_[False, border[:-1]])
+    out[border] = np.where(raw[border] == 2, 2, 10)
+    # A border becomes: space, end, the border itself, begin, space.
+    out, border = out[keep], border[keep]
+    width = np.where(border, 5, 1)
+    place = np.cumsum(width) - width + 2
+    full = np.empty(int(width.sum()) + 4, dtype=np.uint32)
+    full[[0, 1, -2, -1]] = (0xE003, 32, 32, 0xE004)
+    full[place[~border]] = out[~border]
+    edge = place[border]
+    for k, value in enumerate((32, 0xE004, out[border], 0xE003, 32)):
+        full[edge + k] = value
+    return full
+
+
 class Units:
     """The n-grams of a batch of texts: their cells and the unit of each, and
     the text and symbols of each unit. N-grams are of five code points in
@@ -339,10 +396,8 @@ class Units:
     digits are folded, and runs of space or marks count as one space."""
 
     def __init__(self, texts: list[str]):
-        joined = _BREAK.sub(_UNIT, _TEXT.join(t.replace(_TEXT, " ") for t in texts))
-        joined = _DIGITS.sub("0", _STATUS_RE.sub(STATUS * 3, joined))
-        clean = _MARKS.sub(" ", joined).replace(_UNIT, f" {END}\n{BEGIN} ").replace(_TEXT, f" {END}\x02{BEGIN} ")
-        raw = np.frombuffer(f"{BEGIN} {clean} {END}".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        raw = np.frombuffer(_TEXT.join(t.replace(_TEXT, " ") for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        raw = _in_units(raw)
         first = raw == 2
         border = first | (raw == 10)
         unit = np.cumsum(border)
@@ -380,7 +435,7 @@ class Units:
 
 
 def _seed_counts(lines: list[str]) -> np.ndarray:
-    return np.bincount(Units([with_symbols(x) for x in lines]).cells, minlength=CELLS).astype(float)
+    return np.bincount(Units(with_symbols(lines)).cells, minlength=CELLS).astype(float)
 
 
 def _summed(texts: DataFrame, columns: tuple[str, ...], count, kinds: int) -> np.ndarray:
@@ -479,7 +534,7 @@ def kinds_of(texts: list[str], model: ResidueModel, least_cover: float = 0.55, l
     Half of ``least_sum`` is asked of a text that is covered as a whole. A unit
     that is only a status number says enough where little else stands in the
     text, at most ``short`` n-grams."""
-    units = Units([with_symbols(t) for t in texts])
+    units = Units(with_symbols(texts))
     told = model.judge(units)
     about = _talked(units, told, least_talk)
     size = np.bincount(units.text, weights=units.size, minlength=len(texts))
@@ -504,7 +559,7 @@ def learned_counts(rows: DataFrame, fields: tuple[str, ...], model: ResidueModel
 def learned_cells(texts: list[str], model: ResidueModel, least_cover: float = 0.5, least_sum: float = 25.0, least_talk: float = 0.0, whole: float = 0.6, none: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Cells of residue and of content. Residue is learned from texts that are
     ``whole`` or more covered, content from those that are ``none`` or less."""
-    units = Units([with_symbols(t) for t in texts])
+    units = Units(with_symbols(texts))
     told = model.judge(units)
     taken = (told["cover"] >= least_cover) & (told["sum"] >= least_sum) & ~_talked(units, told, least_talk)
     size = np.bincount(units.text, weights=units.size, minlength=len(texts))
