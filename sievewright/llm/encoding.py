@@ -1,14 +1,18 @@
 """Text that went through a wrong character decoding, found and restored.
 
-A wrong decoding is a substitution cipher over the bytes of the text. The
-keys considered are the pairs of public code pages (the page the text was
-read with, the page it was written in), the identity among them. Each text is
-deciphered with each key and scored by a character-pair model of clean prose;
-expectation-maximisation learns how often each source uses each key, and the
-posterior picks the key. Free byte-to-letter tables would not do: most swaps
-are between pages of one and of several bytes a letter, which no table of
-letters expresses, so the tables are those of the code pages, applied through
-their codecs.
+A wrong decoding is a substitution cipher over the bytes of the text. Between
+pages of one byte a letter it is one over letters: its table starts from the
+two public code pages and is learned per source by expectation-maximisation
+against the letter pairs of all documents (the letters on both sides of an
+observed character vote for what it stands for), and is applied by
+``translate``. Swaps that involve pages of several bytes a letter are no
+tables of letters; they are read through the codecs. Which cipher a text has
+is decided by its likelihood under the same model, and by the shares of the
+ciphers at its source, learned by expectation-maximisation as well.
+
+No code page reads a space as part of a letter, so words are independent of
+each other: every distinct word is deciphered and scored once, and the gain
+of a text is the sum over its words.
 """
 
 from __future__ import annotations
@@ -50,7 +54,11 @@ _AGAIN = {"cp1252", "cp1251", "cp437", "cp850", "cp866", "mac_roman"}
 KEYS = ["identity", "lost", *KEYS, *[k + "+twice" for k in KEYS if k.endswith("+utf-8") and k.split("+")[0] in _AGAIN]]
 _INDEX = {k: i for i, k in enumerate(KEYS)}
 
+_NARROW_KEYS = {i for i, k in enumerate(KEYS) if set(k.split("+")[:2]) <= _NARROW}
+
 _HIGH = re.compile("[^\x00-\x7f]")
+# No page reads these as part of a letter.
+_PIECE = re.compile(r"([^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*)")
 # Quotes and spaces that isolate a sequence which is spoken about.
 _ALONE = "[\\s\"'“”„‘’«»‹›「」()]"
 _SUBJECT = re.compile(f"(?<={_ALONE})([^\x00-\x7f\\s“„«‹「]{{1,4}})(?={_ALONE})")
@@ -58,6 +66,8 @@ _ENGLISH = re.compile(r"\b(?:the|of|and|with|from|how|what|why|shows|sign)\b", r
 
 
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_UTF8_RUN = re.compile(rb"(?:" + _UTF8.pattern + rb")+")
+_DOUBLE = {"gb18030", "big5", "euc_jp", "cp949", "shift_jis"}
 _STRANGE = re.compile("[\u0080-¿Ā-ɏÂÃâ€™�ˆ˜╨├Γ√РС]")
 
 
@@ -128,7 +138,20 @@ def _runs(text: str, read: str) -> list[str | bytes]:
 
 def _written(runs: list[str | bytes], read: str, written: str) -> str:
     down = f"sw-d-{read}"
-    return "".join(r if isinstance(r, str) else r.decode(written, down) for r in runs)
+    if written == "utf-8":
+        return "".join(r if isinstance(r, str) else _utf8_inside(r, read, down) for r in runs)
+    # A lone byte of a page of two bytes a letter is no letter of that page either.
+    errors = "replace" if read in _DOUBLE else down
+    return "".join(r if isinstance(r, str) else r.decode(written, errors) for r in runs)
+
+
+def _utf8_inside(raw: bytes, read: str, down: str) -> str:
+    """Bytes with their sequences of UTF-8 deciphered, the others as read."""
+    out, at = [], 0
+    for m in _UTF8_RUN.finditer(raw):
+        out += [raw[at : m.start()].decode(read, down), m.group().decode("utf-8", down)]
+        at = m.end()
+    return "".join([*out, raw[at:].decode(read, down)])
 
 
 def decipher(text: str, read: str, written: str) -> str:
@@ -159,13 +182,48 @@ def readings(text: str) -> list[tuple[int, str]]:
                 continue
             if found != text:
                 out[i] = found
-                if written == "utf-8" and read in _AGAIN and _STRANGE.search(found):
-                    again = decipher(found, read, written)
-                    if again != found:
-                        out[_INDEX[f"{read}+{written}+twice"]] = again
+                if written == "utf-8" and read in _AGAIN:
+                    again = decipher(found, read, written) if _STRANGE.search(found) else found
+                    out[_INDEX[f"{read}+{written}+twice"]] = again
     return list(out.items())
 
 
+class Words:
+    """Gains of the decipherings of words, each word worked out once."""
+
+    def __init__(self, lm: PairModel, most: int = 200_000):
+        self.lm, self.most = lm, most
+        self.known: dict[str, list[tuple[int, float, str]]] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > self.most:
+            self.known.clear()
+        fresh = [w for w in words if w not in self.known]
+        for begin in range(0, len(fresh), 2048):
+            part = fresh[begin : begin + 2048]
+            trials = [(i, k, found) for i, w in enumerate(part) for k, found in readings(w)]
+            by: list[list[tuple[int, float, str]]] = [[] for _ in part]
+            if trials:
+                unique = list(dict.fromkeys(f for _, _, f in trials))
+                total = dict(zip(unique, self.lm.totals(unique).tolist()))
+                base = self.lm.totals(part).tolist()
+                for i, k, found in trials:
+                    by[i].append((k, total[found] - base[i], found))
+            self.known.update(zip(part, by))
+
+    def readings(self, pieces: list[str], least: float) -> list[tuple[int, float, str]]:
+        """(key, gain, reading) of a text in pieces, for gains over ``least``."""
+        gains: dict[int, float] = {}
+        for piece in pieces[1::2]:
+            for k, gain, _ in self.known[piece]:
+                gains[k] = gains.get(k, 0.0) + gain
+        out = []
+        for k, gain in gains.items():
+            if gain > least:
+                out.append((k, gain, "".join(next((f for j, _, f in self.known.get(p, ()) if j == k), p) for p in pieces)))
+        return out
+
+
 def is_subject(text: str) -> bool:
     """Whether the only strange sequences of a text are spoken about: each
     stands alone between quotes or spaces, in a language that has no words of
@@ -202,32 +260,35 @@ def _breaks_words(text: str, found: str) -> bool:
     return any(a != b and a.isalpha() and not b.isalnum() and b not in "'’-‐­" and found[i - 1 : i].isalpha() and found[i + 1 : i + 2].isalpha() for i, (a, b) in enumerate(zip(text, found)))
 
 
-def _likelier(lm: PairModel, texts: list[str], most_unseen: float, per_change: float) -> dict[int, list[tuple[int, float, str]]]:
+def _likelier(words: Words, texts: list[str], most_unseen: float, per_change: float) -> dict[int, list[tuple[int, float, str]]]:
     """The readings of each text that are likelier than the text, with their
     gains, by the text's place."""
-    trials = [(i, k, found) for i, text in enumerate(texts) for k, found in readings(text)]
+    pieces = [_PIECE.split(t) for t in texts]
+    words.learn({w for some in pieces for w in some[1::2]})
+    trials = [(i, *r) for i, some in enumerate(pieces) for r in words.readings(some, per_change)]
     if not trials:
         return {}
-    at = np.array([t[0] for t in trials])
-    total, base = lm.totals([t[2] for t in trials]), lm.totals(texts)
-    good = np.flatnonzero(total - base[at] > per_change)
-    if not len(good):
-        return {}
     # The rival explanation: characters that merely look alike.
-    asked = [i for i in np.unique(at[good]).tolist() if not is_subject(texts[i])]
-    plain = dict(zip(asked, lm.totals([normalize(texts[i]) for i in asked]))) if asked else {}
-    good = [g for g in good.tolist() if at[g] in plain and total[g] - max(base[at[g]], plain[at[g]]) > per_change]
+    asked = [i for i in dict.fromkeys(t[0] for t in trials) if not is_subject(texts[i])]
+    plain: dict[int, float] = {}
+    if asked:
+        flat = [normalize(texts[i]) for i in asked]
+        changed = [(i, f) for i, f in zip(asked, flat) if f != texts[i]]
+        plain = dict.fromkeys(asked, 0.0)
+        if changed:
+            less = words.lm.totals([texts[i] for i, _ in changed])
+            plain.update({i: max(0.0, x) for (i, _), x in zip(changed, words.lm.totals([f for _, f in changed]) - less)})
+    good = [t for t in trials if t[0] in plain and t[2] - plain[t[0]] > per_change]
     if not good:
         return {}
     by: dict[int, list[tuple[int, float, str]]] = {}
-    for g, odd in zip(good, lm.score([trials[g][2] for g in good])[2]):
-        i, k, found = trials[g]
+    for (i, k, gain, found), odd in zip(good, words.lm.score([t[3] for t in good])[2]):
         high = len(_HIGH.findall(found)) + 1
-        narrow = set(KEYS[k].split("+")[:2]) <= _NARROW
+        narrow = k in _NARROW_KEYS
         if narrow and (not _changes_letters(texts[i], found) or len(found) == len(texts[i]) and _breaks_words(texts[i], found)):
             continue
         if odd <= (most_unseen / 2 if narrow else most_unseen) * high:
-            by.setdefault(i, []).append((int(k), float(total[g] - max(base[i], plain[i])), found))
+            by.setdefault(i, []).append((k, float(gain - plain[i]), found))
     return by
 
 
@@ -262,6 +323,55 @@ def _fit_source(rows: pd.DataFrame, steps: int) -> pd.DataFrame:
     return pd.DataFrame({"source": rows["source"].iloc[0], "key": list(share), "log_share": [float(np.log(v)) for v in share.values()]})
 
 
+@functools.cache
+def page_table(key: int) -> dict[str, str]:
+    """The letters that a swap of pages of one byte a letter exchanges."""
+    read, written = KEYS[key].split("+")[:2]
+    out = {}
+    for byte in range(128, 256):
+        raw = bytes([byte])
+        try:
+            a, b = raw.decode(read), raw.decode(written)
+        except UnicodeDecodeError:
+            continue
+        if a != b:
+            out[a] = b
+    return out
+
+
+def learn_table(key: int, contexts: pd.DataFrame, lm: PairModel, rounds: int = 3, trust: float = 12.0) -> dict[str, str]:
+    """The letter table of a swap at one source, learned from its texts.
+
+    ``contexts`` has what was observed: a character, its left and right
+    neighbour as observed, and how often. In each round the neighbours are
+    deciphered by the table so far, and every letter that the documents have
+    beyond ASCII is scored by the pairs it would form; the code page's letter
+    is ahead by ``trust`` nats, so it gives way only to repeated evidence.
+    """
+    table = dict(page_table(key))
+    letters = np.array([c for c in np.flatnonzero(lm.single > 0) if 0x80 <= c < 0x530 and chr(c).isalpha()], dtype=np.uint32)
+    if not len(letters):
+        return table
+    of = {c: g for c, g in contexts.groupby("c")}
+    for _ in range(rounds):
+        before = dict(table)
+        for c, g in of.items():
+            options = np.unique(np.r_[letters, np.uint32(ord(before.get(c, c).lower()))])
+            left = np.array([ord(before.get(x, x)) for x in g["l"]], dtype=np.uint32)
+            right = np.array([ord(before.get(x, x)) for x in g["r"]], dtype=np.uint32)
+            n = g["n"].to_numpy(dtype=float)
+            grid = np.broadcast_to(options[:, None], (len(options), len(left)))
+            score = (lm.steps(np.broadcast_to(left, grid.shape), grid) + lm.steps(grid, np.broadcast_to(right, grid.shape))) @ n
+            known = before.get(c, c)
+            score[options == ord(known.lower())] += trust
+            best = chr(int(options[score.argmax()]))
+            # The model folds case; the code page's letter keeps its own.
+            table[c] = known if best == known.lower() else best.upper() if c.isupper() else best
+        if table == before:
+            break
+    return table
+
+
 def prose_model(documents: DataFrame, columns: tuple[str, ...] = ("text", "title")) -> PairModel:
     """Pair model of clean prose, from all documents."""
     return PairModel(pair_counts(documents, columns))
@@ -285,7 +395,7 @@ def garbled_fields(
     shared = spark.sparkContext.broadcast(model)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lm = shared.value
+        words = Words(shared.value)
         for frame in frames:
             for field in fields:
                 values = frame[field]
@@ -297,7 +407,7 @@ def garbled_fields(
                 # A few texts at a time, as each has up to some dozens of readings.
                 for at in range(0, len(texts), 256):
                     part = texts[at : at + 256]
-                    by = _likelier(lm, part, most_unseen, per_change)
+                    by = _likelier(words, part, most_unseen, per_change)
                     for i, text in enumerate(part):
                         lost = lost_letters(text)
                         # A mark of loss that was itself misread: no key is left.
@@ -315,17 +425,19 @@ def garbled_fields(
                             "gains": [[o[1] for o in best[t][0]] for t in hit],
                             "found": [[o[2] for o in best[t][0]] for t in hit],
                             "lost": [best[t][1] for t in hit],
+                            "raw": [t if any(k in _NARROW_KEYS for o in best[t][0] for k in o[0]) else None for t in hit],
                         }
                     )
 
     kind = rows.schema[key].dataType.simpleString()
     wanted = rows.select(key, F.coalesce(F.col(source).cast("string"), F.lit("")).alias(source), *fields)
-    options = materialize(wanted.mapInPandas(scan, f"id {kind}, source string, field string, keys array<array<int>>, gains array<double>, found array<string>, lost boolean"), "garbled-options")
+    options = materialize(wanted.mapInPandas(scan, f"id {kind}, source string, field string, keys array<array<int>>, gains array<double>, found array<string>, lost boolean, raw string"), "garbled-options")
     totals = wanted.groupBy(F.col(source).alias("source")).agg((F.count("*") * len(fields)).alias("total"))
     bins = options.filter(F.size("keys") > 0).groupBy("source", "keys", F.transform("gains", lambda g: F.round(g - F.greatest(F.array_max("gains") - 40.0, F.lit(0.0)))).alias("gains")).agg(F.count("*").alias("n"))
     shares = bins.join(totals, "source").groupBy("source").applyInPandas(lambda g: _fit_source(g, steps), "source string, key int, log_share double")
     shares = shares.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("key", "log_share"))).alias("shares"))
     scored = join_small(options, shares, ["source"])
+
     def share(k: Column) -> Column:
         return F.coalesce(F.try_element_at("shares", k), F.lit(-7.0))
 
@@ -337,10 +449,37 @@ def garbled_fields(
 
     ranked = F.transform(F.arrays_zip("keys", "gains", "found"), weighed)
     scored = scored.withColumn("best", F.array_max(ranked)).withColumn("won", F.coalesce(F.col("best.odds") > 0, F.lit(False)))
+    scored = scored.withColumn("key", F.when(F.col("won"), F.col("best.k")))
+    tables = _learned_tables(scored.filter(F.col("key").isin(sorted(_NARROW_KEYS))), shared)
+    scored = join_small(scored.withColumn("key", F.coalesce("key", F.lit(-1))), tables, ["source", "key"])
     names = F.array(*[F.lit(k) for k in KEYS])
-    text = F.when(F.col("won"), F.col("best.text"))
+    learned = F.call_function("translate", "raw", "letters", "stand_for")
+    text = F.when(F.col("won"), F.when(F.col("letters").isNotNull(), learned).otherwise(F.col("best.text")))
     return scored.filter(F.col("won") | F.col("lost")).select(
         F.col("id").alias(key), "field",
         F.when(F.col("won"), F.element_at(names, F.col("best.k") + 1)).otherwise("lost").alias("swap"),
         text.alias("restored"), F.coalesce(~text.contains("�"), F.lit(False)).alias("recovered"),
     )
+
+
+def _learned_tables(won: DataFrame, shared) -> DataFrame:
+    """Letter tables of the swaps between pages of one byte a letter, as two
+    strings: ``source, key, letters, stand_for``. The texts of a source reach
+    the fit as counts of a character with its neighbours."""
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for source, key, raw in zip(frame["source"], frame["key"], frame["raw"]):
+                table, padded = page_table(int(key)), f" {raw} "
+                rows += [(source, key, padded[i], padded[i - 1], padded[i + 1]) for i in range(1, len(padded) - 1) if padded[i] in table]
+            yield pd.DataFrame(rows, columns=["source", "key", "c", "l", "r"])
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        key = int(group["key"].iloc[0])
+        table = learn_table(key, group, shared.value)
+        return pd.DataFrame({"source": [group["source"].iloc[0]], "key": [key], "letters": ["".join(table)], "stand_for": ["".join(table.values())]})
+
+    counts = won.select("source", "key", "raw").mapInPandas(spread, "source string, key int, c string, l string, r string")
+    counts = counts.groupBy("source", "key", "c", "l", "r").agg(F.count("*").alias("n"))
+    return counts.groupBy("source", "key").applyInPandas(fit, "source string, key int, letters string, stand_for string")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 1 << 20
+# Code points beyond the basic plane are folded into the surrogates' range,
+# which no text holds: 2048 places for them, so that they differ as a rule.
 _FOLD_SIZE = 0x10000
 _fold: np.ndarray | None = None
 
@@ -33,7 +35,8 @@ def fold_codes(codes: np.ndarray) -> np.ndarray:
         table[0x30:0x3A] = 0x30
         table[[9, 10, 13]] = 32
         _fold = table
-    return _fold[np.minimum(codes, _FOLD_SIZE - 1)]
+    beyond = codes >= _FOLD_SIZE
+    return np.where(beyond, 0xD800 + (codes * np.uint32(0x9E3779B1) >> np.uint32(21)), _fold[np.minimum(codes, _FOLD_SIZE - 1)]) if beyond.any() else _fold[codes]
 
 
 def joined_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +49,13 @@ def joined_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def cells(codes: np.ndarray) -> np.ndarray:
     """Table cell of each pair of neighbours."""
-    c = fold_codes(codes).astype(np.uint64)
-    key = c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    c = fold_codes(codes)
+    return pair_cells(c[:-1], c[1:])
+
+
+def pair_cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Table cell of pairs of folded code points."""
+    key = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     key ^= key >> np.uint64(31)
     key *= np.uint64(0xBF58476D1CE4E5B9)
     return (key >> np.uint64(44)).astype(np.int64)
@@ -99,14 +107,17 @@ class PairModel:
         self.logp = np.log((counts + smoothing) / total).astype(np.float32)
         self.unseen = float(np.log(smoothing / total))
 
+    def steps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Log probability of each code point ``b`` after ``a``."""
+        a, b = fold_codes(a), fold_codes(b)
+        seen = np.minimum(self.pairs[pair_cells(a, b)], np.minimum(self.single[a], self.single[b]))
+        return np.log(seen + self.behind[b]) - self.before[a]
+
     def totals(self, texts: list[str]) -> np.ndarray:
         """Per text: its log likelihood."""
         codes, starts = joined_codes(texts)
-        c = fold_codes(codes)
-        a, b = c[:-1], c[1:]
         # A cell may hold other pairs too, but a pair is no more frequent than its code points.
-        seen = np.minimum(self.pairs[cells(codes)], np.minimum(self.single[a], self.single[b]))
-        return np.add.reduceat(np.log(seen + self.behind[b]) - self.before[a], starts, dtype=np.float64)
+        return np.add.reduceat(self.steps(codes[:-1], codes[1:]), starts, dtype=np.float64)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: sum of log probabilities, mean over the pairs that hold a

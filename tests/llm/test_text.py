@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from sievewright.llm.encoding import KEYS, _merged, decipher, garbled_fields, is_subject, lost_letters, prose_model, readings
+from sievewright.llm.encoding import KEYS, _merged, decipher, garbled_fields, is_subject, learn_table, lost_letters, page_table, prose_model, readings
 from sievewright.llm.languages import document_languages, fit_languages, plain_code, segments, sentences
 from sievewright.llm.residue import CELLS, SLOT, ResidueModel, Units, kinds_of, residue_fields, seeds, with_symbols
 from sievewright.llm.truncation import cut_rates, cut_texts, scan_structure
@@ -91,6 +92,12 @@ def test_normalize(text, want):
     assert normalize(normalize(text)) == normalize(text)
 
 
+def test_invisible_characters_of_any_plane(spark):
+    tags = "see\U000e0067\U000e0062 this\U000e0101"
+    assert normalize(tags) == "see this" and normalize("\U0002f800") == "丽"
+    assert disguised_fields(rows_of(spark, [tags])).count() == 1
+
+
 def test_mapping_has_no_conflicts():
     table = singles()
     assert not any(c in table for v in table.values() for c in v)
@@ -102,6 +109,21 @@ def test_disguised(spark):
     assert [r["snippet"] for r in normalized(rows).orderBy("result_id").collect()] == ["with", "with", None, "", "é", "é"]
 
 
+def test_letter_tables_are_learned(documents, spark):
+    """A table that starts with a wrong letter is set right by the pairs of
+    the documents, and letters that are seldom seen keep their page's letter."""
+    lm = prose_model(documents)
+    key = KEYS.index("cp1251+koi8_r")
+    right = page_table(key)
+    texts = [r["text"].encode("koi8_r", "ignore").decode("cp1251", "ignore") for r in documents.filter("lang = 'ru'").select("text").limit(60).collect()]
+    rows = [(t[i], t[i - 1], t[i + 1], 1) for t in texts for i in range(1, len(t) - 1) if t[i] in right]
+    contexts = pd.DataFrame(rows, columns=["c", "l", "r", "n"]).groupby(["c", "l", "r"], as_index=False).sum()
+    common = contexts.groupby("c")["n"].sum().nlargest(8).index
+    assert all(learn_table(key, contexts, lm)[c] == right[c] for c in common)
+    assert all(learn_table(key, contexts, lm, trust=0.0)[c] == right[c] for c in common[:5])
+    assert learn_table(key, contexts[:0], lm) == right
+
+
 def test_residue(spark, documents):
     bad = ["Please enable JavaScript to continue.", "Lorem ipsum dolor sit amet consectetur", "404 Not Found", "{{ title }} in Rugo", "undefined | Sibrus", "[object Object]", "页面不存在", "%s"]
     good = ["What {{ name }} means in Drife templates", "A short history of lorem ipsum in Fleasiha", "Null and undefined explained for Klome beginners", None, "", "161 stars, 632 forks, licence: permissive", PLAIN, "434 questions about Fioshu and its ranking", "None of the readers complained about it."]
@@ -141,7 +163,7 @@ def test_residue_held_out(documents):
 
 def test_placeholders_of_any_length():
     for text in ("{{ " + "a" * 500 + " }}", "%" + "b" * 300 + "%", "[INSERT " + "C" * 200 + "]"):
-        assert SLOT in with_symbols(text)
+        assert SLOT in with_symbols([text])[0]
 
 
 @pytest.mark.parametrize(
