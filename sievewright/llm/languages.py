@@ -29,10 +29,12 @@ LANGUAGES = {
 }
 _CODE = {x: code for code, others in LANGUAGES.items() for x in others}
 
-_QUOTES = [("“", "”"), ("„", "“”"), ("«", "»"), ("「", "」"), ("『", "』"), ("《", "》"), ("‹", "›"), ('"', '"')]
+# Quotes that pair.
+_QUOTED = re.compile("“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』|《[^》\n]*》|‹[^›\n]*›|\"[^\"\n]*\"")
 _STOP = re.compile(r"[.!?](?=[\s\"'”’»)\]]|$)|[。！？]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _JUNK_LINE = re.compile(r"^\s*(?:(?:https?|ftp)://\S+|www\.\S+|\[?\d{4}-\d\d-\d\d[T ].*|\[\d+\]\s.*|[\W\d\s]*)\s*$")
+_APART = re.compile(r"[\W_]+")
 _NOISE = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+|[\w./-]*/[\w./-]+|[#\[]\d+\]?|\d[\d.,:%|/x-]*")
 
 
@@ -45,29 +47,14 @@ def plain_code(label: str | None) -> str | None:
 
 def _masked(text: str) -> str:
     """The text with what stands in quotes blanked, lengths kept."""
-    out = list(text)
-    i, n = 0, len(text)
-    opening = dict(_QUOTES)
-    while i < n:
-        ends = opening.get(text[i])
-        if ends:
-            j = next((k for k in range(i + 1, min(n, i + 120)) if text[k] in ends or text[k] == "\n"), None)
-            if j is not None and text[j] in ends:
-                for k in range(i + 1, j):
-                    out[k] = "\x01"
-                i = j
-        i += 1
-    return "".join(out)
+    return _QUOTED.sub(lambda m: m.group()[0] + "\x01" * (len(m.group()) - 2) + m.group()[-1], text)
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text, without lines and parts in no language; words
     in quotes are blanked, unless the sentence is hardly more than them."""
     out = []
-    masked = _masked(text)
-    at = 0
-    for line, raw in zip(masked.split("\n"), text.split("\n")):
-        at += len(raw) + 1
+    for line, raw in zip(_masked(text).split("\n"), text.split("\n")):
         if not line.strip() or _JUNK_LINE.match(raw):
             continue
         begin = 0
@@ -84,15 +71,13 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """Presence vectors of n-grams of length one to three, hashed, one row a
-    text, scaled to unit length."""
-    if not texts:
-        return np.zeros((0, DIMENSIONS), dtype=np.float32)
-    joined = " \n ".join(re.sub(r"[\W_]+", " ", t.lower()) for t in texts)
+def spectrum(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of length one to three that each text holds, each once:
+    the cells, by text, and how many each text has."""
+    joined = " \n ".join(_APART.sub(" ", t.lower()) for t in texts)
     codes = np.frombuffer(f"  {joined}  ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     row = np.cumsum(codes == 10)
-    out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
+    held = np.zeros(len(texts) * DIMENSIONS, dtype=bool)
     multipliers = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
     for n in (1, 2, 3):
         size = len(codes) - n + 1
@@ -105,8 +90,30 @@ def presence(texts: list[str]) -> np.ndarray:
         keep = codes[:size] != 10
         for k in range(1, n):
             keep &= codes[k : k + size] != 10
-        out[row[:size][keep], cell[keep]] = 1.0
-    out /= np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1.0))
+        held[row[:size][keep] * DIMENSIONS + cell[keep]] = True
+    hit = np.flatnonzero(held)
+    return hit & (DIMENSIONS - 1), np.bincount(hit // DIMENSIONS, minlength=len(texts))
+
+
+def projected(texts: list[str], matrix: np.ndarray, batch: int = 256) -> np.ndarray:
+    """Unit presence vectors times a matrix, one row a text: as the vectors
+    are sparse, the rows of the matrix that a text holds are summed up."""
+    out = np.zeros((len(texts), matrix.shape[1]), dtype=np.float32)
+    for begin in range(0, len(texts), batch):
+        cells, sizes = spectrum(texts[begin : begin + batch])
+        some = np.flatnonzero(sizes)
+        if len(some):
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[begin + some] = np.add.reduceat(matrix[cells], starts) / np.sqrt(sizes[some, None], dtype=np.float32)
+    return out
+
+
+def presence(texts: list[str]) -> np.ndarray:
+    """Presence vectors of the n-grams of each text, scaled to unit length."""
+    cells, sizes = spectrum(texts)
+    out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    out[rows, cells] = 1.0 / np.sqrt(sizes[rows])
     return out
 
 
@@ -129,7 +136,7 @@ class LanguageModel:
             chosen = np.concatenate([rng.permutation(known[y[known] == c])[:each] for c in np.unique(y[known])])
             marks = presence([texts[i] for i in chosen])
             # Kernel rows batch by batch: presence vectors are never all held.
-            kernel = np.concatenate([presence(texts[i : i + 256]) @ marks.T for i in range(0, len(texts), 256)])
+            kernel = projected(texts, np.ascontiguousarray(marks.T), batch=32)
             k = kernel[known]
             target = np.where(y[known, None] == np.arange(len(self.codes)), 1.0, -1.0).astype(np.float32)
             balance = (1.0 / np.bincount(y[known], minlength=len(self.codes))[y[known]]).astype(np.float32)
@@ -140,15 +147,16 @@ class LanguageModel:
             self.matrix = (marks.T @ solved).astype(np.float32)
             keep = (kernel @ solved).argmax(axis=1) == y
 
-    def scores(self, texts: list[str], batch: int = 512) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         """Log probabilities of the languages, one row a text."""
-        parts = [presence(texts[i : i + batch]) @ self.matrix for i in range(0, len(texts), batch)]
-        z = self.temperature * np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, len(self.codes)))
+        z = self.temperature * projected(texts, self.matrix).astype(np.float64)
+        if not len(z):
+            return z
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def fit_languages(documents: DataFrame, per_language: int = 300, sentences_each: int = 5, key: str = "doc_id", text: str = "text", label: str = "lang") -> LanguageModel:
+def fit_languages(documents: DataFrame, per_language: int = 400, sentences_each: int = 6, key: str = "doc_id", text: str = "text", label: str = "lang") -> LanguageModel:
     """Model fitted on at most ``per_language`` documents of each label, the
     first by a hash of the key, ``sentences_each`` sentences from each."""
     spark = documents.sparkSession
