@@ -121,3 +121,11 @@ def valid_calls(calls: DataFrame, max_latency_ms: float = 3_600_000.0) -> DataFr
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86400).cast("int"))
     kept = calls.filter(F.col("latency_ms").between(0, max_latency_ms))
     return kept.select("call_id", "engine", "latency_ms", day.alias("day")).dropDuplicates(["call_id"])
+
+
+def left_out(calls: DataFrame, max_latency_ms: float = 3_600_000.0) -> DataFrame:
+    """How many calls of each engine the percentiles leave out, and why; calls
+    delivered again count once."""
+    once = calls.select("call_id", "engine", "latency_ms").dropDuplicates(["call_id"])
+    v = F.col("latency_ms")
+    return once.groupBy("engine").agg(F.count("*").alias("n_calls"), F.count_if(v.isNull()).alias("n_null"), F.count_if(v < 0).alias("n_negative"), F.count_if(v > max_latency_ms).alias("n_implausible"))

@@ -9,7 +9,7 @@ from sievewright.llm.encoding import garbled_fields, prose_model
 from sievewright.llm.languages import document_languages, fit_languages, segments
 from sievewright.llm.mixing import draw_mixture, mixture_report
 from sievewright.llm.packing import pack_documents, packing_report
-from sievewright.llm.percentiles import digest, merge_digests, quantiles, valid_calls
+from sievewright.llm.percentiles import digest, left_out, merge_digests, quantiles, valid_calls
 from sievewright.llm.records import collapse_records, record_counts
 from sievewright.llm.residue import residue_fields
 from sievewright.llm.tokens import with_tokens
@@ -73,6 +73,11 @@ def p5_calls(spark: SparkSession, root: str) -> DataFrame:
     return calls.groupBy("engine", "day").agg(F.count("*").alias("n_calls"), F.min("latency_ms").alias("least_ms"), F.max("latency_ms").alias("most_ms"))
 
 
+def p5_left_out(spark: SparkSession, root: str) -> DataFrame:
+    """Calls without a usable latency, by engine and reason."""
+    return left_out(table(spark, root, "engine_perf"))
+
+
 def _cut(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "search_results").select("result_id", "engine", "source", "snippet")
     documents = table(spark, root, "documents")
@@ -102,11 +107,24 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """The largest mixture in which all sources reach their shares."""
     return draw_mixture(_sized(spark, root), table(spark, root, "mix_targets"))
 
 
+# The size of the mixture at a requested size.
+REQUESTED_TOKENS = 10_000_000
+
+
+def p9_requested(spark: SparkSession, root: str) -> DataFrame:
+    """A mixture of a requested size, in which scarce sources fall short."""
+    return draw_mixture(_sized(spark, root), table(spark, root, "mix_targets"), REQUESTED_TOKENS)
+
+
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
-    return mixture_report(p9_mixture(spark, root), table(spark, root, "mix_targets"))
+    """Shares, and shortfalls in tokens, of both mixtures."""
+    targets = table(spark, root, "mix_targets")
+    balanced = mixture_report(p9_mixture(spark, root), targets).withColumn("mixture", F.lit("balanced"))
+    return balanced.unionByName(mixture_report(p9_requested(spark, root), targets, REQUESTED_TOKENS).withColumn("mixture", F.lit("requested")))
 
 
 def p10_segments(spark: SparkSession, root: str) -> DataFrame:
@@ -122,8 +140,11 @@ def p10_documents(spark: SparkSession, root: str) -> DataFrame:
     return document_languages(p10_segments(spark, root))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_fields": p2_fields, "p3_found": p3_found, "p3_restored": p3_restored, "p5_latency_percentiles": p5_latency_percentiles, "p5_calls": p5_calls, "p6_found": p6_found, "p6_normalized": p6_normalized, "p7_found": p7_found, "p7_rates": p7_rates, "p8_placement": p8_placement, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_fields": p2_fields, "p3_found": p3_found, "p3_restored": p3_restored, "p5_latency_percentiles": p5_latency_percentiles, "p5_calls": p5_calls, "p5_left_out": p5_left_out, "p6_found": p6_found, "p6_normalized": p6_normalized, "p7_found": p7_found, "p7_rates": p7_rates, "p8_placement": p8_placement, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_requested": p9_requested, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments, "p10_documents": p10_documents}
 SQL: dict[str, str] = {
+    "p5_left_out": """
+        WITH once AS (SELECT DISTINCT call_id, engine, latency_ms FROM engine_perf)
+        SELECT engine, count(*) AS n_calls, count(*) FILTER (latency_ms IS NULL) AS n_null, count(*) FILTER (latency_ms < 0) AS n_negative, count(*) FILTER (latency_ms > 3600000) AS n_implausible FROM once GROUP BY engine""",
     "p5_calls": """
         WITH calls AS (SELECT DISTINCT ON (call_id) call_id, engine, latency_ms, CAST(DATE '1970-01-01' + CAST(floor(created_at / 86400) AS INTEGER) AS DATE) AS day
                        FROM engine_perf WHERE latency_ms BETWEEN 0 AND 3600000)

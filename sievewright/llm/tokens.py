@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pre-tokenizer's pattern: contractions, letters, digits, marks, space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-# Texts beyond this many characters are counted piece by piece, cut at line
-# ends or spaces, so that one very long text does not hold a task up.
-_PIECE = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -28,15 +25,7 @@ def _encoding(path: str):
 
 def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
     """Tokens of a text; 0 for null and empty."""
-    if not text:
-        return 0
-    encoding, total, at = _encoding(path), 0, 0
-    while len(text) - at > _PIECE:
-        end = max(text.rfind("\n", at + 1, at + _PIECE), text.rfind(" ", at + 1, at + _PIECE))
-        end = end if end > at else at + _PIECE
-        total += len(encoding.encode_ordinary(text[at:end]))
-        at = end
-    return total + len(encoding.encode_ordinary(text[at:]))
+    return len(_encoding(path).encode_ordinary(text)) if text else 0
 
 
 def with_tokens(documents: DataFrame, text: str = "text", out: str = "n_tokens", path: str = VOCABULARY) -> DataFrame:

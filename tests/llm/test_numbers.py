@@ -6,10 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievewright.llm.mixing import draw_mixture, mixture_report
-from sievewright.llm.packing import pack_documents, pack_sizes, packing_report
+from sievewright.llm.mixing import draw_mixture, mixture_report, play_epoch
+from sievewright.llm.packing import _reduce, _Sizes, pack_documents, pack_sizes, packing_report
 from sievewright.llm.percentiles import LEVELS, bucket_bounds, compress, digest, merge_digests, quantiles, valid_calls
-from sievewright.llm.tokens import count_tokens
+from sievewright.llm.tokens import VOCABULARY, _encoding, count_tokens
 
 
 def rank_of(values, x):
@@ -69,6 +69,39 @@ def test_packing_is_whole(histogram):
     assert containers <= max(2 * -(-total // 60), 1)
 
 
+def test_dominance_and_exact_pairs():
+    """A partner as large as the best pair is fixed, and an exact pair is found
+    however far down it is."""
+    sizes = _Sizes({70: 1, 29: 1, 10: 2}, 100)
+    assert _reduce(sizes, 100)[0] == (1, {70: 1, 29: 1})
+    crowd = {2000: 1} | {s: 1 for s in range(900, 1000)} | {1500: 1, 500: 1}
+    assert _Sizes(crowd, 4000).exact_pair(2000, {2000: 1}) == (1500, 500)
+    far = _Sizes({4000: 1, 1400: 1, 600: 1} | {s: 1 for s in range(1401, 1599) if s % 2}, 6000)
+    assert far.exact_pair(2000, {4000: 1}) == (1400, 600)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(5, 40), min_size=1, max_size=9))
+def test_reduction_loses_nothing(items):
+    """The fixed sets are part of a best packing, by brute force."""
+
+    def least(left, bins, best):
+        if not left:
+            return min(best, len(bins))
+        if len(bins) >= best:
+            return best
+        for i in range(len(bins)):
+            if bins[i] + left[0] <= 40 and bins[i] not in bins[:i]:
+                best = least(left[1:], bins[:i] + [bins[i] + left[0]] + bins[i + 1 :], best)
+        return least(left[1:], [*bins, left[0]], best)
+
+    optimum = least(sorted(items, reverse=True), [], len(items) + 1)
+    sizes = _Sizes({s: items.count(s) for s in items}, 40)
+    fixed = sum(n for n, _ in _reduce(sizes, 40))
+    rest = [s for s in range(41) for _ in range(int(sizes.count[s]))]
+    assert fixed + least(sorted(rest, reverse=True), [], len(rest) + 1) == optimum
+
+
 @pytest.fixture(scope="module")
 def sized(spark):
     rows = [(i, ["a", "b", "c", None][i % 4], (i * 37) % 90) for i in range(400)] + [(1000, "a", 250), (1001, None, None)] + [(2000 + i, "b", 30) for i in range(300)]
@@ -94,7 +127,7 @@ def test_placement(spark, sized):
 def test_mixture(spark, sized):
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.1, 5), ("missing", 0.1, 3)], "source string, target_share double, max_repeats int")
     drawn = draw_mixture(sized, targets, buckets=8)
-    rows = drawn.orderBy("deadline", "source", "doc_id").collect()
+    rows = drawn.orderBy("epoch", "slot").collect()
     total = sum(r["n_tokens"] for r in rows)
     shares = {"a": 0.5 / 0.9, "b": 0.3 / 0.9, "c": 0.1 / 0.9}
     most = {"a": 2, "b": 1, "c": 5}
@@ -110,10 +143,23 @@ def test_mixture(spark, sized):
     report = {r["source"]: r for r in mixture_report(drawn, targets).collect()}
     assert report["missing"]["n_tokens"] == 0 and report["a"]["most_uses"] <= 2
     assert draw_mixture(sized.limit(0), targets).count() == 0
+    # At a requested size the scarce sources fall short, and say so.
+    size = 60_000
+    report = {r["source"]: r for r in mixture_report(draw_mixture(sized, targets, size, buckets=8, epoch_blocks=50), targets, size).collect()}
+    assert all(r["asked_tokens"] == size and r["reached_tokens"] < size for r in report.values())
+    assert report["b"]["shortfall_tokens"] == 60_000 * 0.3 - report["b"]["n_tokens"] > 0 and report["missing"]["shortfall_tokens"] == 6000
+
+
+def test_released_blocks_come_first():
+    """A block waits for its release though its deadline is earlier."""
+    release, deadline, tokens = [0.0, 0.0, 10.0, 20.0], [40.0, 10.0, 20.0, 30.0], [20, 5, 5, 5]
+    assert play_epoch(release, deadline, tokens, 0.0) == [1, 0, 2, 3]
+    assert play_epoch([], [], [], 0.0) == []
 
 
 def test_tokens():
     assert count_tokens(None) == count_tokens("") == 0
     assert count_tokens("hello world") == 2
-    long = "word " * 100_000
-    assert abs(count_tokens(long) - 100_000) <= 5
+    # Long texts are counted as a whole, also where no space parts them.
+    for long in ("word " * 100_000, "天気予報" * 80_000, "ab1-" * 75_000):
+        assert count_tokens(long) == len(_encoding(VOCABULARY).encode_ordinary(long))
