@@ -25,16 +25,34 @@ from sievewright.runtime import join_small, materialize
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "《": "》", "【": "】", "（": "）", "‹": "›"}
 _CLOSERS = {v: k for k, v in PAIRS.items()}
 _MARK = re.compile(r"(?:…|\.\.\.|。。|\[(?:…|\.\.\.|&hellip;)\]|\((?:…|\.\.\.)\)|&hellip;|&#8230;|\[more\]|read more|weiterlesen|lire la suite|leer más|続きを読む|更多)\W*$", re.IGNORECASE)
-_BROKEN = re.compile(r"(?:�|&#?\w{0,8}|<[^<>]{0,200}|%[0-9A-F]?|%[0-9A-F]{2}(?:%[0-9A-F]?)|\\u?[0-9a-f]{0,3})$")
+_BROKEN = re.compile(r"(?:�|&#?\w*|<[A-Za-z/!][^<>]*|%[0-9A-F]?|%[0-9A-F]{2}(?:%[0-9A-F]?)|\\u?[0-9a-f]{0,3})$")
 _FINAL = re.compile(r"[.!?。！？]['\"”’»」』》）)\]】›]*$")
-# Complete entries: key and value, or short fields between separators.
-_ENTRY = re.compile(
-    r"^(?:[\w’'-]+(?: [\w’'-]+)? ?[:：] ?\S.*|[^.!?。]{1,40}(?: [·|｜/] | – |｜|; )[^.!?。]{1,60}(?:(?: [·|｜/] | – |｜|; )[^.!?。]{1,60}){0,4}"
-    r"|\d+ \w+(?:, \d+ \w+)+(?:, .{1,40})?|[\w’'-]+, \d[\d.,]* \w+.{0,30}|\W*[A-Z]{3,5} [\dX-]+.*)$"
-)
+# Complete entries: facts set off from each other, each of them few words.
+_STRONG = re.compile(r"\s*(?:[·•|｜;；:：]|\s[-–—/]\s)\s*")
+_WEAK = re.compile(r"\s*[,，、]\s*")
+_WIDE = re.compile("[\u3040-\u9fff\uac00-\ud7a3]")
+_NUMBER = re.compile(r"\d[\d.,]*")
 _SENTENCE_INSIDE = re.compile(r"[.!?。！？](?:\s|[^\x00-\x7f])")
-# How "。" and "？" end once their last byte is lost to a wrong decoding.
-_LOST_FINAL = re.compile(r"(?:銆�|锛�|縲�|・�|��|ã€�|ï¼�)$")
+_PAIRED = re.compile("[" + re.escape("".join([*PAIRS, *_CLOSERS, '"'])) + "]")
+# A terminator of which a wrong decoding lost a byte.
+_LOST_FINAL = tuple({x for t in "。？！" for page in ("gb18030", "shift_jis", "euc_jp", "cp949", "big5", "cp1252", "cp1250") if "�" in (x := t.encode("utf-8").decode(page, "replace"))})
+
+
+def is_entry(text: str, words: int = 6, listed: int = 5, wide: int = 10) -> bool:
+    """Whether a text is a complete entry, which needs no terminator: facts
+    parted by separators, or by commas where there is a number among them,
+    none of which has more words (or wide characters) than a fact has."""
+    flat = _NUMBER.sub("0", text)
+    if _SENTENCE_INSIDE.search(flat):
+        return False
+    parts = [p for p in _STRONG.split(flat) if p]
+    if len(parts) < 2 and not ("0" in flat and _WEAK.search(flat) and not _WIDE.search(flat)):
+        return False
+    for part in parts:
+        facts = [f for f in _WEAK.split(part) if f]
+        if any(len(f.split()) > (listed if len(facts) > 1 else words) or len(_WIDE.findall(f)) > wide for f in facts):
+            return False
+    return True
 
 
 def scan_structure(text: str) -> tuple[bool, bool, bool, bool]:
@@ -43,18 +61,15 @@ def scan_structure(text: str) -> tuple[bool, bool, bool, bool]:
     marked = bool(_MARK.search(body) or _BROKEN.search(body))
     stack: list[str] = []
     straight = 0
-    for c in body:
-        if c in PAIRS:
-            stack.append(c)
-        elif c in _CLOSERS:
-            if stack and stack[-1] == _CLOSERS[c]:
-                stack.pop()
-        elif c == '"':
+    for c in _PAIRED.findall(body):
+        if c == '"':
             straight += 1
+        elif c in PAIRS:
+            stack.append(c)
+        elif stack and stack[-1] == _CLOSERS[c]:
+            stack.pop()
     final = bool(_FINAL.search(body))
-    flat = re.sub(r"\d[\d.,]*", "0", body)
-    entry = not final and len(body) <= 90 and bool(_ENTRY.match(flat)) and not _SENTENCE_INSIDE.search(flat)
-    return marked, bool(stack) or straight % 2 == 1, final, entry
+    return marked, bool(stack) or straight % 2 == 1, final, not final and is_entry(body)
 
 
 def _examined(rows: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -67,7 +82,7 @@ def _examined(rows: DataFrame, key: str, source: str, text: str) -> DataFrame:
             out = []
             for value, lost in zip(frame[text], frame["_lost"]):
                 if (value, lost) not in seen:
-                    if lost and _LOST_FINAL.search(value.rstrip()):
+                    if lost and value.rstrip().endswith(_LOST_FINAL):
                         seen[value, lost] = (False, True, False)
                     else:
                         plain = normalize(value)

@@ -9,7 +9,7 @@ import pytest
 from sievewright.llm.encoding import KEYS, _merged, decipher, garbled_fields, is_subject, learn_table, lost_letters, page_table, prose_model, readings
 from sievewright.llm.languages import document_languages, fit_languages, plain_code, segments, sentences
 from sievewright.llm.residue import CELLS, SLOT, ResidueModel, Units, kinds_of, residue_fields, seeds, with_symbols
-from sievewright.llm.truncation import cut_rates, cut_texts, scan_structure
+from sievewright.llm.truncation import cut_rates, cut_texts, is_entry, scan_structure
 from sievewright.llm.visual import disguised_fields, normalize, normalized, singles
 
 FIELDS = "result_id long, engine string, source string, title string, snippet string, field string"
@@ -174,6 +174,23 @@ def test_cut(spark, text, cut):
     assert cut_texts(rows_of(spark, [text])).first()["cut"] is cut
 
 
+def test_entries_of_any_length():
+    """Facts are told from sentences by their parts, not by a total length."""
+    assert is_entry("; ".join(f"Field {i}: value {i}" for i in range(40))) and is_entry("Kleashafle, 715 m above sea level")
+    assert not is_entry("Note: the survey of Kego grew by five percent over the winter and most of the comm")
+    assert not is_entry("据Fliokio介绍，软件包已经方便，但是专利还没有变")
+    assert scan_structure("See <a href='" + "x" * 400)[0] and scan_structure("fish &" + "a" * 12)[0]
+
+
+def test_quotes_of_any_length(spark, documents):
+    """A long quotation does not start a segment."""
+    quoted = "“" + "Что нового в обзоре этой осенью и почему запрос показывает только записи " * 3 + "”"
+    text = f"The original carries the heading {quoted} and was read by 930 people. Most of the comments praise the forecast."
+    assert len(quoted) > 200 and not any("\u0400" <= c < "\u0500" for s in sentences(text) for c in s)
+    got = segments(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), fit_languages(documents))
+    assert [(r["seg_no"], r["lang"]) for r in got.collect()] == [(1, "en")]
+
+
 def test_cut_uses_originals_and_rates(spark):
     rows = rows_of(spark, ["Ã¼", "whole.", None, " ", "same.", "same.", "open and"])
     garbled = spark.createDataFrame([(0, "ganz.")], "result_id long, restored string")
