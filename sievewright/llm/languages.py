@@ -34,8 +34,8 @@ _QUOTED = re.compile("“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^
 _STOP = re.compile(r"[.!?](?=[\s\"'”’»)\]]|$)|[。！？]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _JUNK_LINE = re.compile(r"^\s*(?:(?:https?|ftp)://\S+|www\.\S+|\[?\d{4}-\d\d-\d\d[T ].*|\[\d+\]\s.*|[\W\d\s]*)\s*$")
-_APART = re.compile(r"[\W_]+")
-_NOISE = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+|[\w./-]*/[\w./-]+|[#\[]\d+\]?|\d[\d.,:%|/x-]*")
+_APART = re.compile(r"(?:[^\w\n]|_)+")
+_NOISE = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|(?<!\S)[^\s@]+@\S+|(?<![\w./-])[\w./-]*/[\w./-]+|[#\[]\d+\]?|\d[\d.,:%|/x-]*")
 
 
 def plain_code(label: str | None) -> str | None:
@@ -55,17 +55,19 @@ def sentences(text: str) -> list[str]:
     in quotes are blanked, unless the sentence is hardly more than them."""
     out = []
     for line, raw in zip(_masked(text).split("\n"), text.split("\n")):
+        line = raw if line == raw else line
         if not line.strip() or _JUNK_LINE.match(raw):
             continue
         begin = 0
         for end in [*(m.end() for m in _STOP.finditer(line)), len(line)]:
-            part = line[begin:end]
             full = raw[begin:end]
+            part = full if line is raw else line[begin:end]
             begin = end
             clean = _NOISE.sub(" ", part.replace("\x01", ""))
-            if sum(map(len, _LETTERS.findall(clean))) < 6:
-                clean = _NOISE.sub(" ", full)
             letters = sum(map(len, _LETTERS.findall(clean)))
+            if letters < 6 and part is not full:
+                clean = _NOISE.sub(" ", full)
+                letters = sum(map(len, _LETTERS.findall(clean)))
             if letters >= 4 and (letters >= 8 or not clean.isascii()) and letters * 3 > len(clean.strip()):
                 out.append(clean.strip())
     return out
@@ -74,23 +76,21 @@ def sentences(text: str) -> list[str]:
 def spectrum(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of length one to three that each text holds, each once:
     the cells, by text, and how many each text has."""
-    joined = " \n ".join(_APART.sub(" ", t.lower()) for t in texts)
-    codes = np.frombuffer(f"  {joined}  ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    row = np.cumsum(codes == 10)
+    joined = _APART.sub(" ", "\n".join(t.replace("\n", " ") for t in texts).lower()).replace("\n", " \n ")
+    codes = np.frombuffer(f"  {joined}  ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    last = codes == 10
+    place = np.cumsum(last) * DIMENSIONS
+    inside = ~last
     held = np.zeros(len(texts) * DIMENSIONS, dtype=bool)
-    multipliers = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
-    for n in (1, 2, 3):
-        size = len(codes) - n + 1
-        key = np.full(size, n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for k in range(n):
-            key += codes[k : k + size] * multipliers[k]
-        key ^= key >> np.uint64(32)
-        key *= np.uint64(0xBF58476D1CE4E5B9)
-        cell = (key >> np.uint64(51)).astype(np.int64)
-        keep = codes[:size] != 10
-        for k in range(1, n):
-            keep &= codes[k : k + size] != 10
-        held[row[:size][keep] * DIMENSIONS + cell[keep]] = True
+    total = np.zeros(len(codes), dtype=np.uint32)
+    for n, multiplier in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+        size = len(codes) - n
+        inside = inside[:size] & ~last[n:]
+        total = total[:size] + codes[n:] * np.uint32(multiplier)
+        key = total + np.uint32(0x27D4EB2F * (n + 1))
+        key ^= key >> np.uint32(15)
+        key *= np.uint32(0x2C1B3C6D)
+        held[(place[:size] + (key >> np.uint32(19)))[inside]] = True
     hit = np.flatnonzero(held)
     return hit & (DIMENSIONS - 1), np.bincount(hit // DIMENSIONS, minlength=len(texts))
 
@@ -188,6 +188,9 @@ def fit_languages(documents: DataFrame, per_language: int = 400, sentences_each:
 def _path(logs: np.ndarray, cost: float) -> np.ndarray:
     """Best sequence of languages under a cost for every change."""
     n, k = logs.shape
+    each = logs.argmax(axis=1)
+    if (each == each[0]).all():
+        return each
     best, back = logs[0].copy(), np.zeros((n, k), dtype=np.int64)
     for i in range(1, n):
         top = int(best.argmax())
