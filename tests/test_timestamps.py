@@ -76,3 +76,30 @@ def test_empty(spark):
     rows = spark.createDataFrame([], "result_id long, engine string, published_at string, fetched_at timestamp")
     engines = spark.createDataFrame([], "engine string, default_tz string, date_order string")
     assert normalize_timestamps(rows, engines).count() == 0
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, e, v, FETCHED) for i, (e, v) in enumerate(rows)], "result_id long, engine string, published_at string, fetched_at timestamp")
+
+
+def test_contradicted_declaration_is_marked(spark):
+    """An engine that declares day first but writes month first most often."""
+    engines = spark.createDataFrame(ENGINES, "engine string, default_tz string, date_order string")
+    rows = [("berlin", f"0{1 + i % 9}/{13 + i % 15}/2025") for i in range(60)] + [("berlin", "03/04/2025"), ("york", "03/04/2025")]
+    got = {r["result_id"]: r for r in normalize_timestamps(frame(spark, rows), engines).collect()}
+    assert got[0]["notation"] == "slash_mdy" and not got[0]["ambiguous"]
+    assert got[60]["ambiguous"] and got[60]["posterior"] < 0.9
+    assert not got[61]["ambiguous"] and got[61]["published_us"] == us(2025, 3, 4, 5)
+
+
+def test_dots_and_shared_letters(spark):
+    """Dots are day first unless the engine writes otherwise; letters that
+    several zones share are read by the engine's zone, and marked elsewhere."""
+    engines = spark.createDataFrame([*ENGINES, ("delhi", "Asia/Kolkata", None), ("china", "Asia/Shanghai", None)], "engine string, default_tz string, date_order string")
+    rows = [("berlin", "3.4.2025"), ("delhi", "2025-06-01 10:00 IST"), ("china", "2025-06-01 10:00 CST"), ("york", "2025-06-01 10:00 CST"), ("tokyo", "2025-06-01 10:00 CST")]
+    rows += [("open", f"0{1 + i % 9}.{13 + i % 15}.2025") for i in range(300)] + [("open", "3.4.2025")]
+    got = {r["result_id"]: r for r in normalize_timestamps(frame(spark, rows), engines).collect()}
+    assert got[0]["published_us"] == us(2025, 4, 2, 22) and not got[0]["ambiguous"]
+    assert [got[i]["published_us"] for i in (1, 2, 3)] == [us(2025, 6, 1, 4, 30), us(2025, 6, 1, 2), us(2025, 6, 1, 16)]
+    assert not any(got[i]["ambiguous"] for i in (1, 2, 3)) and got[4]["ambiguous"] and got[4]["published_us"] == us(2025, 6, 1, 16)
+    assert got[305]["notation"] == "dots_mdy" and got[305]["published_us"] == us(2025, 3, 4)
