@@ -119,30 +119,35 @@ def _held(read: str) -> re.Pattern:
     return re.compile(f"[{''.join(spans)}{'\\U00010000-\\U0010ffff' if read == 'gb18030' else ''}]+")
 
 
-def _runs(text: str, read: str) -> list[str | bytes]:
-    """A text in maximal runs: the bytes of those the page has, as they are
-    those it hasn't and those of ASCII alone."""
+def _runs(text: str, read: str) -> tuple[list[str], bytes]:
+    """A text in maximal runs: what stands between those that the page has (as
+    it is, with the runs of ASCII alone), and their bytes, parted by zeros.
+    No page takes a zero into a letter."""
     up = _handlers(read)[0]
     try:
-        return [text.encode(read, up)]
+        return ["", ""], text.encode(read, up)
     except UnicodeEncodeError:
-        out: list[str | bytes] = []
+        between: list[str] = []
+        runs: list[str] = []
         at = 0
         for m in _held(read).finditer(text):
-            run = m.group()
-            if not run.isascii():
-                out += [text[at : m.start()], run.encode(read, up)]
+            if not m.group().isascii():
+                between.append(text[at : m.start()])
+                runs.append(m.group())
                 at = m.end()
-        return [*out, text[at:]]
+        return [*between, text[at:]], "\0".join(runs).encode(read, up)
 
 
-def _written(runs: list[str | bytes], read: str, written: str) -> str:
+def _written(runs: tuple[list[str], bytes], read: str, written: str) -> str:
+    between, raw = runs
     down = f"sw-d-{read}"
-    if written == "utf-8":
-        return "".join(r if isinstance(r, str) else _utf8_inside(r, read, down) for r in runs)
     # A lone byte of a page of two bytes a letter is no letter of that page either.
     errors = "replace" if read in _DOUBLE else down
-    return "".join(r if isinstance(r, str) else r.decode(written, errors) for r in runs)
+    found = _utf8_inside(raw, read, down) if written == "utf-8" else raw.decode(written, errors)
+    if len(between) == 2:
+        return between[0] + found + between[1]
+    parts = found.split("\0")
+    return "".join([x for pair in zip(between, parts) for x in pair] + [between[-1]])
 
 
 def _utf8_inside(raw: bytes, read: str, down: str) -> str:
@@ -157,13 +162,15 @@ def _utf8_inside(raw: bytes, read: str, down: str) -> str:
 def decipher(text: str, read: str, written: str) -> str:
     """``text`` as it was written, if it was written in one page and read in
     another; what the key doesn't explain stays as it is."""
+    text = text.replace("\0", " ")
     return _written(_runs(text, read), read, written)
 
 
 def readings(text: str) -> list[tuple[int, str]]:
     """The decipherings of a text that change it."""
     out: dict[int, str] = {}
-    runs: dict[str, list[str | bytes]] = {}
+    runs: dict[str, tuple[list[str], bytes]] = {}
+    text = text.replace("\0", " ")
     for seen, keys in _SEEN:
         if not seen.search(text):
             continue
@@ -174,7 +181,7 @@ def readings(text: str) -> list[tuple[int, str]]:
             if read not in runs:
                 runs[read] = _runs(text, read)
             # Without a sequence of UTF-8 there is nothing that it explains.
-            if written == "utf-8" and not any(isinstance(r, bytes) and _UTF8.search(r) for r in runs[read]):
+            if written == "utf-8" and not _UTF8.search(runs[read][1]):
                 continue
             try:
                 found = _written(runs[read], read, written)
