@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.llm.visual import normalize
+from sievewright.llm.visual import normalize_all
 from sievewright.runtime import join_small, materialize
 
 # Brackets and quotes that pair.
@@ -78,19 +78,18 @@ def _examined(rows: DataFrame, key: str, source: str, text: str) -> DataFrame:
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            values = list(zip(frame[text], frame["_lost"]))
+            unique = list(dict.fromkeys(values))
             seen: dict[tuple[str, bool], tuple] = {}
-            out = []
-            for value, lost in zip(frame[text], frame["_lost"]):
-                if (value, lost) not in seen:
-                    if lost and value.rstrip().endswith(_LOST_FINAL):
-                        seen[value, lost] = (False, True, False)
-                    else:
-                        plain = normalize(value)
-                        marked, unclosed, final, entry = scan_structure(plain)
-                        # A quote left open is no cut if the text is terminated:
-                        # it may have been opened before the excerpt began.
-                        seen[value, lost] = (marked or unclosed and not final, final, entry)
-                out.append(seen[value, lost])
+            for (value, lost), plain in zip(unique, normalize_all([v for v, _ in unique])):
+                if lost and value.rstrip().endswith(_LOST_FINAL):
+                    seen[value, lost] = (False, True, False)
+                    continue
+                marked, unclosed, final, entry = scan_structure(plain)
+                # A quote left open is no cut if the text is terminated:
+                # it may have been opened before the excerpt began.
+                seen[value, lost] = (marked or unclosed and not final, final, entry)
+            out = [seen[v] for v in values]
             done = pd.DataFrame(out, columns=["strong", "ended", "entry"], index=frame.index)
             yield pd.concat([frame[[key, source]], frame[text].str.rstrip().str.len().rename("size"), done, frame["_text"]], axis=1)
 
