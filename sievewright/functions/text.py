@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,16 +37,41 @@ DENSITY = {
     "has_disclose": (8, r"(?i)截至|根据|数据显示|研究报告|披露|公告|季报|年报|来源[：:]"),
 }
 QA_FORMAT = r"(?im)(?:^|\n)\s*(?:Q\s*[:：]|A\s*[:：]|问\s*[:：]|答\s*[:：])|(?:怎么样|好不好|靠谱吗)\s*$"
-# Fact patterns: (type, pattern, group).
+# Fact patterns (type, pattern); the first group that matched is
+# the fact. Alternatives of one type are one pattern, so they don't overlap.
 FACTS = [
+    (
+        "version",
+        r"(?i)(?:\b(?:version|ver|release|rel)\b[\s.]*([0-9]+(?:\.[0-9]+){1,3})"
+        r"|(?:版本|版号)[\s.]*([0-9]+(?:\.[0-9]+){1,3})"
+        r"|\bv[\s.]*([0-9]+(?:\.[0-9]+){1,3})\b"
+        r"|\b([0-9]+\.[0-9]+\.[0-9]+)\b"
+        r"|\b(?:python|node|java|kubernetes|k8s|docker|react|vue|angular|tensorflow|pytorch|django|flask|ubuntu|windows|macos|ios|android)[\s.]*([0-9]+(?:\.[0-9]+){1,2}))",
+    ),
     ("percent", r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:%|percent)"),
-    ("version", r"(?i)\b(?:version|ver|release|rel|versión|versione|versão)\b[\s.]*([0-9]+(?:\.[0-9]+){1,3})"),
-    ("version", r"(?:版本|版号|版本号)[\s.]*([0-9]+(?:\.[0-9]+){1,3})"),
-    ("date", r"([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})"),
-    ("money", r"(?:[￥$€]|人民币|美元)\s*([0-9]+(?:\.[0-9]+)?(?:\s*(?:亿|万|千|百万))?)"),
-    ("money", r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:亿元|万元|亿美元|billion|million)"),
+    ("money", r"(?i)(?:(?:[￥$€]|人民币|美元)\s*([0-9]+(?:\.[0-9]+)?(?:\s*(?:亿|万|千|百万))?)|([0-9]+(?:\.[0-9]+)?)\s*(?:亿元|万元|亿美元|billion|million))"),
+    ("date", r"([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})|([0-9]{4}\s*年\s*[0-9]{1,2}\s*月(?:\s*[0-9]{1,2}\s*日)?)|([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"),
+    ("law_code", r"(《[^》]{2,20}(?:法|条例|规定|办法|解释)》(?:第[0-9一二三四五六七八九十百]+条)?)|(法释〔?[0-9]{4}〕?[0-9]+号)"),
 ]
-EXCLUDED = [r"(?:^|[^A-Za-z0-9])-([A-Za-z0-9\x{4e00}-\x{9fff}]{1,20})", r"\bNOT\s+([A-Za-z0-9\x{4e00}-\x{9fff}]{1,20})", r"(?i)\bwithout\s+([A-Za-z0-9\x{4e00}-\x{9fff}]{1,20})"]
+_ENTITY = r"([\x{4e00}-\x{9fff}A-Za-z0-9]{1,20}?)(?:的|[,，、\s]|以外|之外|外|$)"
+_WORD = r"([A-Za-z0-9\x{4e00}-\x{9fff}]{1,20})"
+# Forms of exclusion, with the term as the group.
+EXCLUDED = [
+    "除了" + _ENTITY, "不想(?:要|用|看)?" + _ENTITY, "不要" + _ENTITY, "排除" + _ENTITY,
+    r"(?:^|[^A-Za-z0-9])-" + _WORD, r"(?i)\bNOT\s+" + _WORD, r"(?i)\bwithout\s+" + _WORD,
+]
+# What of them is cut from the query: the words up to the mark that ends them.
+EXCLUDED_SPANS = [
+    r"除了[\x{4e00}-\x{9fff}A-Za-z0-9]{1,20}?(?:以外|之外|外|(的|[,，、\s]|$))", r"不想(?:要|用|看)?[\x{4e00}-\x{9fff}A-Za-z0-9]{1,20}?(的|[,，、\s]|$)", r"不要[\x{4e00}-\x{9fff}A-Za-z0-9]{1,20}?(的|[,，、\s]|$)",
+    r"排除[\x{4e00}-\x{9fff}A-Za-z0-9]{1,20}?(的|[,，、\s]|$)", r"(^|[^A-Za-z0-9])-[A-Za-z0-9\x{4e00}-\x{9fff}]{1,20}", r"(?i)()\bNOT\s+[A-Za-z0-9\x{4e00}-\x{9fff}]{1,20}", r"(?i)()\bwithout\s+[A-Za-z0-9\x{4e00}-\x{9fff}]{1,20}",
+]
+# Signs that a query asks for what is happening now.
+FRESH_QUERY = r"(?i)今日|今天|昨晚|昨夜|本周|本月|实时|即时|最新|刚刚|盘中|盘前|盘后|快讯|直播|热点新闻|头条|today|tonight|breaking|live\s*update|just\s*now|right\s*now|this\s*(?:morning|week|month)"
+# Words that ask for a place.
+GEO = (
+    r"(?i)(附近|本地|同城|周边|在哪里|在哪儿|在哪|位于|坐落|坐标|经纬度|海拔|发源地|地标|名胜|景点|流经|途经|贯穿|横跨|流域|水系|汇入|注入|源头|入海|省份|省区|"
+    r"山脉|河流|湖泊|岛屿|沙漠|高原|峡谷|海峡|首都|省会|where\s+is|located\s+in|capital\s+of|latitude|longitude|coordinates?|flows?\s+through|passes\s+through|drainage|basin|openstreetmap|nominatim|geonames)"
+)
 
 
 def tokens(text: Column) -> Column:
@@ -91,6 +118,38 @@ def excluded_terms(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.concat(*found), F.lower)))
 
 
+def clean_query(text: Column) -> Column:
+    """The query without what it excludes; the query itself if nothing is left."""
+    out = F.coalesce(text, F.lit(""))
+    for span in EXCLUDED_SPANS:
+        out = F.regexp_replace(out, span, "$1 ")
+    out = F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), r"^[的了，,、\s]+", "")
+    return F.when(out == "", F.coalesce(text, F.lit(""))).otherwise(out)
+
+
+def split_intents(text: Column) -> Column:
+    """The first two parts of a query that a conjunction sets apart, if both
+    have two tokens or more; else none."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "以及|和|与|、"), F.trim), lambda p: F.regexp_count(p, F.lit(r"[\x{4e00}-\x{9fff}]|[a-zA-Z0-9]+")) >= 2)
+    return F.when(F.size(parts) >= 2, F.slice(parts, 1, 2)).otherwise(F.array().cast("array<string>"))
+
+
+def asks_place(text: Column) -> Column:
+    """The word by which a query asks for a place, or null."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), GEO, 1)
+    return F.when(found != "", found)
+
+
+def is_fresh_query(text: Column) -> Column:
+    """Whether a query asks for what is happening now."""
+    return F.coalesce(text, F.lit("")).rlike(FRESH_QUERY)
+
+
+def normalized_query(text: Column) -> Column:
+    """The form of a query in cache keys: single spaces, lower case."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x{3000}]+", " ")))
+
+
 def density_flags(title: Column, text: Column) -> dict[str, Column]:
     """Evidence flags of a title and text, and the density in hundredths."""
     body = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
@@ -103,11 +162,22 @@ def density_flags(title: Column, text: Column) -> dict[str, Column]:
     return flags | {"density_pct": F.greatest(F.lit(0), F.least(F.lit(100), score))}
 
 
+def _fact_value(kind: str, raw: Column) -> Column:
+    flat = F.regexp_replace(raw, r"\s+", "")
+    if kind == "percent":
+        return F.concat(flat, F.lit("%"))
+    if kind == "date":
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, "[年月]", "-"), "日", ""), "-+$", "")
+    return flat
+
+
 def _fact_list(text: Column, kind: str, pattern: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.transform(found, lambda v: F.struct(F.lit(kind).alias("fact_type"), F.regexp_replace(v, r"\s+", "").alias("fact_value")))
+    groups = range(1, re.compile(pattern.replace(r"\x{4e00}", "\u4e00").replace(r"\x{9fff}", "\u9fff")).groups + 1)
+    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])
+    first = lambda x: F.coalesce(*[F.when(x[f"g{g}"] != "", x[f"g{g}"]) for g in groups])
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("fact_type"), _fact_value(kind, first(x)).alias("fact_value")))
 
 
 def facts(text: Column) -> Column:
-    """Distinct (type, value) facts of a text."""
-    return F.array_distinct(F.concat(*[_fact_list(text, kind, p) for kind, p in FACTS]))
+    """Distinct (type, value) facts of a text; none for null."""
+    return F.array_distinct(F.concat(*[_fact_list(F.coalesce(text, F.lit("")), kind, p) for kind, p in FACTS]))

@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 # Query parameters that only track, by canonical form.
 TRACKING = {
     "fusion": ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "ref", "from", "share_token", "source", "refer", "trace", "clicktime", "clickid", "scid", "scene", "sessionid"],
-    "dossier": ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "source", "ref", "share_token"],
-    "envelope": ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "igshid"],
+    "dossier": ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "ref", "fbclid", "gclid"],
+    "envelope": ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "fbclid", "gclid", "mc_cid", "mc_eid"],
 }
 # Hosts of search pages, and parts of URLs that are result
 # pages or jumps.
 SEARCH_HOSTS = ["baidu.com", "sogou.com", "so.com", "bing.com", "google.com", "google.com.hk", "weixin.sogou.com"]
 SEARCH_PARTS = ["baidu.com/s?", "baidu.com/link", "baidu.com/baidu.php", "sogou.com/link", "sogou.com/web?", "so.com/s?", "bing.com/search?", "google.com/search?", "google.com/url?", "google.com.hk/search?", "google.com.hk/url?", "weixin.sogou.com/weixin"]
 
+# Parts of hosts by platform, in order of precedence; those of
+# "x" are whole hosts.
+PLATFORM_PARTS = {
+    "github": ["github.com"], "zhihu": ["zhihu.com"], "xiaohongshu": ["xiaohongshu.com", "xhslink.com"], "bilibili": ["bilibili.com"], "weibo": ["weibo.com"],
+    "youtube": ["youtube.com", "youtu.be"], "x": ["x.com", "twitter.com"], "wechat": ["mp.weixin.qq.com"],
+}
+
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
 
 
@@ -53,9 +60,11 @@ def canonical_fusion(url: Column) -> Column:
 
 
 def canonical_dossier(url: Column) -> Column:
-    """Citation key: scheme and host in lower case, one end slash dropped."""
+    """Citation key: scheme and host in lower case, no www., no tracking, one
+    end slash dropped unless it is the whole path."""
     p = pieces(url)
-    return _assembled(F.lower(p["scheme"]), F.lower(p["netloc"]), F.regexp_replace(p["path"], r"/$", ""), _kept(p["query"], "dossier"))
+    path = F.when(p["path"] == "/", p["path"]).otherwise(F.regexp_replace(p["path"], r"/$", ""))
+    return _assembled(F.lower(p["scheme"]), F.regexp_replace(F.lower(p["netloc"]), r"^www\.", ""), path, _kept(p["query"], "dossier"))
 
 
 def canonical_envelope(url: Column) -> Column:
@@ -78,3 +87,27 @@ def is_search_page(url: Column) -> Column:
         part = part | low.contains(x)
     shell = p["path"].isin("", "/", "/s", "/web", "/search") | p["path"].startswith("/s") | p["path"].contains("link") | p["path"].contains("search") | p["query"].contains("q=") | p["query"].contains("wd=")
     return (low == "") | part | (h.isin(SEARCH_HOSTS) & shell)
+
+
+def platform(url: Column) -> Column:
+    """Platform of a URL by its host; ``web`` where none is known."""
+    h = F.lower(pieces(url)["netloc"])
+    out = F.lit("web")
+    for name, parts in reversed(PLATFORM_PARTS.items()):
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | h.contains(part)
+        if name == "x":
+            hit = h.isin(*PLATFORM_PARTS["x"]) | h.endswith(".x.com")
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def is_private_host(url: Column) -> Column:
+    """Whether a URL's host is a loopback, private, link-local or local name."""
+    h = host(url)
+    octets = F.transform(F.split(h, r"\."), lambda x: x.try_cast("int"))
+    a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
+    dotted = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    private = (a == 10) | (a == 127) | (a == 0) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
+    return (h == "localhost") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal") | F.coalesce(dotted & private, F.lit(False))

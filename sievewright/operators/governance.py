@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,11 +56,29 @@ def engine_status(engines: DataFrame, calls: DataFrame) -> DataFrame:
     return out.select("engine", "family", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.when(~F.col("enabled"), "disabled").when(F.col("n_calls").isNull(), "unused").otherwise("ready").alias("status"), (F.col("enabled") & (F.coalesce("cost_tier", F.lit("free")) != "paid")).alias("routable"))
 
 
-def complement_refill(engines: DataFrame, primary_family: str, most: int = 3) -> DataFrame:
-    """Enabled engines of other families whose coverage meets that of the
-    primary family, one a family, by priority."""
-    covered = engines.filter((F.col("family") == primary_family) & F.col("enabled")).select(F.explode("coverage").alias("topic")).distinct()
-    others = engines.filter((F.col("family") != primary_family) & F.col("enabled")).select("engine", "family", "priority", F.explode("coverage").alias("topic"))
-    met = others.join(F.broadcast(covered), "topic").groupBy("engine", "family", "priority").agg(F.count_distinct("topic").alias("n_topics"))
-    best = met.groupBy("family").agg(F.min(F.struct((-F.col("priority")).alias("p"), "engine", "n_topics")).alias("b"))
-    return best.select(F.col("b.engine").alias("engine"), "family", (-F.col("b.p")).alias("priority"), F.col("b.n_topics").alias("n_topics")).orderBy(F.desc("priority"), "engine").limit(most)
+# Families that are no complement of a general search.
+NO_COMPLEMENT = ("misc_vertical", "hot_trending", "media_book", "archive")
+
+
+def complement_refill(combos: DataFrame, engines: DataFrame, general: str = "web", most: int = 2, excluded: tuple[str, ...] = NO_COMPLEMENT) -> DataFrame:
+    """Engines that complete a query's engines: ``query_id, engine, priority``.
+
+    ``combos`` has ``query_id, engine, is_primary``. Only queries all of whose
+    engines are of the ``general`` family, and whose primary engine has topics,
+    are completed: by enabled engines of families that they don't have, other
+    than the ``excluded``, which share a topic with the primary engine, the
+    ``most`` of highest priority, ties by name.
+    """
+    known = combos.join(engines.select("engine", "family", "coverage"), "engine", "left")
+    asked = known.groupBy("query_id").agg(
+        F.bool_and(F.coalesce(F.col("family") == general, F.lit(False))).alias("all_general"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("is_primary"), F.col("coverage"))))).alias("topics"),
+    )
+    # Queries of the same topics are completed alike, so topics are joined once.
+    topics = asked.filter("all_general and size(topics) > 0").withColumn("key", F.array_join(F.array_sort("topics"), "\x1f"))
+    distinct = topics.select("key", F.explode("topics").alias("topic")).distinct()
+    offered = engines.filter(F.col("enabled") & (F.col("family") != general) & ~F.col("family").isin(*excluded)).select("engine", F.coalesce("priority", F.lit(0)).alias("priority"), F.explode("coverage").alias("topic"))
+    met = distinct.join(offered, "topic").select("key", "engine", "priority").distinct()
+    order = Window.partitionBy("key").orderBy(F.desc("priority"), "engine")
+    best = met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
+    return topics.select("query_id", "key").join(best, "key").select("query_id", "engine", "priority")

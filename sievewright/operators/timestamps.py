@@ -265,3 +265,26 @@ def _layout(value: Column, kind: Column, order: Column | None = None) -> Column:
             for o, parts in layouts.items():
                 layout = F.when((kind == name) & (order == o), F.regexp_replace(value, pattern, parts)).otherwise(layout)
     return layout
+
+
+def within_window(read: DataFrame, since: str | None = None, until: str | None = None, strict: bool = False, at: str = "published_us") -> DataFrame:
+    """Rows whose instant lies in a window of UTC; a bound that is a day
+    stands for its first moment, as an end for its last. Rows of unknown
+    instant are kept, unless ``strict``."""
+    moment = lambda text: F.unix_micros(F.lit(text).cast("timestamp"))
+    inside = F.lit(True)
+    if since is not None:
+        inside = inside & (F.col(at) >= moment(since))
+    if until is not None:
+        day = len(until) == 10
+        inside = inside & (F.col(at) < moment(until) + 86_400_000_000 if day else F.col(at) <= moment(until))
+    return read.filter(F.coalesce(inside, F.lit(not strict)))
+
+
+def sorted_by_time(read: DataFrame, newest: bool = True, by: tuple[str, ...] = ("query_id",), at: str = "published_us", tie: str = "rank") -> DataFrame:
+    """``position`` of each row of a group by time; rows of unknown time come
+    last, and rows of one time keep their order."""
+    from pyspark.sql import Window
+
+    time = F.col(at).desc_nulls_last() if newest else F.col(at).asc_nulls_last()
+    return read.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(time, tie, "result_id")))

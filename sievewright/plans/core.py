@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import text, urls
 from sievewright.operators import evidence, fusion, governance
+from sievewright.operators.timestamps import normalize_timestamps, within_window
 from sievewright.plans import fragments as sql
 from sievewright.runtime import table
 
 AS_OF_YEAR = 2026
+# The window of the registered time filters, its end day included.
+WINDOW = ("2026-01-01", "2026-01-31")
 QUERIES = {}
 SQL: dict[str, str] = {}
 
@@ -32,9 +35,10 @@ _KEY = (
     f"CASE WHEN {sql.canonical_fusion('url')} <> '' THEN {sql.canonical_fusion('url')} WHEN coalesce(title, '') <> '' THEN '__title__:' || title "
     "WHEN coalesce(card_type, '') <> '' THEN '__card__:' || card_type ELSE '__idx__:' || CAST(coalesce(rank - 1, 0) AS VARCHAR) END"
 )
-_WEIGHT = "CASE e.family " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fusion.FAMILY_WEIGHTS.items()) + " ELSE 100 END"
+_WEIGHT = "CASE w.n " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fusion.ENGINE_WEIGHTS.items()) + " ELSE 100 END"
+_WEIGHTS = f"coalesce(list_max(list_transform(list_filter(list_transform(string_split(coalesce(nullif(engine, ''), source, ''), '/'), lambda x: trim(x)), lambda x: x <> ''), lambda x: {_WEIGHT.replace('w.n', 'x')})), 100)"
 _FUSED = f"""
-    WITH keyed AS (SELECT s.*, {_KEY} AS key, {_WEIGHT} AS weight FROM search_results s LEFT JOIN engines e USING (engine)),
+    WITH keyed AS (SELECT *, {_KEY} AS key, {_WEIGHTS} AS weight FROM search_results),
     fused AS (SELECT query_id, key, CAST(sum(CAST(floor(weight * 10000000 / (60 + coalesce(rank, 1))) AS BIGINT)) AS BIGINT) AS score_e9, count(DISTINCT engine) AS consensus, count(*) AS n_rows,
         arg_min(result_id, struct_pack(n := -length(coalesce(title, '') || ' ' || coalesce(snippet, '')), i := result_id)) AS best_id FROM keyed GROUP BY query_id, key)"""
 
@@ -44,7 +48,7 @@ def _results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, root: str) -> DataFrame:
-    return fusion.fuse(fusion.with_weights(_results(spark, root), table(spark, root, "engines")))
+    return fusion.fuse(fusion.with_weights(_results(spark, root)))
 
 
 @query(f"SELECT result_id, {sql.canonical_fusion('url')} AS canonical FROM search_results")
@@ -122,23 +126,21 @@ def numbered_sources(spark: SparkSession, root: str) -> DataFrame:
     return kept.withColumn("number", F.row_number().over(order)).drop("score")
 
 
-_DAY = r"TRY_CAST(regexp_extract(published_at, '^\s*(\d{4}-\d{2}-\d{2})', 1) AS DATE)"
+def _windowed(spark: SparkSession, root: str, strict: bool) -> DataFrame:
+    rows = _results(spark, root).select("result_id", "engine", "published_at", "fetched_at")
+    return within_window(normalize_timestamps(rows, table(spark, root, "engines")), WINDOW[0], WINDOW[1], strict).select("result_id")
 
 
-def _day() -> F.Column:
-    return F.regexp_extract("published_at", r"^\s*(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
-
-
-@query(f"SELECT result_id FROM search_results WHERE {_DAY} IS NULL OR {_DAY} BETWEEN DATE '2026-01-01' AND DATE '2026-01-31'")
+@query()
 def time_window_lenient(spark: SparkSession, root: str) -> DataFrame:
-    rows = _results(spark, root).select("result_id", _day().alias("d"))
-    return rows.filter("d is null or d between date'2026-01-01' and date'2026-01-31'").select("result_id")
+    """Results not known to lie outside the window, whatever their notation."""
+    return _windowed(spark, root, False)
 
 
-@query(f"SELECT result_id FROM search_results WHERE {_DAY} BETWEEN DATE '2026-01-01' AND DATE '2026-01-31'")
+@query()
 def time_window_strict(spark: SparkSession, root: str) -> DataFrame:
-    rows = _results(spark, root).select("result_id", _day().alias("d"))
-    return rows.filter("d between date'2026-01-01' and date'2026-01-31'").select("result_id")
+    """Results known to lie inside the window."""
+    return _windowed(spark, root, True)
 
 
 @query(f"SELECT query_id, array_to_string({sql.excluded('text')}, ' ') AS excluded FROM queries")
@@ -197,9 +199,9 @@ def tfidf_weights(spark: SparkSession, root: str) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select("token", "df", F.round(idf * 1000).cast("long").alias("idf_e3"))
 
 
-@query(f"SELECT result_id, {sql.authority('url')} AS authority_pct FROM search_results")
+@query(f"SELECT result_id, {sql.authority('url', 'source')} AS authority_pct FROM search_results")
 def authority_suffix(spark: SparkSession, root: str) -> DataFrame:
-    return _results(spark, root).select("result_id", evidence.authority(F.col("url")).alias("authority_pct"))
+    return _results(spark, root).select("result_id", evidence.authority(F.col("url"), F.col("source")).alias("authority_pct"))
 
 
 @query(f"SELECT result_id, {sql.density('title', 'snippet')} AS density_pct FROM search_results")
@@ -207,16 +209,40 @@ def evidence_density(spark: SparkSession, root: str) -> DataFrame:
     return _results(spark, root).select("result_id", text.density_flags(F.col("title"), F.col("snippet"))["density_pct"].alias("density_pct"))
 
 
-@query()
+@query(f"SELECT result_id, {sql.freshness('title', 'snippet', 'url', AS_OF_YEAR)} AS freshness_pct FROM search_results")
 def freshness_as_of(spark: SparkSession, root: str) -> DataFrame:
-    return _results(spark, root).select("result_id", evidence.freshness(F.col("title"), F.col("snippet"), AS_OF_YEAR).alias("freshness_pct"))
+    return _results(spark, root).select("result_id", evidence.freshness(F.col("title"), F.col("snippet"), AS_OF_YEAR, F.col("url")).alias("freshness_pct"))
 
 
-@query()
+_SCORED = f"""
+    c AS (SELECT result_id, query_id, {sql.authority('url', 'source')} AS authority_pct, {sql.freshness('title', 'snippet', 'url', AS_OF_YEAR)} AS freshness_pct, {sql.density('title', 'snippet')} AS density_pct,
+          {sql.is_search_page('url')} AS is_serp, CAST(round(coalesce(score, 0.5) * 1000) AS BIGINT) AS score_e3 FROM search_results),
+    scored AS (SELECT *, CAST(40 * authority_pct + 35 * density_pct + 15 * freshness_pct + score_e3 AS BIGINT) AS credibility_e4 FROM c)"""
+
+
+@query(f"WITH {_SCORED} SELECT result_id, authority_pct, freshness_pct, density_pct, credibility_e4 FROM scored")
 def credibility_fast(spark: SparkSession, root: str) -> DataFrame:
     return evidence.credibility(_results(spark, root), AS_OF_YEAR).select("result_id", "authority_pct", "freshness_pct", "density_pct", "credibility_e4")
 
 
+_LEVELS = rf"""WITH q AS (SELECT query_id, list_filter(list_distinct(string_split_regex(lower(coalesce(text, '')), '\s+')), lambda w: length(w) > 1) AS words FROM queries),
+    r AS (SELECT query_id, {sql.host('url')} AS host, {sql.is_search_page('url')} AS serp, len(list_filter(words, lambda w: contains(lower(coalesce(title, '') || ' ' || coalesce(snippet, '')), w))) > 0 AS match
+          FROM search_results JOIN q USING (query_id)),
+    n AS (SELECT query_id, count(*) AS n_results, sum(CASE WHEN match THEN 1 ELSE 0 END) AS n_matches, count(DISTINCT CASE WHEN NOT serp THEN host END) AS n_content FROM r GROUP BY query_id),
+    l AS (SELECT query_id, CASE WHEN n_results < 2 THEN 0 WHEN n_matches * 10 >= 8 * n_results AND n_content >= 3 THEN 500 WHEN n_matches * 10 >= 6 * n_results AND n_content >= 2 THEN 200 ELSE 0 END AS lift FROM n),"""
+_FINAL = f"{_LEVELS} {_SCORED}, final AS (SELECT result_id, query_id, is_serp, CAST(least(credibility_e4 + CASE WHEN is_serp THEN 0 ELSE lift END, 10000) AS BIGINT) AS final_e4 FROM scored JOIN l USING (query_id))"
+
+
+@query(f"{_FINAL} SELECT result_id, final_e4 FROM final")
+def credibility_final(spark: SparkSession, root: str) -> DataFrame:
+    return evidence.boosted_credibility(_results(spark, root), table(spark, root, "queries"), AS_OF_YEAR).select("result_id", "final_e4")
+
+
+@query(f"{_FINAL} SELECT query_id, count(*) AS total, count(*) FILTER (final_e4 >= 7000) AS high, count(*) FILTER (final_e4 >= 5000 AND final_e4 < 7000) AS medium, count(*) FILTER (final_e4 < 5000) AS low, count(*) FILTER (is_serp) AS serp FROM final GROUP BY query_id")
+def credibility_summary(spark: SparkSession, root: str) -> DataFrame:
+    return evidence.credibility_summary(evidence.boosted_credibility(_results(spark, root), table(spark, root, "queries"), AS_OF_YEAR))
+
+
 @query(
     rf"""WITH q AS (SELECT query_id, list_filter(list_distinct(string_split_regex(lower(coalesce(text, '')), '\s+')), lambda w: length(w) > 1) AS words FROM queries),
     r AS (SELECT query_id, {sql.host('url')} AS host, {sql.is_search_page('url')} AS serp, len(list_filter(words, lambda w: contains(lower(coalesce(title, '') || ' ' || coalesce(snippet, '')), w))) > 0 AS match
@@ -308,13 +334,24 @@ def engine_status(spark: SparkSession, root: str) -> DataFrame:
     return governance.engine_status(table(spark, root, "engines"), table(spark, root, "engine_perf"))
 
 
+def _combos(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    best = _results(spark, root).filter("engine is not null").groupBy("query_id", "engine").agg(F.min("rank").alias("rank"))
+    return best.select("query_id", "engine", (F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "engine")) == 1).alias("is_primary"))
+
+
 @query(
-    """WITH c AS (SELECT DISTINCT unnest(coverage) AS topic FROM engines WHERE family = 'web' AND enabled), o AS (SELECT engine, family, priority, unnest(coverage) AS topic FROM engines WHERE family <> 'web' AND enabled),
-    m AS (SELECT engine, family, priority, count(DISTINCT topic) AS n_topics FROM o JOIN c USING (topic) GROUP BY ALL), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY family ORDER BY priority DESC, engine) = 1)
-    SELECT engine, family, priority, n_topics FROM b ORDER BY priority DESC, engine LIMIT 3"""
+    """WITH best AS (SELECT query_id, engine, min(rank) AS rank FROM search_results WHERE engine IS NOT NULL GROUP BY 1, 2),
+    combos AS (SELECT query_id, engine, row_number() OVER (PARTITION BY query_id ORDER BY rank, engine) = 1 AS is_primary FROM best),
+    k AS (SELECT query_id, bool_and(coalesce(family = 'web', false)) AS g FROM combos LEFT JOIN engines USING (engine) GROUP BY query_id),
+    t AS (SELECT DISTINCT query_id, unnest(coverage) AS topic FROM combos JOIN engines USING (engine) JOIN k USING (query_id) WHERE is_primary AND g),
+    o AS (SELECT engine, coalesce(priority, 0) AS priority, unnest(coverage) AS topic FROM engines WHERE enabled AND family <> 'web' AND family NOT IN ('misc_vertical', 'hot_trending', 'media_book', 'archive')),
+    m AS (SELECT DISTINCT query_id, engine, priority FROM t JOIN o USING (topic))
+    SELECT query_id, engine, priority FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, engine) <= 2"""
 )
 def complement_refill(spark: SparkSession, root: str) -> DataFrame:
-    return governance.complement_refill(table(spark, root, "engines"), "web")
+    return governance.complement_refill(_combos(spark, root), table(spark, root, "engines"))
 
 
 @query(
@@ -327,9 +364,10 @@ def outcome_windows(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH w AS (SELECT query_id, {sql.host('url')} AS domain, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(snippet, '')), '[a-z]+') AS w FROM search_results),
+    rf"""WITH b AS (SELECT query_id, CASE WHEN {sql.host('url')} = '' THEN 'unknown' ELSE {sql.host('url')} END AS domain, coalesce(title, '') || ' ' || coalesce(snippet, '') AS b FROM search_results),
+    w AS (SELECT query_id, domain, regexp_extract_all(lower(b), '[a-z]+') || flatten(list_transform(list_filter(regexp_extract_all(b, '[\x{{4e00}}-\x{{9fff}}]+'), lambda x: length(x) >= 3), lambda x: list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)))) AS w FROM b),
     r AS (SELECT DISTINCT query_id, domain, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS ngram FROM w WHERE len(w) >= 3),
-    s AS (SELECT query_id, ngram, count(*) AS n_domains FROM r GROUP BY 1, 2 HAVING count(*) >= 2)
+    s AS (SELECT query_id, ngram, count(*) AS n_domains FROM r WHERE length(ngram) >= 4 GROUP BY 1, 2 HAVING count(*) >= 2)
     SELECT query_id, ngram, n_domains, row_number() OVER (PARTITION BY query_id ORDER BY n_domains DESC, ngram) AS position FROM s QUALIFY position <= 10"""
 )
 def cross_references(spark: SparkSession, root: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sievewright.functions.text import DENSITY, EXCLUDED, FACTS, INTENTS, JAPANESE_HAN, QA_FORMAT, SCRIPTS, TOKEN
 from sievewright.functions.urls import SEARCH_HOSTS, SEARCH_PARTS, TRACKING
-from sievewright.operators.evidence import AUTHORITY
+from sievewright.operators.evidence import AUTHORITY, DEMOTED, FULL_DATE, NARRATIVE, PRESENT, PUBLISHED, SINCE, SOURCE_CEILING, SOURCE_FLOOR
 
 
 def quoted(x: str) -> str:
@@ -54,7 +54,8 @@ def canonical_fusion(url: str) -> str:
 
 
 def canonical_dossier(url: str) -> str:
-    return assembled(f"lower({scheme(url)})", f"lower({netloc(url)})", f"regexp_replace({path(url)}, '/$', '')", kept(url, "dossier"))
+    way = f"(CASE WHEN {path(url)} = '/' THEN '/' ELSE regexp_replace({path(url)}, '/$', '') END)"
+    return assembled(f"lower({scheme(url)})", rf"regexp_replace(lower({netloc(url)}), '^www\.', '')", way, kept(url, "dossier"))
 
 
 def canonical_envelope(url: str) -> str:
@@ -73,12 +74,31 @@ def is_search_page(url: str) -> str:
     return f"({low} = '' OR {parts} OR ({host(url)} IN ({', '.join(map(quoted, SEARCH_HOSTS))}) AND {shell}))"
 
 
-def authority(url: str) -> str:
-    h = host(url)
-    known = " ".join(f"WHEN {h} = {quoted(k)} OR ends_with({h}, {quoted('.' + k)}) THEN {v}" for k, v in sorted(AUTHORITY.items(), key=lambda x: -len(x[0])))
-    way = f"lower({path(url)})"
-    more = f"(CASE WHEN contains({way}, '/docs/') OR contains({way}, '/documentation/') THEN 5 ELSE 0 END + CASE WHEN contains({way}, '/paper/') OR contains({way}, '/arxiv/') OR contains({way}, '/abs/') THEN 5 ELSE 0 END)"
-    return f"CASE WHEN coalesce({url}, '') = '' THEN 30 WHEN {is_search_page(url)} THEN 12 ELSE least((CASE {known} ELSE 50 END) + {more}, 100) END"
+def _suffix(h: str, table: dict[str, int], missing: str) -> str:
+    known = " ".join(f"WHEN {h} = {quoted(k)} OR ends_with({h}, {quoted('.' + k)}) THEN {v}" for k, v in sorted(table.items(), key=lambda x: -len(x[0])))
+    return f"(CASE {known} ELSE {missing} END)"
+
+
+def authority(url: str, source: str | None = None) -> str:
+    h, way = host(url), f"lower({path(url)})"
+    base = f"least({_suffix(h, DEMOTED, _suffix(h, AUTHORITY, '50'))}, {_suffix(h, NARRATIVE, '100')})"
+    base = f"least({base} + CASE WHEN contains({way}, '/docs/') OR contains({way}, '/documentation/') THEN 5 ELSE 0 END, 100)"
+    base = f"least({base} + CASE WHEN contains({way}, '/paper/') OR contains({way}, '/arxiv/') OR contains({way}, '/abs/') THEN 5 ELSE 0 END, 100)"
+    if source is not None:
+        lookup = lambda table, missing: f"(CASE {source} " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in table.items()) + f" ELSE {missing} END)"
+        base = f"least(greatest({base}, {lookup(SOURCE_FLOOR, 0)}), {lookup(SOURCE_CEILING, 100)})"
+    return f"CASE WHEN coalesce({url}, '') = '' THEN 30 WHEN {is_search_page(url)} THEN 12 ELSE {base} END"
+
+
+def freshness(title: str, snippet: str, url: str, year: int) -> str:
+    body = f"(coalesce({title}, '') || ' ' || coalesce({snippet}, ''))"
+    full = f"list_max(regexp_extract_all({body}, {quoted(FULL_DATE)}, 1))"
+    loose = f"list_filter(regexp_extract_all(regexp_replace({body}, {quoted(SINCE)}, ' ', 'g'), '[0-9]+'), lambda y: length(y) = 4 AND starts_with(y, '20'))"
+    hints = " || ".join(f"regexp_extract_all({body}, {quoted(p)}, 1)" for p in PUBLISHED)
+    in_path = f"regexp_extract(coalesce({url}, ''), '/(20[0-9]{{2}})(?:/|-)', 1)"
+    named = f"list_max(list_filter({loose} || {hints}, lambda y: CAST(y AS INT) <= {year + 1}) || CASE WHEN {in_path} <> '' THEN [{in_path}] ELSE [] END)"
+    by_age = lambda y, now: f"(CASE WHEN CAST({y} AS INT) > {year} THEN 40 WHEN CAST({y} AS INT) = {year} THEN {now} WHEN CAST({y} AS INT) = {year - 1} THEN 80 WHEN CAST({y} AS INT) >= {year - 2} THEN 65 WHEN CAST({y} AS INT) >= {year - 5} THEN 45 ELSE 25 END)"
+    return f"least(100, CASE WHEN {full} IS NOT NULL THEN {by_age(full, 90)} WHEN {named} IS NOT NULL THEN {by_age(named, 85)} ELSE 50 END + CASE WHEN regexp_matches({body}, {quoted(PRESENT)}) THEN 10 ELSE 0 END)"
 
 
 def tokens(text: str) -> str:
@@ -119,5 +139,20 @@ def density(title: str, text: str) -> str:
     return f"greatest(0, least(100, 15 + {parts} + CASE WHEN length({body}) >= 80 THEN 5 ELSE 0 END - CASE WHEN {qa} THEN 8 ELSE 0 END))"
 
 
+def _fact_value(kind: str, raw: str) -> str:
+    flat = rf"regexp_replace({raw}, '\s+', '', 'g')"
+    if kind == "percent":
+        return f"{flat} || '%'"
+    if kind == "date":
+        return f"regexp_replace(replace(regexp_replace({flat}, '[年月]', '-', 'g'), '日', ''), '-+$', '')"
+    return flat
+
+
 def facts(text: str) -> str:
-    return " || ".join(rf"list_transform(regexp_extract_all({text}, {quoted(p)}, 1), lambda v: {{'t': '{k}', 'v': regexp_replace(v, '\s+', '', 'g')}})" for k, p in FACTS)
+    parts = []
+    for kind, pattern in FACTS:
+        groups = pattern.count("(") - pattern.count("(?")
+        zipped = "list_zip(" + ", ".join(f"regexp_extract_all({text}, {quoted(pattern)}, {g})" for g in range(1, groups + 1)) + ")"
+        first = "coalesce(" + ", ".join(f"nullif(v[{g}], '')" for g in range(1, groups + 1)) + ")"
+        parts.append(f"list_transform({zipped}, lambda v: {{'t': '{kind}', 'v': {_fact_value(kind, first)}}})")
+    return " || ".join(parts)

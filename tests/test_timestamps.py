@@ -3,8 +3,9 @@
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
-from sievewright.operators.timestamps import normalize_timestamps
+from sievewright.operators.timestamps import normalize_timestamps, sorted_by_time, within_window
 
 FETCHED = datetime(2026, 2, 10, 12, 0, 0, tzinfo=timezone.utc)
 ENGINES = [("berlin", "Europe/Berlin", "dmy"), ("york", "America/New_York", "mdy"), ("tokyo", "Asia/Tokyo", "ymd"), ("open", "UTC", None)]
@@ -103,3 +104,17 @@ def test_dots_and_shared_letters(spark):
     assert [got[i]["published_us"] for i in (1, 2, 3)] == [us(2025, 6, 1, 4, 30), us(2025, 6, 1, 2), us(2025, 6, 1, 16)]
     assert not any(got[i]["ambiguous"] for i in (1, 2, 3)) and got[4]["ambiguous"] and got[4]["published_us"] == us(2025, 6, 1, 16)
     assert got[305]["notation"] == "dots_mdy" and got[305]["published_us"] == us(2025, 3, 4)
+
+
+def test_windows(spark):
+    """Known times outside are dropped, unknown ones kept unless strict."""
+    engines = spark.createDataFrame([("open", "UTC", None)], "engine string, default_tz string, date_order string")
+    rows = [("open", v) for v in ("2026-08-08", "2026-07-01", None, "2026-08-01", "1700000000")]
+    read = normalize_timestamps(frame(spark, rows), engines)
+    ids = lambda f: sorted(r["result_id"] for r in f.collect())
+    assert ids(within_window(read, "2026-08-01")) == [0, 2, 3] and ids(within_window(read, "2026-08-01", strict=True)) == [0, 3]
+    assert ids(within_window(read, "2026-08-01", "2026-08-01")) == [2, 3]
+    late = normalize_timestamps(frame(spark, [("open", v) for v in ("2026-08-05T23:59:59", "2026-08-06T00:00:00", "2026-08-06T12:00:00")]), engines)
+    assert ids(within_window(late, until="2026-08-05")) == [0] and ids(within_window(late, until="2026-08-06 00:00:00")) == [0, 1]
+    order = {r["result_id"]: r["position"] for r in sorted_by_time(read.withColumn("rank", F.lit(1)), by=("engine",)).collect()}
+    assert order == {0: 1, 3: 2, 1: 3, 4: 4, 2: 5}
