@@ -95,9 +95,7 @@ def detect_language(text: Column) -> Column:
     total = F.length(F.regexp_replace(q, r"\s", ""))
     n = {s: _count(q, s) for s in SCRIPTS}
     share = lambda x, percent: x * 100 >= total * percent
-    japanese = F.lit(False)
-    for word in JAPANESE_HAN:
-        japanese = japanese | q.contains(word)
+    japanese = q.rlike("|".join(JAPANESE_HAN))
     out = F.when(total == 0, "other").when(share(n["kana"], 15), "ja").when(share(n["hangul"], 15), "ko").when((n["kana"] > 0) & share(n["han"], 30), "ja")
     for s in ("thai", "arabic", "hebrew", "greek", "devanagari", "cyrillic"):
         out = out.when(share(n[s], 20), s)

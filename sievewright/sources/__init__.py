@@ -1 +1 @@
-"""Readers, writers and payload decoders."""
+"""Payloads decoded into result rows, pages into text, and result sinks."""
