@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,18 @@ def _masked(text: str) -> str:
     return _QUOTED.sub(lambda m: m.group()[0] + "\x01" * (len(m.group()) - 2) + m.group()[-1], text)
 
 
+@lru_cache(maxsize=100_000)
+def _cleaned(part: str, full: str) -> str:
+    """A sentence without what is in no language; "" if hardly any is left.
+    What is blanked in ``part`` is taken back from ``full`` in that case."""
+    clean = _NOISE.sub(" ", part.replace("\x01", ""))
+    letters = sum(map(len, _LETTERS.findall(clean)))
+    if letters < 6 and part != full:
+        clean = _NOISE.sub(" ", full)
+        letters = sum(map(len, _LETTERS.findall(clean)))
+    return clean.strip() if letters >= 4 and (letters >= 8 or not clean.isascii()) and letters * 3 > len(clean.strip()) else ""
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text, without lines and parts in no language; words
     in quotes are blanked, unless the sentence is hardly more than them."""
@@ -63,13 +76,9 @@ def sentences(text: str) -> list[str]:
             full = raw[begin:end]
             part = full if line is raw else line[begin:end]
             begin = end
-            clean = _NOISE.sub(" ", part.replace("\x01", ""))
-            letters = sum(map(len, _LETTERS.findall(clean)))
-            if letters < 6 and part is not full:
-                clean = _NOISE.sub(" ", full)
-                letters = sum(map(len, _LETTERS.findall(clean)))
-            if letters >= 4 and (letters >= 8 or not clean.isascii()) and letters * 3 > len(clean.strip()):
-                out.append(clean.strip())
+            clean = _cleaned(part, full)
+            if clean:
+                out.append(clean)
     return out
 
 
@@ -217,18 +226,20 @@ def segments(documents: DataFrame, model: LanguageModel, key: str = "doc_id", te
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lm = shared.value
+        known: dict[str, np.ndarray] = {}
         for frame in frames:
             for begin in range(0, len(frame), 500):
                 some = frame.iloc[begin : begin + 500]
                 parts = [sentences(t) if isinstance(t, str) else [] for t in some[text]]
-                unique = list(dict.fromkeys(s for p in parts for s in p))
-                logs = lm.scores(unique)
-                place = {s: i for i, s in enumerate(unique)}
+                if len(known) > 100_000:
+                    known.clear()
+                unique = [s for s in dict.fromkeys(s for p in parts for s in p) if s not in known]
+                known.update(zip(unique, lm.scores(unique)))
                 out = []
                 for doc, given, p in zip(some[key], some[label], parts):
                     if not p:
                         continue
-                    own = logs[[place[s] for s in p]]
+                    own = np.array([known[s] for s in p])
                     path = _path(own, change_cost)
                     cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
                     found = [(lm.codes[path[a]], float(np.exp(own[a:b, path[a]]).mean()), b - a) for a, b in zip(cuts, cuts[1:])]
