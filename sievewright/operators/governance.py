@@ -82,3 +82,50 @@ def complement_refill(combos: DataFrame, engines: DataFrame, general: str = "web
     order = Window.partitionBy("key").orderBy(F.desc("priority"), "engine")
     best = met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
     return topics.select("query_id", "key").join(best, "key").select("query_id", "engine", "priority")
+
+
+def policy_filter(combos: DataFrame, engines: DataFrame, budget: int | None = 3, blocked: str = "paid") -> DataFrame:
+    """The engines of a query that a policy lets through: ``query_id, engine,
+    position``: without those of the ``blocked`` cost tier, unless that leaves
+    none, and at most ``budget`` by best rank.
+
+    ``combos`` has ``query_id, engine, best_rank``.
+    """
+    known = combos.join(engines.select("engine", F.coalesce("cost_tier", F.lit("free")).alias("tier")), "engine", "left")
+    open_ = F.coalesce(F.col("tier") != blocked, F.lit(True))
+    line = Window.partitionBy("query_id").orderBy(F.when(open_, 0).otherwise(1), "best_rank", "engine")
+    some = F.max(open_).over(Window.partitionBy("query_id"))
+    kept = known.withColumn("some", some).withColumn("position", F.row_number().over(line)).filter(open_ | ~F.col("some"))
+    return (kept if budget is None else kept.filter(F.col("position") <= budget)).select("query_id", "engine", "position")
+
+
+def families(engines: DataFrame) -> DataFrame:
+    """The engines of each family, and how many of them are enabled."""
+    return engines.groupBy("family").agg(F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"), F.count_if("enabled").alias("n_enabled"))
+
+
+def peak_rate(calls: DataFrame, width: int = 60, slice_s: int = 3600) -> DataFrame:
+    """The most calls that each engine had within ``width`` seconds up to and
+    with one of them: ``engine, peak``.
+
+    Time is cut into slices, and each call stands in the next one too where it
+    can be in reach, so that a hot engine is as many groups as slices.
+    """
+    at = F.floor(F.col("created_at") * 1000).cast("long")
+    own = F.floor(at / (slice_s * 1000))
+    reach = F.floor((at + width * 1000) / (slice_s * 1000))
+    told = calls.filter("created_at is not null").select("engine", at.alias("at"), own.alias("own"), F.explode(F.sequence(own, reach)).alias("slice"))
+    line = Window.partitionBy("engine", "slice").orderBy("at").rangeBetween(-(width * 1000 - 1), 0)
+    return told.withColumn("n", F.count("*").over(line)).filter("own = slice").groupBy("engine").agg(F.max("n").alias("peak"))
+
+
+def latency_trend(calls: DataFrame) -> DataFrame:
+    """The last two days of each engine with usable latencies: ``engine, day,
+    mean_us, previous_us, trend`` (up, down, flat or new)."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at") / 86400).cast("int"))
+    us = F.round(F.col("latency_ms") * 1000).cast("long")
+    by = calls.filter("latency_ms >= 0").groupBy("engine", day.alias("day")).agg(F.floor(F.sum(us) / F.count("*")).cast("long").alias("mean_us"))
+    line = Window.partitionBy("engine").orderBy("day")
+    told = by.withColumn("previous_us", F.lag("mean_us").over(line)).withColumn("r", F.row_number().over(Window.partitionBy("engine").orderBy(F.desc("day")))).filter("r = 1")
+    trend = F.when(F.col("previous_us").isNull(), "new").when(F.col("mean_us") > F.col("previous_us"), "up").when(F.col("mean_us") < F.col("previous_us"), "down").otherwise("flat")
+    return told.select("engine", "day", "mean_us", "previous_us", trend.alias("trend"))
