@@ -349,8 +349,8 @@ def page_table(key: int) -> dict[str, str]:
 def learn_table(key: int, contexts: pd.DataFrame, lm: PairModel, rounds: int = 3, trust: float = 12.0) -> dict[str, str]:
     """The letter table of a swap at one source, learned from its texts.
 
-    ``contexts`` has what was observed: a character, its left and right
-    neighbour as observed, and how often. In each round the neighbours are
+    ``contexts`` has what was observed: a character with its left and right
+    neighbour as observed, each once. In each round the neighbours are
     deciphered by the table so far, and every letter that the documents have
     beyond ASCII is scored by the pairs it would form; the code page's letter
     is ahead by ``trust`` nats, so it gives way only to repeated evidence.
@@ -363,13 +363,15 @@ def learn_table(key: int, contexts: pd.DataFrame, lm: PairModel, rounds: int = 3
     for _ in range(rounds):
         before = dict(table)
         for c, g in of.items():
-            options = np.unique(np.r_[letters, np.uint32(ord(before.get(c, c).lower()))])
+            known = before.get(c, c)
+            # A cipher has a letter once: those that other characters stand for are taken.
+            taken = {ord(before.get(x, x).lower()) for x in of if x != c and x.isupper() == c.isupper()}
+            options = np.array(sorted(set(letters.tolist()) - taken | {ord(known.lower())}), dtype=np.uint32)
             left = np.array([ord(before.get(x, x)) for x in g["l"]], dtype=np.uint32)
             right = np.array([ord(before.get(x, x)) for x in g["r"]], dtype=np.uint32)
-            n = g["n"].to_numpy(dtype=float)
             grid = np.broadcast_to(options[:, None], (len(options), len(left)))
-            score = (lm.steps(np.broadcast_to(left, grid.shape), grid) + lm.steps(grid, np.broadcast_to(right, grid.shape))) @ n
-            known = before.get(c, c)
+            # Each context votes once, however often one text repeats it.
+            score = (lm.steps(np.broadcast_to(left, grid.shape), grid) + lm.steps(grid, np.broadcast_to(right, grid.shape))).sum(axis=1)
             score[options == ord(known.lower())] += trust
             best = chr(int(options[score.argmax()]))
             # The model folds case; the code page's letter keeps its own.
@@ -472,7 +474,7 @@ def garbled_fields(
 def _learned_tables(won: DataFrame, shared) -> DataFrame:
     """Letter tables of the swaps between pages of one byte a letter, as two
     strings: ``source, key, letters, stand_for``. The texts of a source reach
-    the fit as counts of a character with its neighbours."""
+    the fit as distinct characters with their neighbours."""
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -487,6 +489,5 @@ def _learned_tables(won: DataFrame, shared) -> DataFrame:
         table = learn_table(key, group, shared.value)
         return pd.DataFrame({"source": [group["source"].iloc[0]], "key": [key], "letters": ["".join(table)], "stand_for": ["".join(table.values())]})
 
-    counts = won.select("source", "key", "raw").mapInPandas(spread, "source string, key int, c string, l string, r string")
-    counts = counts.groupBy("source", "key", "c", "l", "r").agg(F.count("*").alias("n"))
-    return counts.groupBy("source", "key").applyInPandas(fit, "source string, key int, letters string, stand_for string")
+    seen = won.select("source", "key", "raw").mapInPandas(spread, "source string, key int, c string, l string, r string").distinct()
+    return seen.groupBy("source", "key").applyInPandas(fit, "source string, key int, letters string, stand_for string")
