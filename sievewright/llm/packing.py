@@ -193,7 +193,7 @@ def pack_documents(sized: DataFrame, capacities: DataFrame, key: str = "doc_id",
     caps = capacities.filter("capacity_tokens >= 1").groupBy("capacity_name").agg(F.max("capacity_tokens").cast("long").alias("room"))
     # One row for each capacity, size and bucket that occur.
     full = F.when(F.col("n") > F.col("room"), F.floor(F.col("n") / F.col("room"))).otherwise(0).cast("long")
-    counts = sized.groupBy("n", "bucket").agg(F.count("*").alias("c")).crossJoin(F.broadcast(caps)).withColumn("full", full).withColumn("item", F.col("n") - F.col("full") * F.col("room"))
+    counts = join_small(sized.groupBy("n", "bucket").agg(F.count("*").alias("c"), F.lit(1).alias("_all")), caps.withColumn("_all", F.lit(1)), ["_all"], "inner").drop("_all").withColumn("full", full).withColumn("item", F.col("n") - F.col("full") * F.col("room"))
     counts = materialize(counts, "size-counts")
     fillings: dict[str, tuple[int, dict[int, int]]] = {}
     for r in counts.groupBy("capacity_name", "room", "item").agg(F.sum("c").alias("c")).toLocalIterator():
