@@ -151,7 +151,9 @@ def normalized_query(text: Column) -> Column:
 def density_flags(title: Column, text: Column) -> dict[str, Column]:
     """Evidence flags of a title and text, and the density in hundredths."""
     body = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
-    flags = {name: body.rlike(p) for name, (_, p) in DENSITY.items()}
+    # Lower case once and plain patterns: several times faster than folding in each.
+    low = F.lower(body)
+    flags = {name: low.rlike(p.removeprefix("(?i)").lower()) for name, (_, p) in DENSITY.items()}
     flags["is_qa"] = body.rlike(QA_FORMAT) | F.coalesce(title, F.lit("")).rlike(r"[?？]\s*$")
     score = F.lit(15)
     for name, (weight, _) in DENSITY.items():

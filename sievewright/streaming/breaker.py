@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.runtime import join_small
+
 # Failures that open, seconds it stays open, openings in a row
 # after which an engine is disabled.
 FAILURES, OPEN_SECONDS, DISABLE_AFTER = 2, 60, 3
@@ -35,7 +37,7 @@ def breaker_status(calls: DataFrame, as_of: DataFrame) -> DataFrame:
     """
     once = calls.filter("created_at is not null").select("engine", "success", "created_at")
     good = once.filter("success = 1").groupBy("engine").agg(F.max("created_at").alias("ok"))
-    bad = once.filter("success = 0").join(F.broadcast(good), "engine", "left").filter(F.col("ok").isNull() | (F.col("created_at") > F.col("ok")))
+    bad = join_small(once.filter("success = 0"), good, ["engine"]).filter(F.col("ok").isNull() | (F.col("created_at") > F.col("ok")))
     runs = bad.groupBy("engine").agg(F.count("*").alias("failures"), F.max("created_at").alias("last"))
     every = once.select("engine").distinct().join(runs, "engine", "left").crossJoin(F.broadcast(as_of))
     told = _told(F.coalesce("failures", F.lit(0)), F.coalesce("last", F.lit(0.0)), F.col("as_of"))
