@@ -14,6 +14,7 @@ every change of language, yields the segments.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +36,8 @@ _QUOTED = re.compile("“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^
 _STOP = re.compile(r"[.!?](?=[\s\"'”’»)\]]|$)|[。！？]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _JUNK_LINE = re.compile(r"^\s*(?:(?:https?|ftp)://\S+|www\.\S+|\[?\d{4}-\d\d-\d\d[T ].*|\[\d+\]\s.*|[\W\d\s]*)\s*$")
-_APART = re.compile(r"(?:[^\w\n]|_)+")
+# The same for sentences without "/" and "@".
+_NOISE_PLAIN = re.compile(r"www\.\S+|[#\[]\d+\]?|\d[\d.,:%|/x-]*")
 _NOISE = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|(?<!\S)[^\s@]+@\S+|(?<![\w./-])[\w./-]*/[\w./-]+|[#\[]\d+\]?|\d[\d.,:%|/x-]*")
 
 
@@ -55,10 +57,11 @@ def _masked(text: str) -> str:
 def _cleaned(part: str, full: str) -> str:
     """A sentence without what is in no language; "" if hardly any is left.
     What is blanked in ``part`` is taken back from ``full`` in that case."""
-    clean = _NOISE.sub(" ", part.replace("\x01", ""))
+    noise = _NOISE if "/" in full or "@" in full else _NOISE_PLAIN
+    clean = noise.sub(" ", part.replace("\x01", ""))
     letters = sum(map(len, _LETTERS.findall(clean)))
     if letters < 6 and part != full:
-        clean = _NOISE.sub(" ", full)
+        clean = noise.sub(" ", full)
         letters = sum(map(len, _LETTERS.findall(clean)))
     return clean.strip() if letters >= 4 and (letters >= 8 or not clean.isascii()) and letters * 3 > len(clean.strip()) else ""
 
@@ -82,11 +85,20 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _word_table() -> np.ndarray:
+    """Whether a code point of the basic plane is of a word, or a line end."""
+    return np.array([chr(c) == "\n" or chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M" for c in range(0x10000)])
+
+
 def spectrum(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of length one to three that each text holds, each once:
     the cells, by text, and how many each text has."""
-    joined = _APART.sub(" ", "\n".join(t.replace("\n", " ") for t in texts).lower()).replace("\n", " \n ")
+    joined = " \n ".join(t.replace("\n", " ") for t in texts).lower()
     codes = np.frombuffer(f"  {joined}  ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    # Marks count as space, and space counts once.
+    codes = np.where(_word_table()[np.minimum(codes, 0xFFFF)], codes, 32).astype(np.uint32)
+    codes = codes[(codes != 32) | np.r_[True, codes[:-1] != 32]]
     last = codes == 10
     place = np.cumsum(last) * DIMENSIONS
     inside = ~last
