@@ -40,6 +40,18 @@ def quota_stats(calls: DataFrame, as_of: DataFrame) -> DataFrame:
     )
 
 
+def quota_status(calls: DataFrame, engines: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Use of each enabled engine against its rate at ``as_of``: ``engine,
+    calls_minute, error_e4`` (share of failed calls of the hour), ``available``:
+    fewer calls in the last minute than a minute of its ``qps``, where it has
+    one. Engines without calls are available."""
+    told = engines.filter("enabled").select("engine", "qps").join(quota_stats(calls, as_of), "engine", "left")
+    minute, hour = F.coalesce("calls_minute", F.lit(0)), F.coalesce("calls_hour", F.lit(0))
+    error = F.coalesce(F.try_divide(F.coalesce("errors_hour", F.lit(0)) * 10_000, hour), F.lit(0.0))
+    free = F.col("qps").isNull() | (minute < F.col("qps") * 60)
+    return told.select("engine", minute.alias("calls_minute"), F.floor(error).cast("long").alias("error_e4"), free.alias("available"))
+
+
 def network_profile(calls: DataFrame, engines: DataFrame) -> DataFrame:
     """Mean latency class of each family: fast, normal or slow, with the
     scale of timeouts in tenths."""

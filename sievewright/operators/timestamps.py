@@ -267,6 +267,19 @@ def _layout(value: Column, kind: Column, order: Column | None = None) -> Column:
     return layout
 
 
+def window_bound(value: Column, now: Column) -> Column:
+    """Instant of a bound of a time window, in microseconds: an epoch count in
+    seconds; ``7d``, ``24h`` or ``2w`` before ``now``, as the first moment of
+    that day; an ISO date or time, in UTC where it has no zone. Null for
+    others."""
+    v = F.trim(value)
+    amount, unit = F.regexp_extract(v, r"(?i)^(\d+)\s*([dhw])$", 1).try_cast("long"), F.lower(F.regexp_extract(v, r"(?i)^(\d+)\s*([dhw])$", 2))
+    seconds = amount * F.when(unit == "h", 3600).when(unit == "w", 604_800).otherwise(86_400)
+    ago = F.floor((F.unix_micros(now) - seconds * 1_000_000) / 86_400_000_000) * 86_400_000_000
+    iso = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_micros(F.regexp_replace(v, r"^(\d{4}-\d{2}-\d{2}) (\d)", "$1T$2").try_cast("timestamp")))
+    return F.when(v.rlike(r"^\d+$"), v.try_cast("long") * 1_000_000).when(amount.isNotNull(), ago.cast("long")).otherwise(iso)
+
+
 def within_window(read: DataFrame, since: str | None = None, until: str | None = None, strict: bool = False, at: str = "published_us") -> DataFrame:
     """Rows whose instant lies in a window of UTC; a bound that is a day
     stands for its first moment, as an end for its last. Rows of unknown

@@ -10,6 +10,8 @@ from sievewright.operators import envelope, evidence, governance, recovery
 from sievewright.plans import fragments as sql
 from sievewright.plans.retrieval import _NORMAL, _PLATFORM
 from sievewright.runtime import table
+from sievewright.sources import payloads
+from sievewright.streaming import outcomes
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -147,6 +149,45 @@ def latency_trend(spark: SparkSession, root: str) -> DataFrame:
     return governance.latency_trend(table(spark, root, "engine_perf"))
 
 
+@query(
+    """WITH a AS (SELECT max(created_at) AS as_of FROM engine_perf), s AS (SELECT engine, count(*) AS h, count(*) FILTER (created_at > as_of - 60) AS m, count(*) FILTER (success = 0) AS e FROM engine_perf, a WHERE created_at > as_of - 3600 GROUP BY engine)
+    SELECT engine, coalesce(m, 0) AS calls_minute, CAST(CASE WHEN coalesce(h, 0) = 0 THEN 0 ELSE e * 10000 // h END AS BIGINT) AS error_e4, qps IS NULL OR coalesce(m, 0) < qps * 60 AS available FROM engines LEFT JOIN s USING (engine) WHERE enabled"""
+)
+def quota_status(spark: SparkSession, root: str) -> DataFrame:
+    calls = table(spark, root, "engine_perf")
+    return governance.quota_status(calls, table(spark, root, "engines"), governance.latest(calls))
+
+
+@query(
+    """WITH w AS (SELECT engine, success, CAST(epoch_us(time_bucket(INTERVAL 15 MINUTE, logged_at)) // 1000000 AS BIGINT) - 900 * k AS hour_s FROM engine_perf, (SELECT unnest(range(0, 4)) AS k))
+    SELECT engine, hour_s, count(*) AS n_calls, count(*) FILTER (success = 0) AS n_failed FROM w GROUP BY 1, 2"""
+)
+def sliding_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    return outcomes.outcome_windows(table(spark, root, "engine_perf"), slide="15 minutes")
+
+
+@query(
+    """WITH f AS (SELECT engine, epoch_us(logged_at) AS t FROM engine_perf WHERE success = 0 AND logged_at IS NOT NULL), l AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY engine ORDER BY t) >= 1800000000, true) AS first FROM f),
+    g AS (SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY engine ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM l)
+    SELECT engine, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n_failed FROM g GROUP BY engine, s"""
+)
+def failure_sessions(spark: SparkSession, root: str) -> DataFrame:
+    return outcomes.failure_sessions(table(spark, root, "engine_perf"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, coalesce(title, '') AS title, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[\r\n]+', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: length(x) > 20) AS b FROM documents)
+    SELECT doc_id, nullif(trim(title, ' '), '') AS title, array_to_string(b, chr(10) || chr(10)) AS body FROM l"""
+)
+def page_extraction(spark: SparkSession, root: str) -> DataFrame:
+    """Documents written as pages, and their titles and blocks read again."""
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", "\n"), "\n")
+    body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), payloads.escaped(x), F.lit("</p>"))), "<script>var p = '<p>not the text of this page</p>';</script>")
+    html = F.concat(F.lit("<html><head><title>"), payloads.escaped(F.coalesce("title", F.lit(""))), F.lit("</title></head><body><nav><p>Home, news, about and contact</p></nav>"), body, F.lit("</body></html>"))
+    pages = table(spark, root, "documents").select("doc_id", html.alias("html"))
+    return pages.select("doc_id", payloads.page_metadata(F.col("html"))["title"].alias("title"), payloads.page_text(F.col("html")).alias("body"))
+
+
 @query("SELECT lang, scenario, count(*) AS n_queries, count(expected_domain) AS n_labelled, count(*) FILTER (soft) AS n_soft FROM queries GROUP BY ROLLUP (lang, scenario)")
 def query_rollup(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "queries").rollup("lang", "scenario").agg(F.count("*").alias("n_queries"), F.count("expected_domain").alias("n_labelled"), F.count_if("soft").alias("n_soft"))

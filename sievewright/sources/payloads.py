@@ -136,3 +136,14 @@ def page_tables(html: Column) -> Column:
     cell = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(unescaped(F.regexp_replace(c, r"(?s)<[^>]*>", "")), r"\s+", " ")))
     tables = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<table\b[^>]*>((?:(?!<table\b).)*?)</table>"), F.lit(1))
     return F.transform(tables, lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cell), lambda r: F.size(r) > 0))
+
+
+def decode_sitemap(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """The locations of sitemaps and sitemap indexes: the columns of the table,
+    ``position, url, is_index, lastmod`` (null where absent)."""
+    xml = F.coalesce(F.col(payload), F.lit(""))
+    entries = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:url|sitemap)>.*?</(?:url|sitemap)>"), F.lit(0))
+    rows = payloads.select("*", F.posexplode(entries).alias("_at", "_e"))
+    found = lambda tag: F.trim(unescaped(F.regexp_extract("_e", rf"(?s)<{tag}>(.*?)</{tag}>", 1)))
+    out = rows.select(*payloads.columns, (F.col("_at") + 1).alias("position"), found("loc").alias("url"), F.col("_e").startswith("<sitemap").alias("is_index"), F.when(found("lastmod") != "", found("lastmod")).alias("lastmod"))
+    return out.filter("url <> ''")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewright.operators import quality, research, security
 from sievewright.sources import payloads, sinks
+from sievewright.sources.crawl import crawl
 from sievewright.streaming import breaker
 
 
@@ -135,3 +136,13 @@ def test_archive(spark, tmp_path):
     assert sinks.load_run(spark, path, "r1").count() == 2 and sinks.load_run(spark, path, "gone").count() == 0
     assert [(r["run_id"], r["n_rows"]) for r in sinks.list_runs(spark, path).collect()] == [("r2", 1), ("r1", 2)]
     assert sinks.text_report(rows).first()["report"] == "1. t\n   u\n   s\n2. (no title)"
+
+
+def test_crawl_and_sitemap(spark):
+    links = [("https://a/1", "https://a/2#x"), ("https://a/2", "https://a/3"), ("https://a/3", "https://a/4"), ("https://a/1", "https://b/1"), ("https://a/2", "https://a/1"), (None, "https://a/9"), ("https://a/1", None)]
+    frame, seeds = spark.createDataFrame(links, "url string, target string"), spark.createDataFrame([("https://a/1",), (None,)], "url string")
+    assert {(r["url"], r["depth"]) for r in crawl(frame, seeds, 2).collect()} == {("https://a/1", 0), ("https://a/2", 1), ("https://a/3", 2)}
+    assert ("https://b/1", 1) in {(r["url"], r["depth"]) for r in crawl(frame, seeds, 1, same_host=False).collect()}
+    assert crawl(frame, seeds.limit(0)).count() == 0
+    maps = spark.createDataFrame([(1, "<urlset><url><loc> https://a/1?x=1&amp;y=2 </loc><lastmod>2026-01-01</lastmod></url></urlset>"), (2, "<sitemapindex><sitemap><loc>https://a/s.xml</loc></sitemap></sitemapindex>"), (3, None)], "id int, payload string")
+    assert [(r["id"], r["url"], r["is_index"], r["lastmod"]) for r in payloads.decode_sitemap(maps).orderBy("id").collect()] == [(1, "https://a/1?x=1&y=2", False, "2026-01-01"), (2, "https://a/s.xml", True, None)]

@@ -5,7 +5,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators.timestamps import normalize_timestamps, sorted_by_time, within_window
+from sievewright.operators.timestamps import normalize_timestamps, sorted_by_time, window_bound, within_window
 
 FETCHED = datetime(2026, 2, 10, 12, 0, 0, tzinfo=timezone.utc)
 ENGINES = [("berlin", "Europe/Berlin", "dmy"), ("york", "America/New_York", "mdy"), ("tokyo", "Asia/Tokyo", "ymd"), ("open", "UTC", None)]
@@ -118,3 +118,9 @@ def test_windows(spark):
     assert ids(within_window(late, until="2026-08-05")) == [0] and ids(within_window(late, until="2026-08-06 00:00:00")) == [0, 1]
     order = {r["result_id"]: r["position"] for r in sorted_by_time(read.withColumn("rank", F.lit(1)), by=("engine",)).collect()}
     assert order == {0: 1, 3: 2, 1: 3, 4: 4, 2: 5}
+
+
+def test_window_bounds(spark):
+    cases = {"7d": us(2026, 2, 3), "24h": us(2026, 2, 9), "2W": us(2026, 1, 27), "2026-01-05": us(2026, 1, 5), "2026-01-05 10:30": us(2026, 1, 5, 10, 30), "2026-01-05T10:30:00+02:00": us(2026, 1, 5, 8, 30), "1700000000": 1700000000_000_000, "soon": None, "": None, None: None}
+    rows = spark.createDataFrame([(v, FETCHED) for v in cases], "v string, now timestamp").select("v", window_bound(F.col("v"), F.col("now")).alias("b")).collect()
+    assert {r["v"]: r["b"] for r in rows} == cases
