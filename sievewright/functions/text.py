@@ -92,17 +92,23 @@ def _count(text: Column, script: str) -> Column:
 def detect_language(text: Column) -> Column:
     """Language label by the shares of scripts, tested in a fixed order."""
     q = F.coalesce(text, F.lit(""))
-    total = F.length(F.regexp_replace(q, r"\s", ""))
-    n = {s: _count(q, s) for s in SCRIPTS}
-    share = lambda x, percent: x * 100 >= total * percent
-    japanese = q.rlike("|".join(JAPANESE_HAN))
-    out = F.when(total == 0, "other").when(share(n["kana"], 15), "ja").when(share(n["hangul"], 15), "ko").when((n["kana"] > 0) & share(n["han"], 30), "ja")
-    for s in ("thai", "arabic", "hebrew", "greek", "devanagari", "cyrillic"):
-        out = out.when(share(n[s], 20), s)
-    out = out.when((n["han"] > 0) & japanese, "ja").when(share(n["han"], 30), "zh")
-    letters = n["latin"] + n["latin_ext"]
-    out = out.when(share(letters, 50) & share(n["latin_ext"], 8), "latin").when(share(letters, 50), F.when(n["latin"] > 0, "en").otherwise("latin"))
-    return out.when((n["han"] > 0) & (n["latin"] > 0), "mixed").otherwise("other")
+    scripts = list(SCRIPTS)
+
+    def label(counts: Column) -> Column:
+        total, n = F.get(counts, F.lit(0)), {s: F.get(counts, F.lit(i + 1)) for i, s in enumerate(scripts)}
+        share = lambda x, percent: x * 100 >= total * percent
+        japanese = (n["han"] > 0) & q.rlike("|".join(JAPANESE_HAN))
+        out = F.when(total == 0, "other").when(share(n["kana"], 15), "ja").when(share(n["hangul"], 15), "ko").when((n["kana"] > 0) & share(n["han"], 30), "ja")
+        for s in ("thai", "arabic", "hebrew", "greek", "devanagari", "cyrillic"):
+            out = out.when(share(n[s], 20), s)
+        out = out.when(japanese, "ja").when(share(n["han"], 30), "zh")
+        letters = n["latin"] + n["latin_ext"]
+        out = out.when(share(letters, 50) & share(n["latin_ext"], 8), "latin").when(share(letters, 50), F.when(n["latin"] > 0, "en").otherwise("latin"))
+        return out.when((n["han"] > 0) & (n["latin"] > 0), "mixed").otherwise("other")
+
+    # The counts stand in a list of one, so that each is made once a text.
+    counts = F.array(F.length(F.regexp_replace(q, r"\s", "")), *[_count(q, s) for s in scripts])
+    return F.get(F.transform(F.array(counts), label), F.lit(0))
 
 
 def intents(text: Column) -> Column:
@@ -173,9 +179,10 @@ def _fact_value(kind: str, raw: Column) -> Column:
 
 def _fact_list(text: Column, kind: str, pattern: str) -> Column:
     groups = range(1, re.compile(pattern.replace(r"\x{4e00}", "\u4e00").replace(r"\x{9fff}", "\u9fff")).groups + 1)
-    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])
-    first = lambda x: F.coalesce(*[F.when(x[f"g{g}"] != "", x[f"g{g}"]) for g in groups])
-    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("fact_type"), _fact_value(kind, first(x)).alias("fact_value")))
+    # Texts are searched once; the groups are told from the few matches.
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    first = lambda m: F.coalesce(*[F.when(x != "", x) for x in (F.regexp_extract(m, pattern, g) for g in groups)])
+    return F.filter(F.transform(found, lambda m: F.struct(F.lit(kind).alias("fact_type"), _fact_value(kind, first(m)).alias("fact_value"))), lambda f: f["fact_value"].isNotNull())
 
 
 def facts(text: Column) -> Column:

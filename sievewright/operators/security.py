@@ -38,10 +38,12 @@ def injections(body: Column, language: Column) -> Column:
     return out
 
 
-def intent_hits(body: Column) -> dict[str, Column]:
-    """Distinct words of each intent that a text holds."""
+def intent_hits(body: Column) -> Column:
+    """How many distinct words of each intent a text holds, as a struct."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    return {name: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in found]))) for name, found in threats.INTENT_WORDS.items()}
+    sizes = lambda w: F.struct(*[F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in found]))).alias(name) for name, found in threats.INTENT_WORDS.items()])
+    # The words stand in a list of one, so that a text is searched once.
+    return F.get(F.transform(F.array(words), sizes), F.lit(0))
 
 
 def _unpacked(df: DataFrame) -> DataFrame:
@@ -76,14 +78,13 @@ def scrub(rows: DataFrame, column: str, most: int = 3000) -> DataFrame:
     df = _unpacked(df)
     plain = F.col("_plain")
     df = df.withColumns({"_inj": injections(plain, F.col("_lang")), "_exf": matches(plain, threats.EXFILTRATION), "_imp": matches(plain, threats.IMPERSONATION), "_xss": matches(plain, threats.SCRIPT)})
-    hits = intent_hits(plain)
-    df = df.withColumns({f"_w_{k}": v for k, v in hits.items()})
-    strong = sum(((F.col(f"_w_{k}") >= 2).cast("int") for k in hits), F.lit(0))
+    df = df.withColumn("_w", intent_hits(plain))
+    strong = sum(((F.col(f"_w.{k}") >= 2).cast("int") for k in threats.INTENT_WORDS), F.lit(0))
     # Counts of threats: (type, confidence in hundredths, how many).
     found = [
         ("payload_smuggling", 70, F.col("_alike").cast("int")), ("payload_smuggling", 80, F.col("_hidden").cast("int") + F.col("_turned").cast("int") + F.col("_packed")), ("payload_smuggling", 50, F.col("_escaped").cast("int")),
         ("recursive_injection", 100, (F.col("layers") > 2).cast("int")), ("prompt_injection", 90, F.col("_inj")), ("data_exfiltration", 85, F.col("_exf")), ("impersonation", 80, F.col("_imp")), ("xss_injection", 90, F.col("_xss")),
-        ("instruction_override", 85, ((F.col("_w_authority") >= 2) & (F.col("_w_override") >= 2)).cast("int")), ("data_exfiltration", 90, ((F.col("_w_extraction") >= 2) & (F.col("_w_secrets") >= 1)).cast("int")),
+        ("instruction_override", 85, ((F.col("_w.authority") >= 2) & (F.col("_w.override") >= 2)).cast("int")), ("data_exfiltration", 90, ((F.col("_w.extraction") >= 2) & (F.col("_w.secrets") >= 1)).cast("int")),
         ("prompt_injection", 70, (strong >= 3).cast("int")),
     ]
     df = df.withColumn("n_threats", sum((n for _, _, n in found), F.lit(0)))
