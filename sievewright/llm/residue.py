@@ -422,6 +422,9 @@ class Units:
         inside &= (self.unit[ahead] == self.unit) & (np.arange(n) + reach < n)
         marked = np.r_[(codes == 0xE000) | (codes == 0xE001), np.zeros(4, dtype=bool)]
         touched = marked[:n] | marked[1 : n + 1] | marked[2 : n + 2] | marked[3 : n + 3] | marked[4 : n + 4]
+        spaces = np.r_[codes == 32, np.zeros(4, dtype=bool)]
+        numbers = np.r_[codes == 0xE002, np.zeros(4, dtype=bool)]
+        across = spaces[1 : n + 1] | spaces[2 : n + 2] | spaces[3 : n + 3] | numbers[:n] | numbers[1 : n + 1] | numbers[2 : n + 2] | numbers[3 : n + 3] | numbers[4 : n + 4]
         self.cells, self.unit, codes = self.cells[inside], self.unit[inside], codes[inside]
         self.n_units = int(unit[-1]) + 1 if len(unit) else 0
         self.text = np.cumsum(np.r_[0, first[border]])
@@ -431,6 +434,9 @@ class Units:
         self.status = codes == 0xE002
         # N-grams that reach into a placeholder or a trace.
         self.touched = touched[inside]
+        self.across = across[inside]
+        # Words, to tell how many of them speak for residue; three wide characters are one.
+        self.word = (np.cumsum(codes == 32) if len(codes) else np.zeros(0, dtype=np.int64)) + np.cumsum(self.weight > 1) // 3
         self.size = np.bincount(self.unit, minlength=self.n_units)
 
 
@@ -468,7 +474,7 @@ class ResidueModel:
     prose. ``learned`` are the counts that rows add to residue and to prose, beside
     ``few`` n-grams of which nothing is known."""
 
-    def __init__(self, prose: np.ndarray, learned: np.ndarray | None = None, floor: float = 2e-6, window: int = 12, hot: float = 0.8, few: float = 50_000):
+    def __init__(self, prose: np.ndarray, learned: np.ndarray | None = None, floor: float = 2e-6, window: int = 12, hot: float = 0.8, few: float = 10_000):
         counts = {kind: _seed_counts(lines) for kind, lines in seeds().items()}
         filler, notices, subject = (counts[k] / counts[k].sum() for k in ("filler", "notices", "subject"))
         prose = written = prose / max(prose.sum(), 1.0)
@@ -487,7 +493,7 @@ class ResidueModel:
         n, total = len(units.cells), units.n_units
         if not n:
             zero = np.zeros(total)
-            return {"cover": zero, "run": zero, "sum": zero, "talk": zero, "slot": zero > 0, "trace": zero > 0, "status": zero > 0}
+            return {"cover": zero, "run": zero, "sum": zero, "talk": zero, "peak": zero, "words": zero, "slot": zero > 0, "trace": zero > 0, "status": zero > 0}
         ratio = self.residue[units.cells].astype(np.float64)
         at = np.arange(n)
         start = np.r_[0, np.flatnonzero(units.unit[1:] != units.unit[:-1]) + 1]
@@ -506,6 +512,13 @@ class ResidueModel:
         length = np.where(inside[runs], np.diff(np.r_[runs, n]), 0)
         run = np.zeros(total)
         np.maximum.at(run, units.unit[runs], length)
+        peak = np.full(total, -np.inf)
+        np.maximum.at(peak, units.unit, ratio)
+        # Words of which two n-grams of their own strongly speak for residue; numbers are none.
+        strong = np.flatnonzero((ratio > 2) & ~units.across)
+        span = int(units.word.max(initial=0)) + 1
+        spoken, times = np.unique(units.unit[strong] * span + units.word[strong], return_counts=True)
+        words = np.bincount(spoken[times > 1] // span, minlength=total)
         size = np.maximum(units.size, 1)
         talk = self.subject[units.cells].astype(np.float64)
         known = (np.abs(talk) > 0.05) & ~units.touched
@@ -514,7 +527,7 @@ class ResidueModel:
         return {
             "cover": of(inside.astype(float)) / size, "run": run, "sum": of(np.where(inside, ratio * units.weight, 0.0)),
             "talk": np.where(talked >= 6, of(np.where(known, talk, 0.0)) / np.maximum(talked, 1), 0.0),
-            "status": (units.size <= 3) & (of(units.status.astype(float)) > 0), "slot": of((inside & (units.symbol == 0xE000)).astype(float)) > 0, "trace": of((inside & (units.symbol == 0xE001)).astype(float)) > 0,
+            "peak": peak, "words": words, "status": (units.size <= 3) & (of(units.status.astype(float)) > 0), "slot": of((inside & (units.symbol == 0xE000)).astype(float)) > 0, "trace": of((inside & (units.symbol == 0xE001)).astype(float)) > 0,
         }
 
 
@@ -528,10 +541,11 @@ def _talked(units: Units, told: dict[str, np.ndarray], least: float) -> np.ndarr
     return out
 
 
-def kinds_of(texts: list[str], model: ResidueModel, least_cover: float = 0.55, least_sum: float = 20.0, least_mean: float = 1.0, least_run: int = 48, least_talk: float = 0.0, short: int = 30) -> list[str | None]:
+def kinds_of(texts: list[str], model: ResidueModel, least_cover: float = 0.55, least_sum: float = 20.0, least_mean: float = 1.3, least_run: int = 48, least_talk: float = 0.0, short: int = 30) -> list[str | None]:
     """``placeholder``, ``trace`` or ``notice`` for each text; None for content.
 
-    Half of ``least_sum`` is asked of a text that is covered as a whole. A unit
+    Half of ``least_sum``, and three quarters of ``least_mean``, are asked of a
+    text that is covered as a whole. A unit
     that is only a status number says enough where little else stands in the
     text, at most ``short`` n-grams."""
     units = Units(with_symbols(texts))
@@ -539,8 +553,9 @@ def kinds_of(texts: list[str], model: ResidueModel, least_cover: float = 0.55, l
     about = _talked(units, told, least_talk)
     size = np.bincount(units.text, weights=units.size, minlength=len(texts))
     whole = np.bincount(units.text, weights=told["cover"] * units.size, minlength=len(texts)) >= 0.9 * size
-    notice = (told["sum"] >= np.where(whole[units.text], least_sum / 2, least_sum)) & (told["sum"] >= least_mean * told["cover"] * units.size) & ((told["cover"] >= least_cover) | (told["run"] >= least_run)) & ~about
-    notice |= told["status"] & (told["sum"] > 0) & (size[units.text] <= short) & ~about
+    less = np.where(whole[units.text], 0.5, 1.0)
+    notice = (told["sum"] >= least_sum * less) & (told["sum"] >= least_mean * (1 + less) / 2 * told["cover"] * units.size) & ((told["cover"] >= least_cover) | (told["run"] >= least_run)) & ~about
+    notice |= told["status"] & (told["peak"] > 0) & (size[units.text] <= short) & ~about
     own = told["talk"] > least_talk
     out: list[str | None] = [None] * len(texts)
     for name, hit in (("notice", notice), ("trace", told["trace"] & ~own), ("placeholder", told["slot"] & ~own)):
@@ -556,12 +571,13 @@ def learned_counts(rows: DataFrame, fields: tuple[str, ...], model: ResidueModel
     return _summed(rows, fields, lambda texts: learned_cells(texts, shared.value), 2)
 
 
-def learned_cells(texts: list[str], model: ResidueModel, least_cover: float = 0.5, least_sum: float = 25.0, least_talk: float = 0.0, whole: float = 0.6, none: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def learned_cells(texts: list[str], model: ResidueModel, least_cover: float = 0.5, least_sum: float = 25.0, least_talk: float = 0.0, whole: float = 0.6, none: float = 0.3, least_words: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Cells of residue and of content. Residue is learned from texts that are
-    ``whole`` or more covered, content from those that are ``none`` or less."""
+    ``whole`` or more covered, where ``least_words`` words speak for it (one
+    may do so by chance), content from those that are ``none`` or less."""
     units = Units(with_symbols(texts))
     told = model.judge(units)
-    taken = (told["cover"] >= least_cover) & (told["sum"] >= least_sum) & ~_talked(units, told, least_talk)
+    taken = (told["cover"] >= least_cover) & (told["sum"] >= least_sum) & (told["words"] >= least_words) & ~_talked(units, told, least_talk)
     size = np.bincount(units.text, weights=units.size, minlength=len(texts))
     cover = np.bincount(units.text, weights=told["cover"] * units.size, minlength=len(texts)) / np.maximum(size, 1)
     plain = ~np.isin(units.unit, units.unit[units.symbol > 0])
