@@ -34,8 +34,12 @@ _WIDE = re.compile("[\u3040-\u9fff\uac00-\ud7a3]")
 _NUMBER = re.compile(r"\d[\d.,]*")
 _SENTENCE_INSIDE = re.compile(r"[.!?。！？](?:\s|[^\x00-\x7f])")
 _PAIRED = re.compile("[" + re.escape("".join([*PAIRS, *_CLOSERS, '"'])) + "]")
-# A terminator of which a wrong decoding lost a byte.
-_LOST_FINAL = tuple({x for t in "。？！" for page in ("gb18030", "shift_jis", "euc_jp", "cp949", "big5", "cp1252", "cp1250") if "�" in (x := t.encode("utf-8").decode(page, "replace"))})
+# A terminator as wrong decodings read it, whole or without its first byte,
+# which can have become part of the letter before it; a lone mark of loss isn't.
+_LOST_FINAL = tuple({
+    x for t in "。？！" for page in ("gb18030", "shift_jis", "euc_jp", "cp949", "big5", "cp1252", "cp1250") for skip in (0, 1)
+    if (x := t.encode("utf-8")[skip:].decode(page, "replace")) != "�"
+})
 
 
 def is_entry(text: str, words: int = 6, listed: int = 5, wide: int = 10) -> bool:

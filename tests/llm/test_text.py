@@ -8,7 +8,7 @@ import pytest
 
 from sievewright.llm.encoding import KEYS, _merged, decipher, garbled_fields, is_subject, learn_table, lost_letters, page_table, prose_model, readings
 from sievewright.llm.languages import document_languages, fit_languages, plain_code, segments, sentences
-from sievewright.llm.residue import CELLS, SLOT, ResidueModel, Units, kinds_of, residue_fields, seeds, with_symbols
+from sievewright.llm.residue import CELLS, SLOT, ResidueModel, Units, kinds_of, learned_cells, residue_fields, seeds, with_symbols
 from sievewright.llm.truncation import cut_rates, cut_texts, is_entry, scan_structure
 from sievewright.llm.visual import disguised_fields, normalize, normalized, singles
 
@@ -167,6 +167,15 @@ def test_residue_held_out(documents):
     assert kinds_of(TALK, model) == [None] * len(TALK)
 
 
+def test_one_word_teaches_nothing(documents):
+    """Fact lists that share a word with a notice are not learned."""
+    frame = documents.select("text", "title").toPandas()
+    model = ResidueModel(sum(np.bincount(Units([t for t in frame[c].dropna()]).cells, minlength=CELLS) for c in ("text", "title")))
+    lists = [f"{i} stars, {7 * i} forks, licence: permissive" for i in range(1, 140)]
+    assert not len(learned_cells(lists, model)[0])
+    assert len(learned_cells(["Accès refusé par Rugo : droits insuffisants."], model)[0])
+
+
 def test_placeholders_of_any_length():
     for text in ("{{ " + "a" * 500 + " }}", "%" + "b" * 300 + "%", "[INSERT " + "C" * 200 + "]"):
         assert SLOT in with_symbols([text])[0]
@@ -180,6 +189,16 @@ def test_cut(spark, text, cut):
     assert cut_texts(rows_of(spark, [text])).first()["cut"] is cut
 
 
+def test_terminators_that_lost_a_byte(spark):
+    """A misread terminator still ends its text, however it fell on letters."""
+    texts = ["目录仍然方便。", "在哪里可以找到时刻表。", "アーカイブを使います。", "なぜですか？", "为什么只返回9条结果？"]
+    for page in ("gb18030", "shift_jis", "euc_jp"):
+        bad = [t.encode().decode(page, "replace") for t in texts]
+        rows = rows_of(spark, bad)
+        garbled = spark.createDataFrame([(i, None) for i in range(len(bad))], "result_id long, restored string")
+        assert [b for r, b in zip(cut_texts(rows, garbled).orderBy("result_id").collect(), bad) if r["cut"]] == []
+
+
 def test_entries_of_any_length():
     """Facts are told from sentences by their parts, not by a total length."""
     assert is_entry("; ".join(f"Field {i}: value {i}" for i in range(40))) and is_entry("Kleashafle, 715 m above sea level")
