@@ -104,7 +104,8 @@ def _handlers(read: str) -> tuple[str, str]:
 def _held(read: str) -> re.Pattern:
     """Maximal runs of the characters that a page has."""
     gone = np.zeros(0x10001, dtype=bool)
-    gone[0x10000] = True
+    # The mark of a lost letter is no letter of any page.
+    gone[[0xFFFD, 0x10000]] = True
 
     def note(error: UnicodeEncodeError) -> tuple[bytes, int]:
         gone[error.start : error.end] = True
@@ -125,8 +126,10 @@ def _runs(text: str, read: str) -> tuple[list[str], bytes]:
     No page takes a zero into a letter."""
     up = _handlers(read)[0]
     try:
+        if "�" in text:
+            raise UnicodeError
         return ["", ""], text.encode(read, up)
-    except UnicodeEncodeError:
+    except UnicodeError:
         between: list[str] = []
         runs: list[str] = []
         at = 0
@@ -140,6 +143,8 @@ def _runs(text: str, read: str) -> tuple[list[str], bytes]:
 
 def _written(runs: tuple[list[str], bytes], read: str, written: str) -> str:
     between, raw = runs
+    if len(between) == 1:
+        return between[0]
     down = f"sw-d-{read}"
     # A lone byte of a page of two bytes a letter is no letter of that page either.
     errors = "replace" if read in _DOUBLE else down

@@ -47,7 +47,8 @@ def is_entry(text: str, words: int = 6, listed: int = 5, wide: int = 10) -> bool
     parted by separators, or by commas where there is a number among them,
     none of which has more words (or wide characters) than a fact has."""
     flat = _NUMBER.sub("0", text)
-    if _SENTENCE_INSIDE.search(flat):
+    # A separator at the end waits for a further fact.
+    if _SENTENCE_INSIDE.search(flat) or re.search(r"[·•|｜;；:：,，、/–—-]\s*$", flat):
         return False
     parts = [p for p in _STRONG.split(flat) if p]
     if len(parts) < 2 and not ("0" in flat and _WEAK.search(flat) and not _WIDE.search(flat)):

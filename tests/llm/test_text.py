@@ -45,6 +45,13 @@ def test_long_and_broken_texts_are_deciphered():
     assert "shift_jis+utf-8" in [KEYS[k] for k, _ in readings(long)]
 
 
+def test_marks_of_loss_stay():
+    """U+FFFD is no letter of any page, also of one that has all of Unicode."""
+    text = "在哪里可以找到时刻表。"
+    bad = text.encode().decode("gb18030", "replace")
+    assert "�" in bad and decipher(bad, "gb18030", "utf-8").endswith("�") and decipher("a�b", "gb18030", "utf-8") == "a�b"
+
+
 def test_garbled_in_the_documents_too(spark, documents):
     """Pairs that some documents hold are still scored, U+FFFD is still seen,
     and entries with a dash are still what they are."""
@@ -203,6 +210,7 @@ def test_entries_of_any_length():
     """Facts are told from sentences by their parts, not by a total length."""
     assert is_entry("; ".join(f"Field {i}: value {i}" for i in range(40))) and is_entry("Kleashafle, 715 m above sea level")
     assert not is_entry("Note: the survey of Kego grew by five percent over the winter and most of the comm")
+    assert not is_entry("Warum liefert Fliosi nur 466 Einträge,") and not is_entry("Tags: survey;")
     assert not is_entry("据Fliokio介绍，软件包已经方便，但是专利还没有变")
     assert scan_structure("See <a href='" + "x" * 400)[0] and scan_structure("fish &" + "a" * 12)[0]
 
